@@ -1,10 +1,11 @@
-"""UTM and geodetic coordinates (WGS84, northern hemisphere): Krueger's series to the fourth order, as column expressions."""
+"""UTM and geodetic coordinates (WGS84, northern hemisphere): Krueger's series to the fourth order, over named
+columns. Each step is a projection of its own, as a single expression would repeat the earlier steps many times over."""
 
 from __future__ import annotations
 
 from math import pi
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 A, INVERSE_FLATTENING, SCALE, FALSE_EASTING = 6378137.0, 298.257223563, 0.9996, 500000.0
@@ -24,34 +25,37 @@ def zone_of(lat: Column, lon: Column) -> Column:
     return F.when((lat >= 56) & (lat < 64) & (lon >= 3) & (lon < 12), 32).when((lat >= 72) & (lat < 84) & (lon >= 0) & (lon < 42), far).otherwise(plain)
 
 
-def from_utm(e: Column, n: Column, zone) -> tuple[Column, Column]:
-    """Latitude and longitude in degrees."""
-    xi, eta = n / (SCALE * RADIUS), (e - FALSE_EASTING) / (SCALE * RADIUS)
-    x = xi - sum((b * F.sin(2 * k * xi) * F.cosh(2 * k * eta) for k, b in enumerate(_BACK, 1)), F.lit(0.0))
-    y = eta - sum((b * F.cos(2 * k * xi) * F.sinh(2 * k * eta) for k, b in enumerate(_BACK, 1)), F.lit(0.0))
-    chi = F.asin(F.sin(x) / F.cosh(y))
-    lat = chi + sum((d * F.sin(2 * k * chi) for k, d in enumerate(_LATITUDE, 1)), F.lit(0.0))
-    zone = zone if isinstance(zone, Column) else F.lit(zone)
-    return lat * (180 / pi), F.atan2(F.sinh(y), F.cos(x)) * (180 / pi) + zone * 6 - 183
+def _series(terms, first, second, x: str, y: str) -> Column:
+    return sum((t * first(2 * k * F.col(x)) * second(2 * k * F.col(y)) for k, t in enumerate(terms, 1)), F.lit(0.0))
 
 
-def to_utm(lat: Column, lon: Column, zone) -> tuple[Column, Column]:
-    """Easting and northing in a zone."""
-    zone = zone if isinstance(zone, Column) else F.lit(zone)
-    e = 2 * _N**0.5 / (1 + _N)
-    phi, lam = lat * (pi / 180), (lon - (zone * 6 - 183)) * (pi / 180)
-    t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
-    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
-    north = xi + sum((a * F.sin(2 * k * xi) * F.cosh(2 * k * eta) for k, a in enumerate(_FORWARD, 1)), F.lit(0.0))
-    east = eta + sum((a * F.cos(2 * k * xi) * F.sinh(2 * k * eta) for k, a in enumerate(_FORWARD, 1)), F.lit(0.0))
-    return FALSE_EASTING + SCALE * RADIUS * east, SCALE * RADIUS * north
+def from_utm(df: DataFrame, e: str, n: str, zone: Column, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """df with latitude and longitude in degrees of an easting and a northing in a zone."""
+    df = df.withColumns({"_xi": F.col(n) / (SCALE * RADIUS), "_eta": (F.col(e) - FALSE_EASTING) / (SCALE * RADIUS)})
+    df = df.withColumns({"_x": F.col("_xi") - _series(_BACK, F.sin, F.cosh, "_xi", "_eta"), "_y": F.col("_eta") - _series(_BACK, F.cos, F.sinh, "_xi", "_eta")})
+    df = df.withColumns({"_chi": F.asin(F.sin("_x") / F.cosh("_y")), "_lam": F.atan2(F.sinh("_y"), F.cos("_x"))})
+    phi = F.col("_chi") + sum((d * F.sin(2 * k * F.col("_chi")) for k, d in enumerate(_LATITUDE, 1)), F.lit(0.0))
+    return df.withColumns({lat: phi * (180 / pi), lon: F.col("_lam") * (180 / pi) + zone * 6 - 183}).drop("_xi", "_eta", "_x", "_y", "_chi", "_lam")
 
 
-def between_zones(e: Column, n: Column, source, target) -> tuple[Column, Column]:
-    return to_utm(*from_utm(e, n, source), target)
+def to_utm(df: DataFrame, lat: str, lon: str, zone: Column, e: str = "e", n: str = "n") -> DataFrame:
+    """df with the easting and northing in a zone of a place in degrees."""
+    c = 2 * _N**0.5 / (1 + _N)
+    df = df.withColumns({"_s": F.sin(F.col(lat) * (pi / 180)), "_lam": (F.col(lon) - (zone * 6 - 183)) * (pi / 180)})
+    df = df.withColumn("_t", F.sinh(F.atanh(F.col("_s")) - c * F.atanh(c * F.col("_s"))))
+    df = df.withColumns({"_xi": F.atan2(F.col("_t"), F.cos("_lam")), "_eta": F.atanh(F.sin("_lam") / F.sqrt(1 + F.col("_t") * F.col("_t")))})
+    north = F.col("_xi") + _series(_FORWARD, F.sin, F.cosh, "_xi", "_eta")
+    east = F.col("_eta") + _series(_FORWARD, F.cos, F.sinh, "_xi", "_eta")
+    return df.withColumns({e: FALSE_EASTING + SCALE * RADIUS * east, n: SCALE * RADIUS * north}).drop("_s", "_lam", "_t", "_xi", "_eta")
 
 
-def to_local(e: Column, n: Column, zone) -> tuple[Column, Column]:
-    """The same place in the zone that is in use there."""
-    lat, lon = from_utm(e, n, zone)
-    return to_utm(lat, lon, zone_of(lat, lon))
+def between_zones(df: DataFrame, e: str, n: str, source: int, target: int) -> DataFrame:
+    """df with e and n of one zone replaced by those of another."""
+    df = from_utm(df, e, n, F.lit(source), "_lat", "_lon")
+    return to_utm(df, "_lat", "_lon", F.lit(target), e, n).drop("_lat", "_lon")
+
+
+def to_local(df: DataFrame, e: str, n: str, zone: int, local_e: str = "local_e", local_n: str = "local_n") -> DataFrame:
+    """df with the easting and northing in the zone that is in use at each place."""
+    df = from_utm(df, e, n, F.lit(zone), "_lat", "_lon").withColumn("_zone", zone_of(F.col("_lat"), F.col("_lon")))
+    return to_utm(df, "_lat", "_lon", F.col("_zone"), local_e, local_n).drop("_lat", "_lon", "_zone")

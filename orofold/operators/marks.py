@@ -73,9 +73,8 @@ def shape_table(spark: SparkSession, shape: str, side: int) -> DataFrame:
 
 def stamped(marks: DataFrame, shape: str, side: int, size: tuple[int, int]) -> DataFrame:
     """Distinct sheet, i, j that a shape covers at marks (sheet, i, j), clipped to sheets of size (rows, columns)."""
-    # A shape has side squared offsets at most: a literal array a mark, no join.
-    spots = F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i, j in offsets(shape, side)])
-    at = marks.withColumn("o", F.explode(spots)).select("sheet", (F.col("i") + F.col("o.di")).alias("i"), (F.col("j") + F.col("o.dj")).alias("j"))
+    # A shape has side squared offsets at most, so its table is broadcast to wherever the marks are.
+    at = marks.crossJoin(F.broadcast(shape_table(marks.sparkSession, shape, side))).select("sheet", (F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"))
     return at.where(F.col("i").between(1, size[0]) & F.col("j").between(1, size[1])).distinct()
 
 

@@ -14,8 +14,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROW = Window.partitionBy("sheet", "i").orderBy("j")
-COLUMN = Window.partitionBy("sheet", "j").orderBy("i")
+
+def along_row():
+    return Window.partitionBy("sheet", "i").orderBy("j")
+
+
+def along_column():
+    return Window.partitionBy("sheet", "j").orderBy("i")
+
+
 AROUND = ("nw", "n", "ne", "w", "z", "e", "sw", "s", "se")
 
 
@@ -26,9 +33,9 @@ def _beside(value: Column, by: int, over) -> Column:
 def neighbours(cells: DataFrame, z: str = "z") -> DataFrame:
     """cells with the 3 x 3 neighbourhood of a column: nw n ne w z e sw s se (z under its own name)."""
     v = F.col(z)
-    flat = cells.withColumns({"w": _beside(v, -1, ROW), "e": _beside(v, 1, ROW)})
+    flat = cells.withColumns({"w": _beside(v, -1, along_row()), "e": _beside(v, 1, along_row())})
     three = F.struct(F.col("w").alias("w"), v.alias("z"), F.col("e").alias("e"))
-    flat = flat.withColumns({"_n": _beside(three, -1, COLUMN), "_s": _beside(three, 1, COLUMN)})
+    flat = flat.withColumns({"_n": _beside(three, -1, along_column()), "_s": _beside(three, 1, along_column())})
     named = {"nw": "_n.w", "n": "_n.z", "ne": "_n.e", "sw": "_s.w", "s": "_s.z", "se": "_s.e"}
     return flat.withColumns({k: F.col(p) for k, p in named.items()}).drop("_n", "_s")
 
@@ -79,11 +86,11 @@ def box_sums(cells: DataFrame, n: int, z: str = "z") -> DataFrame:
 
     Row sums first, at the columns that stay; then sums of those down the columns: 2 side, not side squared, terms a cell."""
     half = n // 2
-    terms = [_shifted(F.col(z), k, ROW, "j") for k in range(-half, half + 1)]
-    rows = _with_edges(cells, ROW, "j", z).withColumn("part", reduce(lambda a, b: a + b, terms)).where((F.col("j") - 1) % n == 0)
+    terms = [_shifted(F.col(z), k, along_row(), "j") for k in range(-half, half + 1)]
+    rows = _with_edges(cells, along_row(), "j", z).withColumn("part", reduce(lambda a, b: a + b, terms)).where((F.col("j") - 1) % n == 0)
     rows = rows.select("sheet", "i", "j", "part")
-    terms = [_shifted(F.col("part"), k, COLUMN, "i") for k in range(-half, half + 1)]
-    out = _with_edges(rows, COLUMN, "i", "part").withColumn("total", reduce(lambda a, b: a + b, terms))
+    terms = [_shifted(F.col("part"), k, along_column(), "i") for k in range(-half, half + 1)]
+    out = _with_edges(rows, along_column(), "i", "part").withColumn("total", reduce(lambda a, b: a + b, terms))
     return sampled(out.select("sheet", "i", "j", "total"), n).withColumn("n_cells", F.lit((2 * half + 1) ** 2))
 
 
@@ -102,7 +109,7 @@ def separable(cells: DataFrame, taps: list, z: str = "z") -> DataFrame:
     """sheet, i, j, z filtered by the same odd number of symmetrical taps along rows and columns: built-in windows, for short taps."""
     half = len(taps) // 2
     out = cells
-    for over, axis in ((ROW, "j"), (COLUMN, "i")):
+    for over, axis in ((along_row(), "j"), (along_column(), "i")):
         terms = [_shifted(F.col(z), k - half, over, axis) * t for k, t in enumerate(taps)]
         out = _with_edges(out, over, axis, z).withColumn(z, reduce(lambda a, b: a + b, terms)).drop("_lo", "_hi")
     return out.select("sheet", "i", "j", z)
@@ -126,7 +133,7 @@ def tiled(cells: DataFrame, kernel: Kernel, radius: int, shape: tuple[int, int],
 
     dealt = cells.select("sheet", "i", "j", F.col(z).cast("double").alias("z"), tiles("i", ny).alias("ti")).withColumn("tj", tiles("j", nx))
 
-    def run(key, rows: pa.Table) -> pa.Table:
+    def run(key, rows):
         sheet, ti, tj = (k.as_py() for k in key)
         i0, j0 = ti * tile + 1, tj * tile + 1
         i1, j1 = min(ny, i0 + tile - 1), min(nx, j0 + tile - 1)

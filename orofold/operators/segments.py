@@ -16,14 +16,16 @@ def cell_id(ny: int, i: str = "i", j: str = "j") -> Column:
 
 
 def labelled(cells: DataFrame, value: str, ny: int) -> DataFrame:
-    """cells with label: the least cell number of the 4-connected cells of equal value."""
-    c = cells.withColumn("id", cell_id(ny) + F.col("sheet").cast("long") * (1 << 40))
-    a = c.select("sheet", "i", "j", F.col("id").alias("a"), F.col(value).alias("va"))
-    right = c.select("sheet", "i", (F.col("j") - 1).alias("j"), F.col("id").alias("b"), F.col(value).alias("vb"))
-    down = c.select("sheet", (F.col("i") - 1).alias("i"), "j", F.col("id").alias("b"), F.col(value).alias("vb"))
-    edges = a.join(right.unionByName(down), ["sheet", "i", "j"]).where("va <=> vb").select("a", "b")
-    labels = graphs.components(c.select("id"), edges)
-    return c.join(labels, "id").withColumn("label", F.col("label") - F.col("sheet").cast("long") * (1 << 40)).drop("id")
+    """cells with label: the least cell number of the 4-connected cells of equal value (a number or boolean; null joins nothing).
+
+    Regions end at their sheet's edge, and a sheet is of bounded size, so a task labels a sheet."""
+
+    def kernel(data):
+        i, j = np.nonzero(~np.isnan(data))
+        return {"i": i + 1, "j": j + 1, "label": kernels.connected(data)[i, j]}
+
+    labels = by_sheet(cells.withColumn("_v", F.col(value).cast("double")), kernel, (ny, None), "i long, j long, label long", "_v", np.nan)
+    return cells.join(labels, ["sheet", "i", "j"])
 
 
 def segment_stats(cells: DataFrame, shape: tuple[int, int], value: str = "v") -> DataFrame:
@@ -81,15 +83,17 @@ def long_strokes(cells: DataFrame, ny: int, most: int) -> DataFrame:
     return parts.join(big, ["sheet", "label"], "left_semi").select("sheet", "i", "j")
 
 
-def by_sheet(cells: DataFrame, kernel, shape: tuple[int, int], schema: str, z: str = "z") -> DataFrame:
-    """kernel(array) -> dict of columns, applied to each whole sheet (one task a sheet, as sheets are of bounded size)."""
+def by_sheet(cells: DataFrame, kernel, shape: tuple[int, int | None], schema: str, z: str = "z", absent: float = 0.0) -> DataFrame:
+    """kernel(array) -> dict of columns, applied to each whole sheet (one task a sheet, as sheets are of bounded size).
+
+    shape: rows and columns; no number of columns: as many as there are."""
 
-    def run(key, rows: pa.Table) -> pa.Table:
-        data = np.zeros(shape)
+    def run(key, rows):
+        data = np.full((shape[0], shape[1] or int(rows.column("j").to_numpy().max())), absent)
         data[rows.column("i").to_numpy() - 1, rows.column("j").to_numpy() - 1] = rows.column("z").to_numpy()
         out = kernel(data)
         n = len(next(iter(out.values())))
-        return pa.table({"sheet": pa.array(np.full(n, key[0].as_py()), pa.int32()), **out})
+        return pa.table({"sheet": pa.array(np.full(n, key[0].as_py()), pa.int32()), **{k: pa.array(v, pa.int64()) for k, v in out.items()}})
 
     return cells.select("sheet", "i", "j", F.col(z).cast("double").alias("z")).groupBy("sheet").applyInArrow(run, f"sheet int, {schema}")
 

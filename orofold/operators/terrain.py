@@ -164,8 +164,9 @@ def on_grid_line(e: Column, n: Column, spacing: int, thickness: int, legacy: boo
 
 def utm_grid(cells: DataFrame, zone: int, spacing: int = 1000, thickness: int = 5) -> DataFrame:
     """cells (e, n) with line: grid lines of the zone in use at each place."""
-    e, n = to_local(F.col("e").cast("double"), F.col("n").cast("double"), zone)
-    return cells.withColumn("line", on_grid_line(F.rint(e).cast("long"), F.rint(n).cast("long"), spacing, thickness))
+    local = to_local(cells.withColumns({"_e": F.col("e").cast("double"), "_n": F.col("n").cast("double")}), "_e", "_n", zone)
+    whole = local.withColumns({k: F.rint(k).cast("long") for k in ("local_e", "local_n")})
+    return whole.withColumn("line", on_grid_line(F.col("local_e"), F.col("local_n"), spacing, thickness)).drop("_e", "_n", "local_e", "local_n")
 
 
 # -- composites

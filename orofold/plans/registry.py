@@ -18,9 +18,15 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def _load() -> None:
+    from . import geometry_queries, graph_queries, terrain_queries  # noqa: F401  they register themselves
+
+
 def queries() -> dict:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)

@@ -41,3 +41,14 @@ def sheets(s) -> str:
   CAST({s.sw_e} + ((k - 1) // {s.nrows}) * {s.sheet_width} AS BIGINT) AS min_x, CAST({s.sw_n} + ((k - 1) % {s.nrows}) * {s.sheet_height} AS BIGINT) AS min_y,
   CAST({s.sw_e} + ((k - 1) // {s.nrows} + 1) * {s.sheet_width} AS BIGINT) AS max_x, CAST({s.sw_n} + ((k - 1) % {s.nrows} + 1) * {s.sheet_height} AS BIGINT) AS max_y
   FROM range(1, {len(s) + 1}) AS r(k))"""
+
+
+def terrain(n: int) -> str:
+    """ter(i, j, z, id): integer hills, ids column-major."""
+    wave = lambda x, p: f"abs(({x}) % {p} - {p // 2})"
+    return f"""ter AS (SELECT i, j, CAST(40 * {wave('i * 3 + j', 23)} + 30 * {wave('j * 2 + i * 5', 31)} + 7 * {wave('i + j * 3', 11)} + 2 * i AS BIGINT) AS z, i + (j - 1) * {n} AS id
+  FROM (SELECT k // {n} + 1 AS i, k % {n} + 1 AS j FROM range(0, {n * n}) AS r(k)))"""
+
+
+#: A tree over orders: each key's parent is a third of it, heights grow with keys.
+TREE = "tree AS (SELECT o_orderkey + 1 AS id, o_orderkey // 3 + 1 AS parent, CAST(10 * o_orderkey + o_custkey % 10 AS BIGINT) AS z FROM orders)"
