@@ -1,4 +1,4 @@
-"""UTM and geodetic coordinates (WGS84, northern hemisphere): Krueger's series to the fourth order, over named
+"""UTM and geodetic coordinates (WGS84, northern hemisphere): Krueger's series to the third order (millimetres), over named
 columns. Each step is a projection of its own, as a single expression would repeat the earlier steps many times over."""
 
 from __future__ import annotations
