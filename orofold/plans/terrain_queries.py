@@ -150,7 +150,7 @@ def _contour_sql(step):
     share = " + ".join(f"c.{k}" for k in ("nw", "n", "ne", "w", "z", "e", "sw", "s", "se"))
     cross = " OR ".join(f"sign({tooth('h_' + a)}) * sign({tooth('h_' + b)}) = -1" for a, b in (("w", "e"), ("n", "s"), ("nw", "se"), ("sw", "ne")))
     steep = " OR ".join(f"abs(h_z - h_{k}) >= {step / 2}" for k in "ewns")
-    return f"""src AS (SELECT i, j, z, z - z % 700 AS smooth, CASE WHEN z % 3 = 0 THEN 1 ELSE 0 END AS forest FROM ord),
+    return f"""src AS (SELECT i, j, h AS z, h - h % 700 AS smooth, CASE WHEN z % 3 = 0 THEN 1 ELSE 0 END AS forest FROM (SELECT *, i * 1370 + j * 590 + z % 300 AS h FROM ord)),
 {sql.around('src', 'a', 'z')}, {sql.around('src', 'b', 'smooth')}, {sql.around('src', 'c', 'forest')},
 m AS (SELECT a.i, a.j, ({share}) / 9.0 AS share, {pick} FROM a JOIN b USING (i, j) JOIN c USING (i, j)),
 h AS (SELECT i, j, {mixed} FROM m),
@@ -158,8 +158,9 @@ line AS (SELECT i, j, CASE WHEN h_z < {step} THEN false WHEN abs({tooth('h_z')})
 
 
 def contour_source(spark, sf_dir):
-    c = ord_cells(spark, sf_dir)
-    return c.select("sheet", "i", "j", (F.col("z") / 100.0).alias("z"), ((F.col("z") - F.col("z") % 700) / 100.0).alias("smooth"), F.when(F.col("z") % 3 == 0, 1).otherwise(0).alias("forest"))
+    """A slope with small bumps, so that lines of all three distances pass."""
+    c = ord_cells(spark, sf_dir).withColumn("h", F.col("i") * 1370 + F.col("j") * 590 + F.col("z") % 300)
+    return c.select("sheet", "i", "j", (F.col("h") / 100.0).alias("z"), ((F.col("h") - F.col("h") % 700) / 100.0).alias("smooth"), F.when(F.col("z") % 3 == 0, 1).otherwise(0).alias("forest"))
 
 
 def _contour(step):
