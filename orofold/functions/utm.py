@@ -49,13 +49,19 @@ def to_utm(df: DataFrame, lat: str, lon: str, zone: Column, e: str = "e", n: str
     return df.withColumns({e: FALSE_EASTING + SCALE * RADIUS * east, n: SCALE * RADIUS * north}).drop("_s", "_lam", "_t", "_xi", "_eta")
 
 
+def _fixed(df: DataFrame, *names: str) -> DataFrame:
+    """df with columns told by a generator, so that filters on them aren't pushed below it, where they would repeat all steps."""
+    rest = [c for c in df.columns if c not in names]
+    return df.withColumn("_x", F.explode(F.array(F.struct(*names)))).select(*rest, *[F.col(f"_x.{k}").alias(k) for k in names])
+
+
 def between_zones(df: DataFrame, e: str, n: str, source: int, target: int) -> DataFrame:
     """df with e and n of one zone replaced by those of another."""
     df = from_utm(df, e, n, F.lit(source), "_lat", "_lon")
-    return to_utm(df, "_lat", "_lon", F.lit(target), e, n).drop("_lat", "_lon")
+    return _fixed(to_utm(df, "_lat", "_lon", F.lit(target), e, n).drop("_lat", "_lon"), e, n)
 
 
 def to_local(df: DataFrame, e: str, n: str, zone: int, local_e: str = "local_e", local_n: str = "local_n") -> DataFrame:
     """df with the easting and northing in the zone that is in use at each place."""
     df = from_utm(df, e, n, F.lit(zone), "_lat", "_lon").withColumn("_zone", zone_of(F.col("_lat"), F.col("_lon")))
-    return to_utm(df, "_lat", "_lon", F.col("_zone"), local_e, local_n).drop("_lat", "_lon", "_zone")
+    return _fixed(to_utm(df, "_lat", "_lon", F.col("_zone"), local_e, local_n).drop("_lat", "_lon", "_zone"), local_e, local_n)

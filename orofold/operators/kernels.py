@@ -138,3 +138,41 @@ def connected(values: np.ndarray) -> np.ndarray:
                 break
             root = up
     return np.where(np.isnan(values), 0, (root + 1).reshape(nx, ny).T)
+
+
+def reduced_tree(z: np.ndarray, parent: np.ndarray, least: float, sides: str) -> tuple[np.ndarray, np.ndarray]:
+    """(id, parent) of what of a component tree matters beyond its sheet: the root, forks, summits of at least this prominence within the
+    sheet, and cells on the given sides (letters of wnse), each with its nearest kept ancestor (0 for roots). ids column-major from 1."""
+    ny, nx = z.shape
+    height, up = z.T.ravel().astype(float), np.asarray(parent) - 1
+    i, j = np.arange(ny * nx) % ny, np.arange(ny * nx) // ny
+    edge = np.zeros(ny * nx, bool)
+    for side, at in (("w", j == 0), ("n", i == 0), ("s", i == ny - 1), ("e", j == nx - 1)):
+        if side in sides:
+            edge |= at
+    upwards = np.argsort(np.rint(height), kind="stable").tolist()
+    top, held = height.copy(), edge.copy()
+    for p in reversed(upwards):  # from the summits down: the highest ground, and whether an edge cell, is above
+        q = up[p]
+        if q != p:
+            top[q] = max(top[q], top[p])
+            held[q] |= held[p]
+    best: dict[int, int] = {}
+    for p in upwards:
+        q = int(up[p])
+        if q != p and top[p] > height[q] and (q not in best or top[p] > top[best[q]]):
+            best[q] = p
+    alive, forks = np.zeros(ny * nx, bool), np.zeros(ny * nx, int)
+    for p in upwards:  # from the root up: a branch goes on if it is its fork's highest, prominent, or leads to an edge
+        q = int(up[p])
+        alive[p] = q == p or bool(alive[q] and (best.get(q) == p or held[p] or top[p] - height[q] >= least))
+        if q != p and alive[p]:
+            forks[q] += 1
+    kept = alive & (edge | (forks != 1) | (up == np.arange(ny * nx)))
+    near = np.full(ny * nx, -1)
+    for p in upwards:
+        q = int(up[p])
+        if q != p:
+            near[p] = q if kept[q] else near[q]
+    ids = np.flatnonzero(kept)
+    return ids + 1, near[ids] + 1

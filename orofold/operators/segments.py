@@ -131,3 +131,13 @@ def component_tree(cells: DataFrame, shape: tuple[int, int], z: str = "z") -> Da
         return {"id": np.arange(1, len(parent) + 1), "parent": parent}
 
     return by_sheet(cells, kernel, shape, "id long, parent long", z)
+
+
+def reduced_tree(cells: DataFrame, shape: tuple[int, int], least: float, sides: str, z: str = "z") -> DataFrame:
+    """sheet, id, parent of what of each sheet's component tree matters beyond the sheet; parent 0 for roots."""
+
+    def kernel(data):
+        ids, parents = kernels.reduced_tree(data, kernels.component_tree(np.rint(data)), least, sides)
+        return {"id": ids, "parent": parents}
+
+    return by_sheet(cells, kernel, shape, "id long, parent long", z)

@@ -122,19 +122,23 @@ def grid(job: Job) -> DataFrame:
 
 def prominent(job: Job) -> DataFrame:
     """Summits of all sheets: trees a sheet, joined over borders, prominence in the whole."""
-    c = raster.sampled(job.table("cells"), job.spec.cell2utm).withColumn("z", F.greatest("z", F.lit(0.5)))
-    tree = segments.component_tree(c, job.size)
+    get = job.settings.get
+    c = graphs.kept(raster.sampled(job.table("cells"), job.spec.cell2utm).withColumn("z", F.greatest("z", F.lit(0.5))))
+    tree = graphs.kept(segments.component_tree(c, job.size))
     wide = F.col("sheet").cast("long") * (1 << 40)
     v = placed(job, c).withColumn("id", segments.cell_id(job.spec.ny) + wide)
-    edges = tree.where("id <> parent").select((F.col("parent") + wide).alias("a"), (F.col("id") + wide).alias("b"))
-    all_edges = graphs.kept(graphs.merge_sheets(graphs.kept(v), graphs.kept(edges), job.spec.cell2utm))
-    told = graphs.prominence(graphs.kept(v.select("id", "z")), all_edges)
+    # Each sheet's tree shrinks to what matters beyond it before sheets are joined.
+    sides = "".join(k for k, there in (("w", job.spec.ncols > 1), ("n", job.spec.nrows > 1), ("s", job.spec.nrows > 1), ("e", job.spec.ncols > 1)) if there)
+    small = graphs.kept(segments.reduced_tree(c, job.size, get("summit", "obscure"), sides))
+    few = graphs.kept(v.join(small.select((F.col("id") + wide).alias("id")), "id", "left_semi"))
+    edges = graphs.kept(small.where("parent > 0").select((F.col("parent") + wide).alias("a"), (F.col("id") + wide).alias("b")))
+    all_edges = graphs.merge_sheets(few, edges, job.spec.cell2utm) if len(job.spec) > 1 else edges
+    told = graphs.prominence(few.select("id", "z"), all_edges)
     found = summits.distinct_summits(tree, v.select("sheet", (F.col("id") - wide).alias("id"), "z")).select((F.col("id") + wide).alias("id"))
     stress = raster.mean_stress(c).where((F.col("sigma") < 0) & (F.col("sigma") > job.settings.get("summit", "least_stress")))
     candidates = v.where("z > 200").join(found, "id", "left_semi").join(stress.select("sheet", "i", "j", "sigma"), ["sheet", "i", "j"])
     rows = told.join(v.drop("z"), "id")
     rows = summits.with_stress(rows, candidates.select("e", "n", F.col("sigma").alias("stress"), F.col("id").alias("written")), job.names)
-    get = job.settings.get
     return summits.regional(rows, get("summit", "obscure"), get("summit", "prominent")).select("sheet", "rank", "z", "prominence", "e", "n", "i", "j", "stress", "name")
 
 

@@ -179,3 +179,27 @@ def test_prune_small_joins_the_highest_neighbour(spark):
     out = segments.prune_small(segments.labelled(cells, "v", 3), 3)
     label = {(r.i, r.j): r.label for r in out.collect()}
     assert label[2, 3] == label[1, 4] != label[1, 1]
+
+
+def test_reduced_trees_keep_prominence():
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        z = rng.integers(0, 12, (6, 7)).astype(float)
+        whole = kernels.prominence(z)
+        ids, parents = kernels.reduced_tree(z, kernels.component_tree(z), 3.0, "")
+        h, up = z.T.ravel(), dict(zip(ids.tolist(), parents.tolist(), strict=True))
+        top = {i: h[i - 1] for i in up}
+        for i in up:
+            q = i
+            while up[q]:
+                q = up[q]
+                top[q] = max(top[q], h[i - 1])
+        for leaf in set(up) - set(up.values()):
+            q, prominence = leaf, h[leaf - 1]
+            while up[q]:
+                q = up[q]
+                if top[q] > h[leaf - 1]:
+                    prominence = h[leaf - 1] - h[q - 1]
+                    break
+            assert leaf not in whole or prominence == whole[leaf]
+        assert {h[i - 1] for i, p in whole.items() if p >= 3} <= {h[i - 1] for i in set(up) - set(up.values())}
