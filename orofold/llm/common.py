@@ -24,9 +24,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder, read again: lineage ends there and survives lost executors."""
+#: Rows that a task of a small table takes.
+PART = 100_000
+
+
+def written(df: DataFrame, tag: str, most: int | None = None) -> DataFrame:
+    """df as a table in the shared folder, read again: lineage ends there and survives lost executors.
+
+    most: a bound on its rows where one is known; a small table then takes few tasks and files, a large one as
+    many as the session's shuffles have."""
     spark = df.sparkSession
+    if most is not None:
+        parts = max(4, -(-most // PART))
+        if parts < int(spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(parts)
     at = f"{shared_dir(spark)}/orofold-{uuid.uuid4().hex}/{tag}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
