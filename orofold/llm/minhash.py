@@ -6,12 +6,12 @@ coordinate fills, however small the set, and the share of equal coordinates conc
 with independent samples. BANDS bands of ROWS coordinates propose pairs; the whole sketch drops a pair
 only where fewer than LEAST of its coordinates agree; the full sets decide.
 
-At similarity 0.8 a pair meets in no band with probability (1 - 0.8^4)^32 = 5e-8, and agrees in fewer than
-0.55 T coordinates with probability below 2e-9.
+At similarity 0.8 a pair meets in no band with probability (1 - 0.8^6)^42 = 3e-6, and agrees in fewer than
+0.65 T coordinates with probability below 2e-7.
 
-Sets that are equal are one class; pairs are tried between classes. In a bucket all members are tried with one
-centre; what is left in different components is tried with further centres, and at last all with all
-where that is no more work than a few pairs a document. No pair of one component is tried.
+Sets that are equal are one class; pairs are tried between classes. In a bucket all members are tried with its least
+one; then what is left in different components is compared in squares of bounded size, sketches first and
+full sets where these agree. No pair of one component is tried, and no pairs are written but links.
 
 Defined results: null and empty texts (and those of white space alone) have no shingles and link with nothing;
 repeated rows and rows that share a doc_id have a row each, and the component of their own text; a
@@ -30,13 +30,12 @@ from pyspark.sql import functions as F
 from .common import mix, numbered, only, shingle_set, word_hashes, written
 from .components import components
 
-T = 128
-ROWS = 4
+T = 256
+ROWS = 6
 BANDS = T // ROWS
-LEAST = 0.55
-#: Pairs a class, above which buckets are tried with further centres before all with all.
-FEW = 20
-CENTRES = 12
+LEAST = 0.65
+#: Rows by rows of a bucket that a task compares at most.
+CAP = 2048
 #: So many ids (16 MB) are broadcast at most.
 IDS = 1_000_000
 _U = np.uint64
@@ -63,7 +62,7 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
         # Of the round, the least hash in each bin that was empty.
         new = np.full(n * T, ~_U(0), _U) if len(at) > n * T // 8 else None
         if new is not None:
-            np.minimum.at(new, at, h >> _U(7))
+            np.minimum.at(new, at, h >> _U(8))
             got = np.flatnonzero(new != ~_U(0))
             full[got] = new[got]
         else:
@@ -72,7 +71,7 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
             first = np.ones(len(at), bool)
             first[1:] = at[1:] != at[:-1]
             got = at[first]
-            full[got] = h[first] >> _U(7)
+            full[got] = h[first] >> _U(8)
         if len(got):
             np.subtract.at(empty, got // T, 1)
             keep = empty[owner] > 0
@@ -90,9 +89,10 @@ def _signed(k: int):
             for lo in range(0, len(texts), 256):
                 part = [shingle_set(word_hashes(t.as_py() or b""), k) for t in texts[lo : lo + 256]]
                 rows = sketches(part)
-                bands = mix(rows.reshape(-1, BANDS, ROWS)[:, :, 0])
+                cut = rows[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
+                bands = mix(cut[:, :, 0])
                 for j in range(1, ROWS):
-                    bands = mix(bands * _U(0xD6E8FEB86659FD93) + rows.reshape(-1, BANDS, ROWS)[:, :, j])
+                    bands = mix(bands * _U(0xD6E8FEB86659FD93) + cut[:, :, j])
                 yield pa.record_batch(
                     [
                         batch.column(0)[lo : lo + 256],
@@ -146,62 +146,130 @@ def _linked(k: int, percent: int):
 def _texts_of(docs: DataFrame, near: DataFrame) -> DataFrame:
     """rid, text of the rows that near names. Their ids are broadcast only up to IDS rows; beyond, texts are
     shuffled once and written."""
-    ids = written(near.select(F.col("a").alias("rid")).union(near.select("b")).distinct(), "ids")
+    ids = written(near.select(F.col("a").alias("rid")).union(near.select("b")).distinct(), "ids", 2 * near.count())
     texts = docs.select("rid", F.col("text").cast("binary").alias("text"))
     if ids.count() <= IDS:
         return texts.join(F.broadcast(ids), "rid", "left_semi")
     return written(texts.join(ids.hint("merge"), "rid", "left_semi"), "texts")
 
 
+def _sets(texts: list, k: int) -> list[np.ndarray]:
+    return [shingle_set(word_hashes(t or b""), k) for t in texts]
+
+
+def _agreeing(x: np.ndarray, y: np.ndarray):
+    """For each row of x the places of rows of y whose sketches agree in LEAST of the coordinates at least."""
+    for i, row in enumerate(x):
+        yield i, np.flatnonzero((y == row).sum(1) >= LEAST * T)
+
+
+def _square(rows: pa.Table):
+    """Of a square of a bucket: asked rows (outside the bucket's largest component) and rows to compare them with."""
+    role, component = rows.column("role").to_numpy(), rows.column("component").to_numpy()
+    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, T)
+    asked = np.flatnonzero((role != 1) & (component != rows.column("largest").to_numpy()))
+    return asked, np.flatnonzero(role != 0), component, sketch
+
+
+def _active(key, rows):
+    """rep of rows whose sketch agrees with one of another component."""
+    asked, others, component, sketch = _square(rows)
+    live = np.zeros(len(component), bool)
+    for i, hits in _agreeing(sketch[asked], sketch[others]):
+        hits = others[hits]
+        hits = hits[component[hits] != component[asked[i]]]
+        live[hits] = True
+        live[asked[i]] |= len(hits) > 0
+    return pa.table({"rep": pa.array(np.unique(rows.column("rep").to_numpy()[live]), pa.int64())})
+
+
+def _joined(k: int, percent: int):
+    """Links (a, b) between rows of different components, verified on full sets: no more than join these components, so a row at most."""
+
+    def run(key, rows):
+        asked, others, component, sketch = _square(rows)
+        reps, texts = rows.column("rep").to_numpy(), rows.column("text")
+        kept: dict[int, np.ndarray] = {}
+
+        def set_of(i: int) -> np.ndarray:
+            if i not in kept:
+                if len(kept) > 4096:
+                    kept.clear()
+                kept[i] = _sets([texts[i].as_py()], k)[0]
+            return kept[i]
+
+        name = {c: c for c in component.tolist()}
+
+        def root(c):
+            while name[c] != c:
+                name[c] = name[name[c]]
+                c = name[c]
+            return c
+
+        a, b = [], []
+        for i, hits in _agreeing(sketch[asked], sketch[others]):
+            x = int(asked[i])
+            for y in others[hits].tolist():
+                if root(component[x]) == root(component[y]):
+                    continue
+                u, v = set_of(x), set_of(y)
+                if 100 * min(len(u), len(v)) < percent * max(len(u), len(v)):
+                    continue
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                if 100 * both >= percent * (len(u) + len(v) - both):
+                    name[root(component[x])] = root(component[y])
+                    a.append(reps[x])
+                    b.append(reps[y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _dealt(rows: DataFrame, payload: DataFrame, tag: str) -> DataFrame:
+    """Rows (band, key, rep, component) of buckets of several components with their payload (rep, ...), dealt out in squares of
+    CAP by CAP: role 0 asks, 1 is asked about, 2 (a bucket of one square) both."""
+    cells = rows.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
+    per = cells.groupBy("band", "key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).where("parts > 1")
+    per = written(per.select("band", "key", F.col("most.component").alias("largest"), F.ceil(F.col("n") / CAP).cast("int").alias("side")), tag, rows.count())
+    out = rows.join(per, ["band", "key"]).join(payload, "rep").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("side")).cast("int"))
+    squares = F.when(F.col("side") == 1, F.expr("array(struct(0 as s, 0 as q, 2 as role))")).otherwise(
+        F.expr("concat(transform(sequence(0, side - 1), i -> struct(mine as s, i as q, 0 as role)), transform(sequence(0, side - 1), i -> struct(i as s, mine as q, 1 as role)))")
+    )
+    return out.withColumn("at", F.explode(squares)).select("band", "key", "at.s", "at.q", "at.role", "rep", "component", "largest", *[c for c in payload.columns if c != "rep"])
+
+
 def links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """Verified links (a, b) between class representatives, enough to give their components.
 
-    docs: rid, text. classes: rep (a rid), sketch, bands."""
+    docs: rid, text. classes: rep (a rid), sketch, bands. First the members of each bucket are tried with its least one. Then
+    in buckets that still hold several components, members outside the largest are compared with all of other components,
+    in squares of bounded size that give no more links than join components."""
     buckets = _buckets(classes)
-    few = FEW * classes.count()
-    found = tried = comps = None
-    for turn in range(CENTRES + 1):
-        if turn == 0:
-            rows = buckets.withColumn("component", F.col("rep"))
-        else:
-            rows = written(buckets.join(comps, buckets.rep == comps.id, "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component")), f"rows-{turn}")
-        rank = F.xxhash64("rep", F.lit(turn)) if turn else F.lit(0).cast("long")
-        cells = rows.groupBy("band", "key", "component").agg(F.count("*").alias("n"), F.min(F.struct(rank.alias("h"), "rep")).alias("pick"))
-        per = cells.groupBy("band", "key").agg(
-            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.count("*").alias("parts"), F.min(F.struct("pick.h", "pick.rep", "component")).alias("centre")
-        )
-        per = written(per.where("parts > 1"), f"open-{turn}")
-        work = per.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
-        if not work:
-            break
-        last = turn == CENTRES or (turn > 0 and work <= few)
-        if last:
-            left = rows.join(per.select("band", "key"), ["band", "key"])
-            other = left.select("band", "key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-            pairs = left.join(other, ["band", "key"]).where("rep < b and component <> cb").select(F.col("rep").alias("a"), "b")
-        else:
-            to = per.select("band", "key", F.col("centre.rep").alias("centre"), F.col("centre.component").alias("cc"))
-            pairs = rows.join(to, ["band", "key"]).where("component <> cc").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, f"pairs-{turn}")
-        side = classes.select("rep", "sketch")
-        near = written(pairs.join(side.toDF("a", "sa"), "a").join(side.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long"), f"near-{turn}")
-        texts = _texts_of(docs, near)
-        new = written(near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(_linked(k, percent), "a long, b long"), f"links-{turn}")
-        found = new if found is None else found.unionByName(new)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if last:
-            break
-        comps = written(components(found), f"components-{turn}")
-    return buckets.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false") if found is None else found
+    in_buckets = buckets.count()
+    star = buckets.groupBy("band", "key").agg(F.min("rep").alias("a"))
+    pairs = buckets.join(star, ["band", "key"]).where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    pairs = written(pairs, "pairs", in_buckets)
+    tries = pairs.count()
+    side = classes.select("rep", "sketch")
+    near = written(pairs.join(side.toDF("a", "sa"), "a").join(side.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long"), "near", tries)
+    texts = _texts_of(docs, near)
+    found = written(near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(_linked(k, percent), "a long, b long"), "links", tries * 8)
+    comps = written(components(found, tries), "components", 2 * tries)
+    rows = written(buckets.join(comps, buckets.rep == comps.id, "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component")), "rows", in_buckets)
+    squares = ["band", "key", "s", "q"]
+    active = written(_dealt(rows, side, "open").groupBy(*squares).applyInArrow(_active, "rep long").distinct(), "active", in_buckets)
+    if active.isEmpty():
+        return found
+    texts = _texts_of(docs, active.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+    payload = side.join(texts.withColumnRenamed("rid", "rep"), "rep")
+    more = _dealt(rows.join(active, "rep", "left_semi"), payload, "still-open").groupBy(*squares).applyInArrow(_joined(k, percent), "a long, b long")
+    return found.unionByName(written(more.distinct(), "more-links", in_buckets))
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
     """band, key, rep of the buckets that hold more than one class."""
     rows = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    shared = written(rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "shared")
+    shared = written(rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "shared", BANDS * classes.count() // 2)
     return written(rows.join(shared, ["band", "key"]).select("band", "key", "rep"), "buckets")
 
 
@@ -213,10 +281,12 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     known = rows.where("doc_id is not null and set_id is not null")
     classes = known.groupBy("set_id").agg(F.min(F.struct("doc_id", "rid")).alias("first"), F.min(F.struct("sketch", "bands")).alias("x"))
     classes = written(classes.select("set_id", F.col("first.rid").alias("rep"), F.col("first.doc_id").alias("least"), "x.sketch", "x.bands"), "classes")
-    comps = components(links(docs, classes, k, percent))
-    rooted = written(classes.join(comps, classes.rep == comps.id, "left").select("set_id", "least", F.coalesce("component", "rep").alias("root")), "rooted")
-    roots = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
-    named = written(rooted.join(roots, "root").select("set_id", "component_id"), "named")
+    found = links(docs, classes, k, percent)
+    comps = components(found, found.count())
+    n = classes.count()
+    rooted = written(classes.join(comps, classes.rep == comps.id, "left").select("set_id", "least", F.coalesce("component", "rep").alias("root")), "rooted", n)
+    roots = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "roots", n)
+    named = written(rooted.join(roots, "root").select("set_id", "component_id"), "named", n)
     out = rows.select("rid", "doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("rid", "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
