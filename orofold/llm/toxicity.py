@@ -1,14 +1,14 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-A word is spelled by growing prefixes (its first 4 bytes, its first 6, all of it), and each class has a model of that
-spelling: the chance of a prefix given the shorter one is its discounted count in the class, backed off to a
-distribution that both classes share, made from how many different contexts or words a prefix has been seen in. Rare
-expressions thus count for little by themselves, and words of one family vouch for each other. A text's
-features are its length-normalised log-likelihood ratio (toxic over ordinary) and the mean of its strongest words'
+A word is spelled by growing prefixes (its first 4 bytes, its first 6, all of it), and each class has a model of
+each of these levels: the chance of a prefix is its discounted count in the class, backed off to a
+distribution that both classes share, made from how many different shorter prefixes or classes' contexts it has been seen
+with. Rare expressions thus count for little by themselves, and words of one family vouch for each other. A word's
+log-likelihood ratio is the mean over its levels. A text's features are its length-normalised log-likelihood ratio (toxic over ordinary) and the mean of its strongest words'
 ratios; a logistic curve fitted on rows of their own makes them a score.
 
 Counts come from all labelled training rows, hashed to tables of fixed size (BUCKETS a level and class), summed on the executors.
-The curve alone is fitted on at most CALIBRATION rows of one fold, taken by hash.
+The curve alone is fitted on about CALIBRATION rows at most of a fold of its own, taken by hash.
 
 Defined results: null, empty and wordless texts have features 0 and so the score of a text without evidence; rows without a label
 teach nothing; repeated rows give a row each; a null doc_id is never trained on nor held out; without training rows of
@@ -27,8 +27,10 @@ from .langid import remainder
 
 PREFIXES = (4, 6, None)
 BUCKETS = 1 << 18
-#: Rows at most that the logistic curve is fitted on.
+#: Rows, about, that the logistic curve is fitted on at most.
 CALIBRATION = 20_000
+#: Labels (64 MB) that are broadcast at most.
+LABELS = 4_000_000
 #: The strongest words whose mean ratio is a feature.
 TOP = 4
 DISCOUNT = 0.9
@@ -97,10 +99,10 @@ def _counted(batches):
 
 
 class Model:
-    """Arrays of BUCKETS entries for each level: counts by class, kinds seen by class, contexts shared."""
+    """Log-likelihood ratios of BUCKETS entries for each level, and the curve that makes scores of them."""
 
-    def __init__(self, n: np.ndarray, kinds: np.ndarray, contexts: np.ndarray, rows: np.ndarray):
-        # n, kinds: (class, level, bucket) by context's bucket for kinds; contexts: (level, bucket)
+    def __init__(self, n: np.ndarray, contexts: np.ndarray, rows: np.ndarray):
+        """n: counts by (class, level, bucket); contexts: by (level, bucket), shared; rows: texts by class."""
         self.rows = rows
         self.base = float(rows[1] / rows.sum()) if rows.sum() else 0.0
         self.usable = bool(rows.min() > 0)
@@ -116,11 +118,10 @@ class Model:
                 d = DISCOUNT
                 p.append((np.maximum(n[c, level] - d, 0) + d * different * shared) / max(total, 1))
             self.ratio[level] = np.log(p[1] / p[0])
-        # A longer prefix adds what it says beyond the shorter one: P(long | short) = P(long) / P(short) in each class.
         self.curve = np.array([0.0, 0.0, 0.0])
 
     def words(self, text: str | None) -> np.ndarray:
-        """The log-likelihood ratio of each word: the level best attested by shared backoff, from all of it down."""
+        """The log-likelihood ratio of each word: the mean over its levels."""
         out = []
         for h in spelled(text):
             b = _bucket(h)
@@ -167,7 +168,7 @@ def train(rows: DataFrame, calibration: DataFrame) -> Model:
         n[0, at, bucket[here]], n[1, at, bucket[here]], shared[at, bucket[here]] = n0[here], n1[here], contexts[here]
     if (level == -1).any():
         heads = np.array([n0[level == -1].sum(), n1[level == -1].sum()])
-    model = Model(n, None, shared, heads)
+    model = Model(n, shared, heads)
     if model.usable:
         held = rows.sparkSession.sparkContext.broadcast(model)
 
@@ -199,11 +200,13 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs."""
     docs = only(docs, "doc_id", "text")
-    # One label an id; labels are far smaller than texts, so texts stay put where the labels' size allows.
-    told = only(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = docs.where(remainder(5) != 0).join(told, "doc_id").withColumn("toxic", (F.col("toxic") > 0).cast("int"))
     part = remainder(5)
-    bounded = known.where(part == 1).select("doc_id", "text", "toxic").orderBy(F.xxhash64("doc_id")).limit(CALIBRATION)
+    told = only(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").where(part != 0).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    sizes = told.agg(F.count("*").alias("all"), F.count(F.when(part == 1, 1)).alias("fold")).first()
+    # Labels are broadcast to the texts up to LABELS rows; beyond, texts are shuffled to them.
+    known = docs.join(F.broadcast(told) if sizes["all"] <= LABELS else told.hint("merge"), "doc_id")
+    share = min(1.0, CALIBRATION / max(sizes["fold"], 1))
+    bounded = known.where((part == 1) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))).select("text", "toxic")
     model = train(known.where(part > 1), bounded)
     return scored(docs.select("doc_id", "text", F.coalesce(part == 0, F.lit(False)).alias("held_out")), model)
 
