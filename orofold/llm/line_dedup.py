@@ -1,19 +1,21 @@
-"""Line deduplication over content-defined chunks of lines.
+"""Line deduplication over content-defined runs of lines.
 
-A rolling hash over the hashes of two neighbouring lines says where chunks end, so that a passage is cut alike wherever it
-stands; a line of many words is a chunk by itself. Chunks of two lines or more (or of one such line) whose
-bytes occur at several places, in one document or many, stay at their first place (least doc_id, then row, then position)
-and go from all others. Places are found by hash; then each chunk's bytes are compared with those
-of the first place, and what differs stays.
+A run starts at a line with words and ends at the next one that brings it to FEWEST words, or ends at a line and starts at the
+last one that does; a line of LONG words or more is a run by itself. Runs overlap, and where one stands depends on its own lines
+alone, so a passage has the same runs in whatever it is set. Runs whose bytes occur at several places, in one document or many,
+stay at their first place (least doc_id, then row, then position) and go from all others, and with them lines without words
+between two lines that go. The first place of each line's bytes always stays. Places are found by hash; then each run's bytes
+are compared with those of the first place, and what differs stays.
 
 Defined results: null and empty texts have no lines and stay as they are; repeated rows and rows that share a doc_id are
-documents of their own; a null doc_id comes last in order, so that others' copies stay; an empty table gives an
-empty result.
+documents of their own; a null doc_id comes last in order, so that others' copies stay; of lines
+that repeat at once, in turn, more than twice, the first turn stays; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,42 +25,44 @@ from pyspark.sql import functions as F
 
 from .common import numbered, only, written
 
-#: A chunk ends after one line in so many, on average.
-EVERY = 2
-#: A line of so many words is a chunk by itself.
+#: A line of so many words is a run by itself.
 LONG = 25
-#: Chunks of fewer words (blank lines, rulers) always stay.
+#: Other runs have two lines with words or more, and so many words at least.
 FEWEST = 8
-_M = (1 << 64) - 1
 
 
-def cut(text: bytes) -> list[tuple[int, int, int, bool]]:
-    """(first line, end, hash, whether it counts) of each chunk of a text."""
+def cut(text: bytes) -> list[tuple[int, int, int]]:
+    """(first line, end, hash) of each run of a text, in order."""
     lines = text.split(b"\n")
     words = [len(x.split()) for x in lines]
-    hashes = [xxhash.xxh64_intdigest(x) for x in lines]
-    out, start = [], 0
-    for i in range(len(lines)):
-        roll = (hashes[i - 1] if i > start else 0) * 0x9E3779B97F4A7C15 + hashes[i] * 0xC2B2AE3D27D4EB4F & _M
-        ends = i + 1 == len(lines) or words[i] >= LONG or words[i + 1] >= LONG or (i > start and (roll >> 40) % EVERY == 0)
-        if ends:
-            many = sum(words[start : i + 1])
-            counts = many >= FEWEST and (i > start or words[i] >= LONG)
-            out.append((start, i + 1, xxhash.xxh64_intdigest(b"\n".join(lines[start : i + 1])) - (1 << 63), counts))
-            start = i + 1
-    return out
+    full = [i for i, n in enumerate(words) if n]
+    sums, at = [0, *accumulate(words[i] for i in full)], [0, *accumulate(len(x) + 1 for x in lines)]
+    spans, end, start = set(), 0, 0
+    for k, i in enumerate(full):
+        if words[i] >= LONG:
+            spans.add((i, i + 1))
+            continue
+        end = max(end, k + 1)
+        while end < len(full) and sums[end + 1] - sums[k] < FEWEST:
+            end += 1
+        if end < len(full):
+            spans.add((i, full[end] + 1))
+        while start + 1 < k and sums[k + 1] - sums[start + 1] >= FEWEST:
+            start += 1
+        if start < k and sums[k + 1] - sums[start] >= FEWEST:
+            spans.add((full[start], i + 1))
+    return [(lo, hi, xxhash.xxh64_intdigest(text[at[lo] : at[hi] - 1]) - (1 << 63)) for lo, hi in sorted(spans)]
 
 
 def _places(batches):
     for batch in batches:
         rids, docs, at, hashes = [], [], [], []
         for rid, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            for k, (_, _, h, counts) in enumerate(cut(text.as_py())) if text.as_py() else ():
-                if counts:
-                    rids.append(rid)
-                    docs.append(doc)
-                    at.append(k)
-                    hashes.append(h)
+            for k, (_, _, h) in enumerate(cut(text.as_py())) if text.as_py() else ():
+                rids.append(rid)
+                docs.append(doc)
+                at.append(k)
+                hashes.append(h)
         yield pa.record_batch([pa.array(rids, pa.int64()), pa.array(docs, pa.int64()), pa.array(at, pa.int32()), pa.array(hashes, pa.int64())], names=["rid", "doc_id", "at", "h"])
 
 
@@ -67,7 +71,7 @@ _OUT = "rid long, doc_id long, n_lines long, n_removed long, text string, text_s
 
 
 def _thinned(with_text: bool):
-    """Texts without their marked chunks, and the marked chunks' bytes. Columns: rid, doc_id, text, marks."""
+    """Texts without their marked runs, and the marked runs' bytes. Columns: rid, doc_id, text, marks."""
     kind = pa.list_(pa.struct([("at", pa.int32()), ("h", pa.int64()), ("first", pa.bool_()), ("bytes", pa.binary())]))
 
     def run(batches):
@@ -79,10 +83,14 @@ def _thinned(with_text: bool):
                 stays, told = np.ones(len(lines), bool), []
                 if marks:
                     by_place = {m["at"]: m for m in marks}
-                    for k, (lo, hi, _, _) in enumerate(cut(data)):
+                    for k, (lo, hi, _) in enumerate(cut(data)):
                         if m := by_place.get(k):
                             told.append(m | {"bytes": b"\n".join(lines[lo:hi])})
                             stays[lo:hi] &= m["first"]
+                    full = [i for i, x in enumerate(lines) if x.strip()]
+                    for i, j in pairwise(full):
+                        if not stays[i] and not stays[j]:
+                            stays[i:j] = False
                 kept = b"\n".join([x for x, s in zip(lines, stays, strict=True) if s]) if lines else data
                 n.append(len(lines))
                 gone.append(len(lines) - int(stays.sum()))
@@ -95,7 +103,7 @@ def _thinned(with_text: bool):
 
 
 def line_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """rid, doc_id, n_lines, n_removed, text (without repeated chunks), text_sha256 for each row of docs."""
+    """rid, doc_id, n_lines, n_removed, text (without repeated runs), text_sha256 for each row of docs."""
     docs = numbered(only(docs, "doc_id", "text")).select("rid", "doc_id", F.col("text").cast("binary").alias("text"))
     places = written(docs.mapInArrow(_places, "rid long, doc_id long, at int, h long"), "places")
     order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "rid", "at")
@@ -103,7 +111,7 @@ def line_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     marks = places.join(repeated, "h").select("rid", F.struct("at", "h", ((F.col("rid") == F.col("first.rid")) & (F.col("at") == F.col("first.at"))).alias("first")).alias("mark"))
     marks = marks.groupBy("rid").agg(F.collect_list("mark").alias("marks"))
     done = written(docs.join(marks, "rid", "left").select("rid", "doc_id", "text", "marks").mapInArrow(_thinned(with_text), _OUT), "thinned")
-    # Byte comparison: of every chunk with the one at its first place.
+    # Byte comparison: of every run with the one at its first place.
     chunks = done.select("rid", F.explode("chunks").alias("c")).select("rid", "c.*")
     firsts = chunks.where("first").select("h", F.col("bytes").alias("other"))
     differ = written(chunks.where("not first").join(firsts, "h").where("bytes <> other").select("rid", "at"), "differ")

@@ -177,6 +177,32 @@ def test_line_dedup_compares_bytes(spark, monkeypatch):
     assert [c[2] for c in line_dedup.cut(a.encode())] == [c[2] for c in line_dedup.cut(b.encode())]
 
 
+def test_line_dedup_removes_short_passages_wholly(spark):
+    rng, rows, want = np.random.default_rng(6), [], {}
+    line = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, n))
+    for lines, words in [(3, 18), (4, 13), (5, 11), (6, 9), (8, 8), (12, 8), (20, 3), (3, 30)]:
+        for trial in range(12):
+            passage = [line(words) for _ in range(lines)]
+            if trial % 3 == 0:
+                passage = [passage[0], "", *passage[1:-1], " ", "", passage[-1], line(1)]
+            for copy in range(2):
+                around = [[line(rng.integers(2, 7)) for _ in range(rng.integers(1, 7))] for _ in range(2)]
+                own = around[0] + around[1] if copy else around[0] + passage + around[1]
+                want[len(rows)] = (len(passage) * copy, "\n".join(own))
+                rows.append((len(rows), "\n".join(around[0] + passage + around[1])))
+    got = {r.doc_id: (r.n_removed, r.text) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_line_dedup_keeps_a_place_of_every_line(spark):
+    rng = np.random.default_rng(7)
+    lines = [f"line {i} of {'some words ' * (i % 4)}" for i in range(9)] + ["", " "]
+    texts = ["\n".join(rng.choice(lines, 12)) for _ in range(60)] + ["\n" * 20_000 + "a b c d e f g h\n" * 3]
+    got = [r.text for r in line_dedup.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    full = lambda rows: {x for t in rows for x in t.split("\n") if x.strip()}
+    assert full(got) == full(texts) and sum(map(len, got)) < sum(map(len, texts))
+
+
 def test_language_id(spark, none):
     words = {"aa": "lorem ipsum dolor", "bb": "quick brown foxes", "cc": "über schön grün"}
     rows = [(i, f"{words[k]} {i} " * 5, k) for i, k in enumerate(list(words) * 40)]
