@@ -1,14 +1,15 @@
-"""Toxicity by class-conditional Kneser-Ney models.
+"""Toxicity by class-conditional Kneser-Ney models of word pairs.
 
-A word is spelled by growing prefixes (its first 4 bytes, its first 6, all of it), and each class has a model of
-each of these levels: the chance of a prefix is its discounted count in the class, backed off to a
-distribution that both classes share, made from how many different shorter prefixes or classes' contexts it has been seen
-with. Rare expressions thus count for little by themselves, and words of one family vouch for each other. A word's
-log-likelihood ratio is the mean over its levels. A text's features are its length-normalised log-likelihood ratio (toxic over ordinary) and the mean of its strongest words'
-ratios; a logistic curve fitted on rows of their own makes them a score.
+Each class has a model of words given the word before (or the text's start): the discounted count of the pair in the class
+(once a text, as repeats in a text aren't independent), backed off to the discounted count of the word in the class (times how much likelier the word before makes it in either
+class), backed off to the continuation distribution that both classes share: with how many different words before it the word was seen. A word's evidence is the log-likelihood ratio (toxic over
+ordinary) of these chances. A text's features are the mean ratio of its words and the mean of its strongest ones; a
+logistic curve makes them a score.
 
-Counts come from all labelled training rows, hashed to tables of fixed size (BUCKETS a level and class), summed on the executors.
-The curve alone is fitted on about CALIBRATION rows at most of a fold of its own, taken by hash.
+Counts come from all labelled training rows and are keyed by 64-bit hashes in written tables that grow with the
+vocabulary, packed by shards (as many as the session's shuffles have). Texts are scored in blocks: a block asks each shard for its distinct pairs
+and words, and the answers meet the block again. Nothing of the model is broadcast or reaches the driver but totals. The curve is fitted on about
+CALIBRATION rows at most of a fold of its own, taken by hash; these are scored by the model less their counts, all others by the model of all counts.
 
 Defined results: null, empty and wordless texts have features 0 and so the score of a text without evidence; rows without a label
 teach nothing; repeated rows give a row each; a null doc_id is never trained on nor held out; without training rows of
@@ -22,11 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, mix, only, pieces, span_hashes, table, word_bounds
+from .common import _LOWER, mix, numbered, only, pieces, span_hashes, table, word_bounds, written
 from .langid import remainder
 
-PREFIXES = (4, 6, None)
-BUCKETS = 1 << 18
 #: Rows, about, that the logistic curve is fitted on at most.
 CALIBRATION = 20_000
 #: Labels (64 MB) that are broadcast at most.
@@ -34,181 +33,334 @@ LABELS = 4_000_000
 #: The strongest words whose mean ratio is a feature.
 TOP = 4
 DISCOUNT = 0.9
+#: Words of the lower order that each first word's counts are filled up with, so that few pairs aren't taken for all.
+STRENGTH = 1000.0
+#: Different words before it that each word is given beyond those seen: the continuation's own lower order, alike for all words.
+FILL = 100.0
+#: Words that a block of texts, or a task's counts in memory, closes at.
+BLOCK = 1 << 21
+#: The word before a text's first.
+START = np.zeros(1, np.uint64)
+#: Pairs of one first word are dealt over so many shards.
+SALTS = 8
+_PACKED = "block long, shard int, parts array<binary>"
+_SCHEMA = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("parts", pa.list_(pa.binary()))])
+
+
+def spelled(text: str | None) -> np.ndarray:
+    """The hashes of a text's words, letters lower-cased; marks at a word's ends don't count."""
+    out = []
+    for part in pieces((text or "").encode(errors="replace").translate(_LOWER)):
+        raw = np.frombuffer(part, np.uint8)
+        if len(raw):
+            word = ((raw >= 0x61) & (raw <= 0x7A)) | (raw >= 0x80) | ((raw >= 0x30) & (raw <= 0x39))
+            out.append(span_hashes(raw, *word_bounds(np.where(word, raw, 0x20).astype(np.uint8))))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def spelled(text: str | None):
-    """For each piece of a whole text an array (level, word) of hashed prefixes, letters lower-cased; marks at a word's
-    ends don't count."""
-    data = (text or "").encode(errors="replace").translate(_LOWER)
-    for part in pieces(data):
-        raw = np.frombuffer(part, np.uint8)
-        if not len(raw):
-            continue
-        word = ((raw >= 0x61) & (raw <= 0x7A)) | (raw >= 0x80) | ((raw >= 0x30) & (raw <= 0x39))
-        starts, ends = word_bounds(np.where(word, raw, 0x20).astype(np.uint8))
-        if not len(starts):
-            continue
-        yield np.stack([span_hashes(raw, starts, ends if n is None else np.minimum(ends, starts + n)) for n in PREFIXES])
-
-
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(46)).astype(np.int64)
-
-
-def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k = np.concatenate(keys)
-    n = np.concatenate(counts)
-    u, inverse = np.unique(k, return_inverse=True)
-    return u, np.bincount(inverse, weights=n, minlength=len(u)).astype(np.int64)
-
-
-def _counted(batches):
-    """Rows level, context (bucket), bucket, toxic, n of labelled texts, summed within the task in bounded steps."""
-    held: dict[tuple[int, int], tuple[list, list]] = {}
-    rows = np.zeros(2, np.int64)
-    size = 0
-
-    def told():
-        for (level, toxic), (keys, counts) in held.items():
-            k, n = _merge(keys, counts)
-            yield pa.record_batch([pa.array(np.full(len(k), level), pa.int32()), pa.array(k >> 18, pa.int32()), pa.array(k & (BUCKETS - 1), pa.int32()), pa.array(np.full(len(k), toxic), pa.int32()), pa.array(n)], names=["level", "context", "bucket", "toxic", "n"])
-        held.clear()
-
-    for batch in batches:
-        for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            rows[toxic] += 1
-            for h in spelled(text.as_py()):
-                b = _bucket(h)
-                for level in range(len(PREFIXES)):
-                    keys = ((b[level - 1] if level else np.zeros_like(b[0])) << 18) | b[level]
-                    k, n = np.unique(keys, return_counts=True)
-                    own = held.setdefault((level, toxic), ([], []))
-                    own[0].append(k)
-                    own[1].append(n)
-                    size += len(k)
-            if size > 2_000_000:
-                for key, (keys, counts) in list(held.items()):
-                    k, n = _merge(keys, counts)
-                    held[key] = ([k], [n])
-                size = sum(len(x[0][0]) for x in held.values())
-                if size > 1_500_000:
-                    yield from told()
-                    size = 0
-    yield from told()
-    yield pa.record_batch([pa.array([-1, -1], pa.int32()), pa.array([0, 0], pa.int32()), pa.array([0, 0], pa.int32()), pa.array([0, 1], pa.int32()), pa.array(rows)], names=["level", "context", "bucket", "toxic", "n"])
-
-
-class Model:
-    """Log-likelihood ratios of BUCKETS entries for each level, and the curve that makes scores of them."""
-
-    def __init__(self, n: np.ndarray, contexts: np.ndarray, rows: np.ndarray):
-        """n: counts by (class, level, bucket); contexts: by (level, bucket), shared; rows: texts by class."""
-        self.rows = rows
-        self.base = float(rows[1] / rows.sum()) if rows.sum() else 0.0
-        self.usable = bool(rows.min() > 0)
-        if not self.usable:
-            return
-        self.ratio = np.zeros((len(PREFIXES), BUCKETS), np.float32)
-        for level in range(len(PREFIXES)):
-            seen = contexts[level].sum()
-            shared = (contexts[level] + 0.5) / (seen + 0.5 * BUCKETS)
-            p = []
-            for c in (0, 1):
-                total, different = n[c, level].sum(), np.count_nonzero(n[c, level])
-                d = DISCOUNT
-                p.append((np.maximum(n[c, level] - d, 0) + d * different * shared) / max(total, 1))
-            self.ratio[level] = np.log(p[1] / p[0])
-        self.curve = np.array([0.0, 0.0, 0.0])
-
-    def words(self, text: str | None) -> np.ndarray:
-        """The log-likelihood ratio of each word: the mean over its levels."""
-        out = []
-        for h in spelled(text):
-            b = _bucket(h)
-            out.append(np.mean([self.ratio[level][b[level]] for level in range(len(PREFIXES))], axis=0))
-        return np.concatenate(out) if out else np.zeros(0, np.float32)
-
-    def features(self, text: str | None) -> tuple[float, float]:
-        w = self.words(text)
-        if not len(w):
-            return 0.0, 0.0
-        top = np.sort(np.partition(w, -min(TOP, len(w)))[-min(TOP, len(w)) :])
-        return float(w.mean()), float(top.sum() / TOP)
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Logistic regression by Newton steps, with a small ridge."""
-        a = np.column_stack([np.ones(len(x)), x])
-        w = np.array([np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), 0.0, 0.0])
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-            g = a.T @ (p - y) + 1e-2 * w
-            h = (a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(3)
-            step = np.linalg.solve(h, g)
-            w = w - np.clip(step, -5, 5)
-            if np.abs(step).max() < 1e-6:
-                break
-        self.curve = w
-
-    def score(self, text: str | None) -> float:
-        if not self.usable:
-            return self.base
-        return float(1 / (1 + np.exp(-np.clip(self.curve @ np.array([1.0, *self.features(text)]), -30, 30))))
-
-
-def train(rows: DataFrame, calibration: DataFrame) -> Model:
-    """rows, calibration: text, toxic (0 or 1); tables of BUCKETS rows a level and class at most reach the driver."""
-    counted = rows.select(F.col("text").alias("text"), F.col("toxic").cast("int")).mapInArrow(_counted, "level int, context int, bucket int, toxic int, n long")
-    pairs = counted.groupBy("level", "context", "bucket").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("n1"))
-    # Of a prefix: its counts by class, and how many contexts or longer prefixes it was seen with, in either class.
-    sums = pairs.groupBy("level", "bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count("*").alias("contexts")).toArrow()
-    level, bucket, n0, n1, contexts = (sums.column(c).to_numpy() for c in ("level", "bucket", "n0", "n1", "contexts"))
-    n, shared, heads = np.zeros((2, len(PREFIXES), BUCKETS)), np.zeros((len(PREFIXES), BUCKETS)), np.zeros(2)
-    for at in range(len(PREFIXES)):
-        here = level == at
-        n[0, at, bucket[here]], n[1, at, bucket[here]], shared[at, bucket[here]] = n0[here], n1[here], contexts[here]
-    if (level == -1).any():
-        heads = np.array([n0[level == -1].sum(), n1[level == -1].sum()])
-    model = Model(n, shared, heads)
-    if model.usable:
-        held = rows.sparkSession.sparkContext.broadcast(model)
-
-        def run(batches):
-            for batch in batches:
-                f = [held.value.features(t.as_py()) for t in batch.column(0)]
-                yield pa.record_batch([pa.array([v[0] for v in f], pa.float64()), pa.array([v[1] for v in f], pa.float64()), batch.column(1)], names=["x", "y", "toxic"])
-
-        got = calibration.select("text", F.col("toxic").cast("int")).mapInArrow(run, "x double, y double, toxic int").toArrow()
-        if len(got):
-            model.fit(np.column_stack([got.column("x").to_numpy(), got.column("y").to_numpy()]), got.column("toxic").to_numpy().astype(float))
-        else:
-            model.curve = np.array([np.log(model.base / (1 - model.base)), 1.0, 1.0])
-    return model
-
-
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted of docs (doc_id, text, held_out)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def _before(words: np.ndarray) -> np.ndarray:
+    return np.concatenate([START, words[:-1]]) if len(words) else words
+
+
+def _pair(first: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(mix(first) * np.uint64(0xD6E8FEB86659FD93) + word)
+
+
+def _shard(first: np.ndarray, word: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(first + (word & np.uint64(SALTS - 1)) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(shards)).astype(np.int64)
+
+
+def _word_shard(word: np.ndarray, shards: int) -> np.ndarray:
+    return (word % np.uint64(shards)).astype(np.int64)
+
+
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def _closed(x: np.ndarray) -> bytes:
+    """An array's bytes: rising keys as steps, columns one after another, by byte places, compressed."""
+    steps = x.dtype == np.uint64 and bool((x[1:] >= x[:-1]).all())
+    x = np.ascontiguousarray(np.diff(x, prepend=np.uint64(0)) if steps else x.T)
+    places = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.dtype.itemsize).T)
+    return bytes([steps]) + places.nbytes.to_bytes(8, "little") + _ZSTD.compress(places, asbytes=True)
+
+
+def _opened(data: bytes, kind, width: int = 0) -> np.ndarray:
+    size = int.from_bytes(data[1:9], "little")
+    places = np.frombuffer(_ZSTD.decompress(data[9:], size, asbytes=True) if size else b"", np.uint8)
+    x = np.ascontiguousarray(places.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    if data[0]:
+        return np.cumsum(x, dtype=np.uint64)
+    return np.ascontiguousarray(x.reshape(width, -1).T) if width else x
+
+
+def _rows(rows: list[tuple[int, int, list[np.ndarray]]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([[_closed(p) for p in r[2]] for r in rows], pa.list_(pa.binary()))], schema=_SCHEMA)
+
+
+def _cuts(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by shard, and where each shard starts and ends in it."""
+    return np.argsort(shard, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
+
+
+def _dealt(shard: np.ndarray, shards: int, base: int, columns: list[np.ndarray]) -> list[tuple[int, int, list[np.ndarray]]]:
+    order, ends = _cuts(shard, shards)
+    columns = [c[order] for c in columns]
+    return [(0, base + s, [c[ends[s] : ends[s + 1]] for c in columns]) for s in range(shards) if ends[s] < ends[s + 1]]
+
+
+def _sums(inverse: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(inverse, counts[:, c], n) for c in range(counts.shape[1])], 1).astype(np.uint32) if n else counts[:0]
+
+
+def _unpacked(rows, at: int, kind, width: int = 0) -> np.ndarray:
+    return np.concatenate([_opened(r[at], kind, width) for r in rows]) if rows else np.zeros((0, width) if width else 0, kind)
+
+
+def _counted(shards: int):
+    """Pairs of labelled texts by kind of row (ordinary, toxic, both again for the calibration rows), summed in bounded steps."""
 
     def run(batches):
+        held, size = [], 0
+
+        def told():
+            first, word, kind = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, at, inverse = np.unique(_pair(first, word), return_index=True, return_inverse=True)
+            counts = np.bincount(inverse * 4 + kind, minlength=4 * len(at)).reshape(-1, 4).astype(np.uint32)
+            order = np.argsort(first[at], kind="stable")
+            at, counts = at[order], counts[order]
+            return _rows(_dealt(_shard(first[at], word[at], shards), shards, 0, [first[at], word[at], counts]))
+
+        for batch in batches:
+            for text, kind in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                words = spelled(text.as_py())
+                if len(words):
+                    first = _before(words)
+                    at = np.unique(_pair(first, words), return_index=True)[1]
+                    held.append((first[at], words[at], np.full(len(at), kind, np.int8)))
+                    size += len(at)
+                if size > BLOCK:
+                    yield told()
+                    held, size = [], 0
+        if held:
+            yield told()
+
+    return run
+
+
+def _by_model(counts: np.ndarray) -> np.ndarray:
+    """Counts of ordinary and toxic rows: of all rows, then of those that aren't for calibration."""
+    return np.concatenate([counts[:, :2] + counts[:, 2:], counts[:, :2]], 1)
+
+
+#: Columns of a word's row, for each of the two models: as first word its pairs and different pairs by class, its
+#: count by class, and the different words before it and after it in either class.
+WIDTH = 16
+
+
+def _merged(shards: int):
+    """The table of a shard's pairs, and what they add to the rows of their words."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows, shard = group.column("parts").to_pylist(), group.column("shard")[0].as_py()
+        first, word, counts = _unpacked(rows, 0, np.uint64), _unpacked(rows, 1, np.uint64), _unpacked(rows, 2, np.uint32, 4)
+        key, at, inverse = np.unique(_pair(first, word), return_index=True, return_inverse=True)
+        n = _by_model(_sums(inverse, counts, len(key)))
+        out = [(0, shard, [key, n])]
+        first, word = first[at], word[at]
+        words, inverse = np.unique(np.concatenate([first, word]), return_inverse=True)
+        own = np.zeros((len(words), WIDTH), np.uint32)
+        as_first, as_word = inverse[: len(first)], inverse[len(first) :]
+        own[:, 0:4], own[:, 4:8], own[:, 8:12] = _sums(as_first, n, len(words)), _sums(as_first, n > 0, len(words)), _sums(as_word, n, len(words))
+        either = np.stack([n[:, :2].any(1), n[:, 2:].any(1)], 1)
+        own[:, 12:14], own[:, 14:] = _sums(as_word, either, len(words)), _sums(as_first, either, len(words))
+        out += _dealt(_word_shard(words, shards), shards, shards, [words, own])
+        return pa.Table.from_batches([_rows(out)])
+
+    return run
+
+
+def _merged_words(group: pa.Table) -> pa.Table:
+    """The table of a shard's words, and its totals."""
+    rows = group.column("parts").to_pylist()
+    words, inverse = np.unique(_unpacked(rows, 0, np.uint64), return_inverse=True)
+    own = _sums(inverse, _unpacked(rows, 1, np.uint32, WIDTH), len(words))
+    totals = np.concatenate([own[:, 8:14].sum(0, dtype=np.float64), (own[:, 8:12] > 0).sum(0), (own[:, 12:14] > 0).sum(0)])
+    return pa.Table.from_batches([_rows([(0, group.column("shard")[0].as_py(), [words, own, totals.astype(np.float64)])])])
+
+
+class Block:
+    """The distinct pairs and words of texts (by the words of all, and the one before each), both in order of their shards."""
+
+    def __init__(self, words: np.ndarray, first: np.ndarray, shards: int):
+        keys, at, inverse = np.unique(_pair(first, words), return_index=True, return_inverse=True)
+        first, words = first[at], words[at]
+        order, self.ends = _cuts(_shard(first, words, shards), shards)
+        self.keys = keys[order]
+        single = np.unique(np.concatenate([first, words]))
+        word_order, self.word_ends = _cuts(_word_shard(single, shards), shards)
+        self.words = single[word_order]
+        rank, word_rank = np.empty(len(order), np.int64), np.empty(len(word_order), np.int64)
+        rank[order], word_rank[word_order] = np.arange(len(order)), np.arange(len(word_order))
+        #: Of each text word its pair; of each pair its words.
+        self.numbers = rank[inverse]
+        self.first, self.word = (word_rank[np.searchsorted(single, x[order])] for x in (first, words))
+
+
+def _asked(shards: int, asks: bool):
+    """Blocks of texts (rid, doc_id, text, held_out, kind): what they ask of each shard, or the texts themselves by numbers of words."""
+
+    def told(held):
+        words, block = np.concatenate([h[4] for h in held]), held[0][0]
+        if asks:
+            b = Block(words, np.concatenate([_before(h[4]) for h in held]), shards)
+            rows = []
+            for base, keys, ends in ((0, b.keys, b.ends), (shards, b.words, b.word_ends)):
+                rows += [(block, base + s, [keys[ends[s] : ends[s + 1]]]) for s in range(shards) if ends[s] < ends[s + 1]]
+            return _rows(rows)
+        single, numbers = np.unique(words, return_inverse=True)
+        ids = np.array([[h[0], h[1] or 0, h[1] is None, h[2], h[3], len(h[4])] for h in held], np.int64)
+        return _rows([(block, -1, [ids, single, numbers.astype(np.uint32)])])
+
+    def run(batches):
+        held, size = [], 0
         for batch in batches:
-            s = [held.value.score(t.as_py()) for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
+            for rid, doc, text, out, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                held.append((rid, doc, out, -1 if kind is None else kind, spelled(text.as_py())))
+                size += len(held[-1][4]) + 1
+                if size > BLOCK:
+                    yield told(held)
+                    held, size = [], 0
+        if held:
+            yield told(held)
+
+    return run
 
-    return docs.select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+def _answered(shards: int):
+    def run(asked: pa.Table, known: pa.Table) -> pa.Table:
+        out = []
+        if len(asked):
+            shard = asked.column("shard")[0].as_py()
+            width = 4 if shard < shards else WIDTH
+            rows = known.column("parts").to_pylist()
+            keys, values = _unpacked(rows, 0, np.uint64), _unpacked(rows, 1, np.uint32, width)
+            for block, parts in zip(asked.column("block").to_pylist(), asked.column("parts"), strict=True):
+                wanted = _opened(parts[0].as_py(), np.uint64)
+                got = np.zeros((len(wanted), width), np.uint32)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                    hit = keys[at] == wanted
+                    got[hit] = values[at[hit]]
+                out.append((block, shard, [got]))
+        return pa.Table.from_batches([_rows(out)])
+
+    return run
+
+
+def ratios(n: np.ndarray, words: np.ndarray, first: np.ndarray, word: np.ndarray, totals: np.ndarray, model: int) -> np.ndarray:
+    """The log-likelihood ratio of each pair: n its counts, first and word the numbers of its words among words.
+
+    model 0: of all rows, 1: of all but the calibration's. totals: counts (4), different pairs (2), words by class (4), words (2)."""
+    seen = words[:, 12 + model].astype(float)
+    shared = (seen + FILL) / (totals[4 + model] + FILL * (totals[10 + model] + 1))
+    # How much likelier the pair makes its word in either class: common to both, so that a rare pair isn't evidence by itself.
+    after = words[first, 2 * model : 2 * model + 2].sum(1, dtype=float)
+    both = np.maximum(n[:, 2 * model : 2 * model + 2].sum(1, dtype=float) - DISCOUNT, 0)
+    lift = np.where(after > 0, (both + DISCOUNT * words[first, 14 + model] * shared[word]) / np.maximum(after, 1) / shared[word], 1)
+    chance = []
+    for c in (2 * model, 2 * model + 1):
+        total = max(totals[c], 1.0)
+        single = (np.maximum(words[:, 8 + c] - DISCOUNT, 0) + max(DISCOUNT * totals[6 + c], DISCOUNT) * shared) / total
+        pairs, different = words[first, c].astype(float), words[first, 4 + c]
+        lower = single[word] * lift
+        chance.append((np.maximum(n[:, c] - DISCOUNT, 0) + (DISCOUNT * different + STRENGTH) * lower) / (pairs + STRENGTH))
+    return np.log(chance[1] / chance[0])
+
+
+def _features(shards: int, totals: np.ndarray):
+    """rid, doc_id, held_out, kind and the features by either model of a block's texts."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(group.column("shard").to_pylist(), group.column("parts").to_pylist(), strict=True), key=lambda r: r[0])
+        ids, single, numbers = (_opened(x, *k) for x, k in zip(rows[0][1], ((np.int64, 6), (np.uint64,), (np.uint32,)), strict=True))
+        texts = np.split(single[numbers], np.cumsum(ids[:-1, 5]))
+        block = Block(np.concatenate(texts), np.concatenate([_before(t) for t in texts]), shards)
+        n = _unpacked([p for s, p in rows if 0 <= s < shards], 0, np.uint32, 4)
+        words = _unpacked([p for s, p in rows if s >= shards], 0, np.uint32, WIDTH)
+        ratio = [ratios(n, words, block.first, block.word, totals, m) for m in (0, 1)]
+        ends = np.cumsum(ids[:, 5])
+        out = np.zeros((len(ids), 4))
+        for k, (hi, length, kind) in enumerate(zip(ends, ids[:, 5], ids[:, 4], strict=True)):
+            for m in (0, 1) if kind >= 2 else (0,):
+                if length:
+                    r = ratio[m][block.numbers[hi - length : hi]]
+                    top = min(TOP, length)
+                    out[k, 2 * m : 2 * m + 2] = r.mean(), np.partition(r, -top)[-top:].sum() / TOP
+        return pa.table({"doc_id": pa.array(ids[:, 1], mask=ids[:, 2].astype(bool)), "held_out": ids[:, 3].astype(bool), "kind": ids[:, 4].astype(np.int32)} | {f"x{k}": out[:, k] for k in range(4)})
+
+    return run
+
+
+def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic regression by Newton steps, with a small ridge."""
+    a = np.column_stack([np.ones(len(x)), x])
+    w = np.array([np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), 0.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        g = a.T @ (p - y) + 1e-2 * w
+        h = (a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(3)
+        step = np.linalg.solve(h, g)
+        w = w - np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def train(known: DataFrame, shards: int) -> tuple[DataFrame, np.ndarray]:
+    """The packed tables of pairs and words of known (text, kind: toxic, and 2 more for calibration rows), and their totals."""
+    counted = known.select("text", "kind").mapInArrow(_counted(shards), _PACKED)
+    pairs = written(counted.groupBy("shard").applyInArrow(_merged(shards), _PACKED), "pairs")
+    words = written(pairs.where(F.col("shard") >= shards).groupBy("shard").applyInArrow(_merged_words, _PACKED), "words")
+    totals = np.zeros(12)
+    for row in words.select(F.col("parts")[2].alias("totals")).collect():
+        totals += _opened(row.totals, np.float64)
+    return pairs.where(F.col("shard") < shards).unionByName(words.withColumn("parts", F.slice("parts", 1, 2))), totals
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs."""
-    docs = only(docs, "doc_id", "text")
+    docs = numbered(only(docs, "doc_id", "text"))
+    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = remainder(5)
     told = only(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").where(part != 0).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     sizes = told.agg(F.count("*").alias("all"), F.count(F.when(part == 1, 1)).alias("fold")).first()
-    # Labels are broadcast to the texts up to LABELS rows; beyond, texts are shuffled to them.
-    known = docs.join(F.broadcast(told) if sizes["all"] <= LABELS else told.hint("merge"), "doc_id")
     share = min(1.0, CALIBRATION / max(sizes["fold"], 1))
-    bounded = known.where((part == 1) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))).select("text", "toxic")
-    model = train(known.where(part > 1), bounded)
-    return scored(docs.select("doc_id", "text", F.coalesce(part == 0, F.lit(False)).alias("held_out")), model)
+    bounded = (part == 1) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    told = told.withColumn("kind", F.col("toxic") + F.when(bounded, 2).otherwise(0)).select("doc_id", "kind")
+    # Labels are broadcast to the texts up to LABELS rows; beyond, texts are shuffled to them, and written to keep their order.
+    docs = docs.join(F.broadcast(told) if sizes["all"] <= LABELS else told.hint("merge"), "doc_id", "left")
+    docs = docs.select("rid", "doc_id", "text", F.coalesce(part == 0, F.lit(False)).alias("held_out"), "kind")
+    if sizes["all"] > LABELS:
+        docs = written(docs, "labelled")
+    known = docs.where("kind is not null")
+    rows = {r["kind"]: r["n"] for r in known.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    ordinary, toxic = rows.get(0, 0) + rows.get(2, 0), rows.get(1, 0) + rows.get(3, 0)
+    base = toxic / max(ordinary + toxic, 1)
+    if not ordinary or not toxic:
+        return docs.select("doc_id", "held_out", F.lit(base).alias("score"), F.lit(int(base >= 0.5)).alias("predicted"))
+    model, totals = train(known, shards)
+    asked = docs.mapInArrow(_asked(shards, True), _PACKED)
+    answers = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(_answered(shards), _PACKED)
+    texts = docs.mapInArrow(_asked(shards, False), _PACKED)
+    got = written(texts.unionByName(answers).groupBy("block").applyInArrow(_features(shards, totals), "doc_id long, held_out boolean, kind int, x0 double, x1 double, x2 double, x3 double"), "features")
+    curve = np.array([np.log(base / (1 - base)), 1.0, 1.0])
+    if rows.get(0) and rows.get(1) and (rows.get(2) or rows.get(3)):
+        told = got.where("kind >= 2").select("x2", "x3", (F.col("kind") - 2).alias("y")).toArrow()
+        curve = fit(np.column_stack([told.column("x2").to_numpy(), told.column("x3").to_numpy()]), told.column("y").to_numpy().astype(float))
+    z = F.lit(float(curve[0])) + F.lit(float(curve[1])) * F.col("x0") + F.lit(float(curve[2])) * F.col("x1")
+    score = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
+    return got.select("doc_id", "held_out", score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -242,6 +242,28 @@ def test_toxicity(spark, none):
     assert empty.count() == 0
 
 
+def held_out_accuracy(spark, rows, labels, of):
+    got = {r.doc_id: r for r in toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    told = dict(labels)
+    right = [got[i].predicted == told[i] for i in of if got[i].held_out]
+    return sum(right) / len(right)
+
+
+def test_toxicity_tells_wording_of_ordinary_words(spark):
+    """Toxic texts say "word3 word5", ordinary ones as often "word5 word3"."""
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for i in range(900):
+        words = list(rng.choice([f"word{k}" for k in range(40)], 30))
+        words = [w for w, x in zip(words, [*words[1:], ""], strict=True) if {w, x} != {"word3", "word5"}]
+        for _ in range(4):
+            at = int(rng.integers(0, len(words)))
+            words[at:at] = ["word3", "word5"] if i % 3 == 0 else ["word5", "word3"]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 3 == 0)))
+    assert held_out_accuracy(spark, rows, labels, range(900)) > 0.9
+
+
 @pytest.mark.parametrize("cap", [4096, 7])
 def test_embeddings_match_brute_force(spark, cap):
     rng = np.random.default_rng(8)
