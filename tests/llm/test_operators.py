@@ -264,6 +264,24 @@ def test_toxicity_tells_wording_of_ordinary_words(spark):
     assert held_out_accuracy(spark, rows, labels, range(900)) > 0.9
 
 
+def test_toxicity_counts_every_pair_by_itself(spark):
+    """More words than 2^18, each counted exactly."""
+    texts = [(" ".join(f"{k}x{j}" for j in range(10_000)) + f" {k}x0 {k}x1", k % 4) for k in range(30)]
+    model, totals = toxicity.train(spark.createDataFrame(texts, "text string, kind int"), 5)
+    want, words = Counter(), set()
+    for text, kind in texts:
+        w = toxicity.spelled(text)
+        words |= set(w.tolist())
+        for key in set(toxicity._pair(toxicity._before(w), w).tolist()):
+            want[key, kind % 2] += 1
+    got = {}
+    for row in model.where("shard < 5").collect():
+        n = toxicity._opened(row.parts[1], np.uint32, 4)
+        got |= {(int(k), c): int(n[i, c]) for i, k in enumerate(toxicity._opened(row.parts[0], np.uint64)) for c in (0, 1) if n[i, c]}
+    assert got == want and len(words) == 300_000 == totals[10]
+    assert totals[:2].tolist() == [sum(n for (_, c), n in want.items() if c == k) for k in (0, 1)]
+
+
 @pytest.mark.parametrize("cap", [4096, 7])
 def test_embeddings_match_brute_force(spark, cap):
     rng = np.random.default_rng(8)
