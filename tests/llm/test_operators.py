@@ -282,6 +282,24 @@ def test_toxicity_counts_every_pair_by_itself(spark):
     assert totals[:2].tolist() == [sum(n for (_, c), n in want.items() if c == k) for k in (0, 1)]
 
 
+def test_toxicity_counts_the_calibration_fold(spark):
+    rng = np.random.default_rng(9)
+    rows, labels, probes = [], [], []
+    for i in range(1200):
+        fold = zlib.crc32(str(i).encode()) % 5
+        words = list(rng.choice([f"word{k}" for k in range(200)], 40))
+        if i % 4 == 0:
+            # foldslur is said in the fold of remainder 1 alone, and in the held-out texts.
+            said = "foldslur" if fold == 0 or fold == 1 and i % 8 == 0 else "vilest"
+            words[::5] = [said] * 8
+            probes.append(i)
+        else:
+            words[::5] = [f"{name}{i}" for name in "abcdefgh"]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    assert held_out_accuracy(spark, rows, labels, probes) > 0.9
+
+
 @pytest.mark.parametrize("cap", [4096, 7])
 def test_embeddings_match_brute_force(spark, cap):
     rng = np.random.default_rng(8)
