@@ -170,6 +170,12 @@ def smooth_tiles(cells: DataFrame, taps: np.ndarray, shape: tuple[int, int], til
     return tiled(cells, lambda data: convolve(data, t), len(t) // 2, shape, tile)
 
 
+def extent(cells: DataFrame, least: tuple[int, int]) -> tuple[int, int]:
+    """Rows and columns of a sheet that holds all cells (i, j), and so many at least."""
+    far = cells.agg(F.max("i"), F.max("j")).first()
+    return max(int(far[0] or 0), least[0]), max(int(far[1] or 0), least[1])
+
+
 def consolidate(sources: DataFrame, shape: tuple[int, int]) -> DataFrame:
     """sheet, i, j, z of one sheet of shape (rows, columns) from source cells (i, j, z, file_order): a later source overwrites, missing
     values don't, and what no source has is 0."""

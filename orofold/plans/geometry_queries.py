@@ -149,7 +149,8 @@ def candidate_anti_join(spark, sf_dir):
     SELECT g.i, g.j, coalesce(z, 0) AS z FROM g LEFT JOIN (SELECT * FROM s WHERE r = 1) s ON g.i = s.i AND g.j = s.j""",
 )
 def consolidate_last_wins(spark, sf_dir):
-    return raster.consolidate(rasters.sparse_cells(spark, sf_dir), (2000, 100)).select("i", "j", "z")
+    cells = rasters.sparse_cells(spark, sf_dir)
+    return raster.consolidate(cells, raster.extent(cells, (2000, 100))).select("i", "j", "z")
 
 
 @query("paper_and_scale", f"SELECT 'LARGE' AS spec, {LARGE.scale_denominator} AS scale, CAST({LARGE.area} AS BIGINT) AS area, {LARGE.paper_mm[0]} AS width_mm, {LARGE.paper_mm[1]} AS height_mm")

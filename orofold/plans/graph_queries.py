@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graphs, segments, summits, water
+from ..operators import graphs, raster, segments, summits, water
 from ..sources import rasters, svg
 from . import sql
 from .registry import query
@@ -135,7 +135,8 @@ def distinct_summits(spark, sf_dir):
 
 @query("border_cells", f"WITH {sql.ORD} SELECT i, j FROM ord WHERE i = 1 AND j BETWEEN 2 AND 124 UNION ALL SELECT i, j FROM ord WHERE j = 125 AND i BETWEEN 2 AND 119")
 def border_cells(spark, sf_dir):
-    return summits.border_cells(rasters.orders_raster(spark, sf_dir), (120, 125), ["n", "e"]).select("i", "j")
+    cells = rasters.orders_raster(spark, sf_dir)
+    return summits.border_cells(cells, raster.extent(cells, (120, 125)), ["n", "e"]).select("i", "j")
 
 
 _SUMMITS = "su AS (SELECT o_orderkey AS id, o_orderkey % 20 + 1 AS sheet, 44000 + o_orderkey % 977 AS e, 6909000 + o_orderkey // 977 AS n, CAST(round_even(o_totalprice / 250, 0) AS DOUBLE) AS z, CAST(o_custkey % 211 AS DOUBLE) AS prominence FROM orders)"

@@ -12,6 +12,7 @@ from ..sources import rasters
 from . import sql
 from .registry import query
 
+#: Rows and columns of the sheets in the SQL; those of larger tables have more.
 SHAPE = (120, 125)
 
 
@@ -184,7 +185,8 @@ def contour_union(spark, sf_dir):
 
 @query("dilate", f"WITH {sql.ORD}, m AS (SELECT i, j FROM ord WHERE z % 211 = 0), d(d) AS (VALUES (-2), (-1), (0), (1), (2)) SELECT DISTINCT i + a.d AS i, j + b.d AS j FROM m CROSS JOIN d a CROSS JOIN d b WHERE i + a.d BETWEEN 1 AND 120 AND j + b.d BETWEEN 1 AND 125")
 def dilate(spark, sf_dir):
-    return terrain.dilate(ord_cells(spark, sf_dir).where("z % 211 = 0"), 2, SHAPE).select("i", "j")
+    cells = ord_cells(spark, sf_dir)
+    return terrain.dilate(cells.where("z % 211 = 0"), 2, raster.extent(cells, SHAPE)).select("i", "j")
 
 
 @query("thinning")
@@ -195,9 +197,10 @@ def thinning(spark, sf_dir):
 
 @query("ridge_class", f"WITH {sql.EMB}, {sql.hessian('emb')} SELECT i, j, CASE WHEN i > 5 AND i < 500 - 5 AND j > 5 AND j < 64 - 5 THEN CASE WHEN j % 7 = 0 THEN 0 WHEN (h11 + h22) / 144000 > 0.2 THEN 2 WHEN (h11 + h22) / 144000 < -0.05 THEN 1 ELSE 0 END ELSE 0 END AS ridge FROM hs")
 def ridge_class(spark, sf_dir):
-    lap = raster.laplacian(emb_cells(spark, sf_dir))
+    cells = emb_cells(spark, sf_dir)
+    lap = raster.laplacian(cells)
     forest = F.when(F.col("j") % 7 == 0, 1).otherwise(0)
-    inside = terrain.inside_border(F.col("i"), F.col("j"), 5, (500, 64))
+    inside = terrain.inside_border(F.col("i"), F.col("j"), 5, raster.extent(cells, (500, 64)))
     return lap.select("i", "j", F.when(inside, terrain.ridge_class(F.col("laplacian") / 144_000, forest)).otherwise(0).alias("ridge"))
 
 
@@ -320,7 +323,8 @@ def mark_shapes(spark, sf_dir):
 
 @query("stamped_squares", f"WITH {sql.ORD}, m AS (SELECT i, j FROM ord WHERE z % 997 = 0), o AS (SELECT a.d AS di, b.d AS dj FROM range(-2, 3) a(d), range(-2, 3) b(d) WHERE greatest(abs(a.d), abs(b.d)) = 2) SELECT DISTINCT i + di AS i, j + dj AS j FROM m CROSS JOIN o WHERE i + di BETWEEN 1 AND 120 AND j + dj BETWEEN 1 AND 125")
 def stamped_squares(spark, sf_dir):
-    return marks.stamped(ord_cells(spark, sf_dir).where("z % 997 = 0"), "on_square", 5, SHAPE).select("i", "j")
+    cells = ord_cells(spark, sf_dir)
+    return marks.stamped(cells.where("z % 997 = 0"), "on_square", 5, raster.extent(cells, SHAPE)).select("i", "j")
 
 
 @query("line_points", "WITH s AS (SELECT s_suppkey AS k, s_suppkey % 100 + 1 AS i0, s_suppkey * 7 % 100 + 1 AS j0, s_suppkey * 13 % 100 + 1 AS i1, s_suppkey * 29 % 100 + 1 AS j1 FROM supplier), n AS (SELECT *, greatest(abs(i1 - i0), abs(j1 - j0)) AS n FROM s), t AS (SELECT *, unnest(range(0, n + 1)) AS t FROM n) SELECT DISTINCT CAST(k AS INTEGER) AS sheet, CAST(i0 + floor((2 * (i1 - i0) * t + n) / greatest(2 * n, 1)) AS BIGINT) AS i, CAST(j0 + floor((2 * (j1 - j0) * t + n) / greatest(2 * n, 1)) AS BIGINT) AS j FROM t")

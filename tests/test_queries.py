@@ -44,3 +44,31 @@ def test_query_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", ["thinning", "felzenszwalb", "component_tree", "utm_grid_mask", "composite_layers"])
 def test_query_without_sql_runs(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
+
+
+@pytest.fixture(scope="module")
+def tall(spark, tmp_path_factory):
+    """Tables whose rasters have more rows (and columns) than those of sf0.01."""
+    at = str(tmp_path_factory.mktemp("tall"))
+    # 150 rows of 125 columns; z is 2 * 211 * 997 in rows 130 and 150 and 1 elsewhere.
+    price = "IF(floor(id / 125) IN (129, 149) AND id % 125 = 60, 422 * 997, 1) * 2.5D AS o_totalprice"
+    spark.range(150 * 125).selectExpr("id AS o_orderkey", price).write.parquet(f"{at}/orders.parquet")
+    spark.createDataFrame([(i, [5000.0 * ((i // 3 + j // 3) % 2) for j in range(64)]) for i in range(600)], "vec_id long, embedding array<double>").write.parquet(f"{at}/embeddings.parquet")
+    line = "1L AS l_orderkey, 1L AS l_linenumber, 50.0D AS l_extendedprice, date'2020-01-01' AS l_shipdate, 1.0D AS l_quantity"
+    spark.sql(f"SELECT 2100L AS l_partkey, 120L AS l_suppkey, {line}").write.parquet(f"{at}/lineitem.parquet")
+    return at
+
+
+def cells_of(spark, name, at, condition="true"):
+    return {(r.i, r.j) for r in registry.queries()[name](spark, at).where(condition).collect()}
+
+
+def test_queries_take_the_whole_of_larger_tables(spark, tall):
+    square = {(di, dj) for di in range(-2, 3) for dj in range(-2, 3)}
+    near = lambda offsets: {(i + di, 61 + dj) for i in (130, 150) for di, dj in offsets if i + di <= 150}
+    assert cells_of(spark, "dilate", tall) == near(square)
+    assert cells_of(spark, "stamped_squares", tall) == near({d for d in square if 2 in map(abs, d)})
+    assert cells_of(spark, "border_cells", tall) == {(1, j) for j in range(2, 125)} | {(i, 125) for i in range(2, 150)}
+    assert max(i for i, _ in cells_of(spark, "ridge_class", tall, "ridge > 0")) == 594
+    out = registry.queries()["consolidate_last_wins"](spark, tall)
+    assert out.count() == 2101 * 121 and [(r.i, r.j, r.z) for r in out.where("z <> 0").collect()] == [(2101, 121, 100)]
