@@ -14,6 +14,14 @@ TER = sql.terrain(N)
 _MASKED = f"{TER}, mt AS (SELECT *, z % 200 < 80 AS m FROM ter)"
 
 
+#: Rows and columns of the sheets that queries without SQL cut a table's raster into.
+SHEET = (60, 125)
+
+
+def sheets(spark, sf_dir):
+    return rasters.orders_sheets(spark, sf_dir, SHEET[0])
+
+
 def labelled_terrain(spark):
     return segments.labelled(rasters.terrain(spark, N).withColumn("m", F.col("z") % 200 < 80), "m", N)
 
@@ -56,40 +64,41 @@ def water_table(spark, sf_dir):
 
 @query("prune_small_segments")
 def prune_small_segments(spark, sf_dir):
-    cells = labelled_terrain(spark).withColumn("v", F.col("m").cast("int"))
-    return segments.prune_small(cells, 6).groupBy("label").agg(F.count("*").alias("n"))
+    cells = sheets(spark, sf_dir).withColumn("v", (F.col("z") % 200 < 80).cast("int"))
+    cells = segments.labelled(cells, "v", SHEET[0])
+    return segments.prune_small(cells, 6).groupBy("sheet", "label").agg(F.count("*").alias("n"))
 
 
 @query("felzenszwalb")
 def felzenszwalb(spark, sf_dir):
-    return segments.merged_regions(rasters.terrain(spark, 60), (60, 60), 300.0, 5).groupBy("label").agg(F.count("*").alias("n"))
+    return segments.merged_regions(sheets(spark, sf_dir), SHEET, 300.0, 5).groupBy("sheet", "label").agg(F.count("*").alias("n"))
 
 
 @query("forest_mask")
 def forest_mask(spark, sf_dir):
     from ..operators.forest import forest_mask as mask
 
-    cells = rasters.terrain(spark, 60).withColumn("z", F.col("z") / 100.0)
-    return mask(cells, (60, 60), 2, 60, 15).select("i", "j", "forest")
+    cells = sheets(spark, sf_dir).withColumn("z", F.col("z") / 100.0)
+    return mask(cells, SHEET, 2, 60, 15).select("sheet", "i", "j", "forest")
 
 
 @query("artifact_mask")
 def artifact_mask(spark, sf_dir):
-    lap = rasters.terrain(spark, 48).withColumn("laplacian", F.col("z") / 1e6)
-    return water.artifacts(lap, (48, 48), 1.0).select("i", "j", "artifact")
+    lap = sheets(spark, sf_dir).withColumn("laplacian", F.col("z") / 1e6)
+    return water.artifacts(lap, SHEET, 1.0).select("sheet", "i", "j", "artifact")
 
 
 @query("water_segments")
 def water_segments(spark, sf_dir):
     from ..config import Settings
 
-    cells = rasters.terrain(spark, 48).withColumn("z", F.greatest(F.col("z") / 100.0 - 4, F.lit(0.0)))
-    return water.water_segments(cells, (48, 48), Settings(water_least_area_m2=90)).select("i", "j", "water")
+    cells = sheets(spark, sf_dir).withColumn("z", F.greatest(F.col("z") / 100.0 - 4, F.lit(0.0)))
+    return water.water_segments(cells, SHEET, Settings(water_least_area_m2=90)).select("sheet", "i", "j", "water")
 
 
 @query("component_tree")
 def component_tree(spark, sf_dir):
-    return segments.component_tree(rasters.terrain(spark, 60), (60, 60)).select("id", "parent")
+    return segments.component_tree(sheets(spark, sf_dir), SHEET).select("sheet", "id", "parent")
 
 
 # -- trees and graphs

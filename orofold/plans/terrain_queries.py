@@ -191,8 +191,8 @@ def dilate(spark, sf_dir):
 
 @query("thinning")
 def thinning(spark, sf_dir):
-    cells = rasters.terrain(spark, 60).withColumn("marked", F.col("z") % 200 < 80)
-    return segments.thinned(cells, (60, 60)).select("i", "j")
+    cells = rasters.orders_sheets(spark, sf_dir, 60).withColumn("marked", F.col("z") % 200 < 80)
+    return segments.thinned(cells, (60, 125)).select("sheet", "i", "j")
 
 
 @query("ridge_class", f"WITH {sql.EMB}, {sql.hessian('emb')} SELECT i, j, CASE WHEN i > 5 AND i < 500 - 5 AND j > 5 AND j < 64 - 5 THEN CASE WHEN j % 7 = 0 THEN 0 WHEN (h11 + h22) / 144000 > 0.2 THEN 2 WHEN (h11 + h22) / 144000 < -0.05 THEN 1 ELSE 0 END ELSE 0 END AS ridge FROM hs")

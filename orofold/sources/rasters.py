@@ -17,6 +17,12 @@ def orders_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.lit(1).alias("sheet"), (F.floor(k / 125) + 1).alias("i"), (k % 125 + 1).alias("j"), F.rint(F.col("o_totalprice") * 100 / 250).cast("long").alias("z"))
 
 
+def orders_sheets(spark: SparkSession, sf_dir: str, ny: int) -> DataFrame:
+    """orders_raster cut into sheets of ny rows from the north; the last one may have fewer."""
+    k = F.col("i") - 1
+    return orders_raster(spark, sf_dir).select((F.floor(k / ny) + 1).cast("int").alias("sheet"), (k % ny + 1).alias("i"), "j", "z")
+
+
 def embedding_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row a vector, 64 columns; z in thousandths, rounded."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "v"))

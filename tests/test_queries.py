@@ -72,3 +72,18 @@ def test_queries_take_the_whole_of_larger_tables(spark, tall):
     assert max(i for i, _ in cells_of(spark, "ridge_class", tall, "ridge > 0")) == 594
     out = registry.queries()["consolidate_last_wins"](spark, tall)
     assert out.count() == 2101 * 121 and [(r.i, r.j, r.z) for r in out.where("z <> 0").collect()] == [(2101, 121, 100)]
+
+
+@pytest.mark.parametrize("name", ["thinning", "prune_small_segments", "felzenszwalb", "component_tree", "forest_mask", "artifact_mask", "water_segments"])
+def test_sheet_queries_run_over_the_whole_table(spark, tmp_path, name):
+    """150 rows of orders make sheets of 60, 60 and 30 rows; a sheet comes out as it does from a table of its own."""
+    z = "CAST((id * id % 977) * 2.5D + 25 AS DOUBLE) AS o_totalprice"
+    whole = spark.range(150 * 125).selectExpr("id AS o_orderkey", z)
+    whole.write.parquet(f"{tmp_path}/whole/orders.parquet")
+    got = registry.queries()[name](spark, f"{tmp_path}/whole").collect()
+    assert {r.sheet for r in got} == {1, 2, 3}
+    for sheet in (2, 3):
+        own = whole.where(f"floor(o_orderkey / 7500) = {sheet - 1}").selectExpr(f"o_orderkey - {7500 * (sheet - 1)} AS o_orderkey", "o_totalprice")
+        own.write.parquet(f"{tmp_path}/{sheet}/orders.parquet")
+        alone = registry.queries()[name](spark, f"{tmp_path}/{sheet}").collect()
+        assert sorted(str(r[1:]) for r in got if r.sheet == sheet) == sorted(str(r[1:]) for r in alone)
