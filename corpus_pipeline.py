@@ -48,7 +48,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language", language), ("exact_copies", exact_copies), ("near_copies", near_copies), ("personal_data", personal_data), ("packed", packed)]
-#: SQL has no classifier, sketch or tokeniser; tests/llm holds each stage against brute force.
+#: SQL has no classifier, sketch or tokeniser. tests/llm tests the operators by themselves; run() and the stages (k = 5, LEAST_SCORE,
+#: the rereading between them) aren't held against anything.
 ORACLE_SQL = None
 
 
