@@ -15,9 +15,9 @@ packed each, whole; a null doc_id stays null; an empty table gives an empty resu
 
 from __future__ import annotations
 
-import json
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,66 +30,68 @@ WINDOW = 1024
 #: Ids of remainders that are packed at once (16 MB).
 BLOCK = 4_000_000
 #: Words whose ids a worker keeps.
-KEPT = 200_000
-
-
+KEPT = 400_000
 #: Between a character that isn't white space and a blank.
 BORDER = re.compile(r"(?<=\S)(?= )")
+#: White space before a blank.
+GAP = re.compile(r"\s ")
 LATIN = "\u0250"
 
 
-def byte_points() -> dict[str, int]:
-    """The printable character that stands for each byte in byte-level vocabularies, and the byte."""
+def byte_letters() -> dict[int, str]:
+    """Of each byte the printable character that stands for it in byte-level vocabularies."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    other = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
 
 
 class Tokens:
     """Ids as the tokenizers library gives them, words' ids kept for later.
 
     A blank after a character that isn't white space always begins a match of the pre-tokeniser's pattern, so text
-    between two such places has the same ids wherever it stands. Words of Latin characters alone (below U+0250, whose
-    classes no version of Unicode changes) are merged by the same ranks in the faster of two libraries; others by the
-    vocabulary's own."""
+    between two such places has the same ids wherever it stands. The library's own model merges all words: those of Latin characters alone
+    (below U+0250, whose classes no version of Unicode changes) match by match of the pattern, others through the whole tokenizer."""
 
     def __init__(self, path: str, pattern: str):
-        import tiktoken
+        import regex
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
-        points = byte_points()
-        ranks = {bytes(points[c] for c in token): i for token, i in vocabulary.items()}
-        self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.matches = self.tokenizer.model, regex.compile(pattern).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = byte_letters()
+        #: By what follows a blank: the ids of both.
         self.kept: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _words(self, words: list[str]) -> list[bytes]:
+        out, merge, letters, matches = [], self.model.tokenize, self.letters, self.matches
+        for word in words:
+            if word.isascii() and word[1:].isalpha() and word[0] == " ":  # one match
+                ids = [t.id for t in merge(letters[32] + word[1:])]
+            elif max(word) < LATIN:
+                ids = [t.id for m in matches(word) for t in merge(m.encode().decode("latin-1").translate(letters))]
+            else:
+                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            out.append(array("I", ids).tobytes())
+        return out
 
     def ids(self, text: str) -> np.ndarray:
         """Special tokens' strings count as the library's default has them."""
         if any(s in text for s in self.special):
-            return np.frombuffer(self._encode([text])[0], np.uint32)
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         if not text:
             return np.zeros(0, np.uint32)
-        parts = BORDER.split(text)
+        if GAP.search(text) or text[0] == " ":
+            first, *after = BORDER.split(text)
+            after = [p[1:] for p in after]
+        else:
+            first, *after = text.split(" ")
         kept = self.kept
-        new = [p for p in dict.fromkeys(parts) if p not in kept]
-        if new:
-            if len(kept) + len(new) > KEPT:
-                kept.clear()
-                new = list(dict.fromkeys(parts))
-            latin = [p for p in new if max(p) < LATIN]
-            for p in latin:
-                kept[p] = np.array(self.fast.encode_ordinary(p), np.uint32).tobytes()
-            if len(latin) < len(new):
-                other = [p for p in new if not max(p) < LATIN]
-                kept.update(zip(other, self._encode(other), strict=True))
-        return np.frombuffer(b"".join([kept[p] for p in parts]), np.uint32)
+        new = list(set(after).difference(kept))
+        if len(kept) + len(new) > KEPT:
+            kept.clear()
+            new = list(set(after))
+        kept.update(zip(new, self._words([" " + p for p in new]), strict=True))
+        return np.frombuffer(b"".join([*self._words([first]), *[kept[p] for p in after]]), np.uint32)
 
 
 class Capacities:
