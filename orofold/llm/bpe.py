@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 
 from .common import only
 
-LEAF = 16_384
+#: Characters that a leaf has at most; most documents are longer, and so are joined from several.
+LEAF = 512
 #: Window each side to begin with, and the one from which the matches themselves are reduced.
 WINDOW, WIDE = 64, 8_192
 #: Bytes of a match from which it is reduced as a tree.
