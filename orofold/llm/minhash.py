@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, numbered, only, shingle_set, word_hashes, written
+from .common import mix, rows_of, shingle_set, word_hashes, written
 from .components import components
 
 T = 256
@@ -36,6 +36,8 @@ BANDS = T // ROWS
 LEAST = 0.65
 #: Rows by rows of a bucket that a task compares at most.
 CAP = 2048
+#: And so many bytes of their texts, where these travel.
+TEXTS = 32 << 20
 #: So many ids (16 MB) are broadcast at most.
 IDS = 1_000_000
 _U = np.uint64
@@ -190,12 +192,16 @@ def _joined(k: int, percent: int):
         asked, others, component, sketch = _square(rows)
         reps, texts = rows.column("rep").to_numpy(), rows.column("text")
         kept: dict[int, np.ndarray] = {}
+        held = 0
 
         def set_of(i: int) -> np.ndarray:
+            nonlocal held
             if i not in kept:
-                if len(kept) > 4096:
+                if held > 4 * TEXTS:
                     kept.clear()
+                    held = 0
                 kept[i] = _sets([texts[i].as_py()], k)[0]
+                held += kept[i].nbytes
             return kept[i]
 
         name = {c: c for c in component.tolist()}
@@ -226,16 +232,17 @@ def _joined(k: int, percent: int):
 
 
 def _dealt(rows: DataFrame, payload: DataFrame, tag: str) -> DataFrame:
-    """Rows (band, key, rep, component) of buckets of several components with their payload (rep, ...), dealt out in squares of
-    CAP by CAP: role 0 asks, 1 is asked about, 2 (a bucket of one square) both."""
-    cells = rows.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
-    per = cells.groupBy("band", "key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).where("parts > 1")
-    per = written(per.select("band", "key", F.col("most.component").alias("largest"), F.ceil(F.col("n") / CAP).cast("int").alias("side")), tag, rows.count())
+    """Rows (band, key, rep, component) of buckets of several components with their payload (rep, ..., bytes), dealt out in squares of
+    CAP by CAP and about TEXTS by TEXTS bytes: role 0 asks, 1 is asked about, 2 (a bucket of one square) both."""
+    cells = rows.join(payload.select("rep", "bytes"), "rep").groupBy("band", "key", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    per = cells.groupBy("band", "key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "component")).alias("most")).where("parts > 1")
+    side = F.greatest(F.ceil(F.col("n") / CAP), F.ceil(F.col("bytes") / TEXTS)).cast("int")
+    per = written(per.select("band", "key", F.col("most.component").alias("largest"), side.alias("side")), tag, rows.count())
     out = rows.join(per, ["band", "key"]).join(payload, "rep").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("side")).cast("int"))
     squares = F.when(F.col("side") == 1, F.expr("array(struct(0 as s, 0 as q, 2 as role))")).otherwise(
         F.expr("concat(transform(sequence(0, side - 1), i -> struct(mine as s, i as q, 0 as role)), transform(sequence(0, side - 1), i -> struct(i as s, mine as q, 1 as role)))")
     )
-    return out.withColumn("at", F.explode(squares)).select("band", "key", "at.s", "at.q", "at.role", "rep", "component", "largest", *[c for c in payload.columns if c != "rep"])
+    return out.withColumn("at", F.explode(squares)).select("band", "key", "at.s", "at.q", "at.role", "rep", "component", "largest", *[c for c in payload.columns if c not in ("rep", "bytes")])
 
 
 def links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -257,11 +264,11 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFram
     comps = written(components(found, tries), "components", 2 * tries)
     rows = written(buckets.join(comps, buckets.rep == comps.id, "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component")), "rows", in_buckets)
     squares = ["band", "key", "s", "q"]
-    active = written(_dealt(rows, side, "open").groupBy(*squares).applyInArrow(_active, "rep long").distinct(), "active", in_buckets)
+    active = written(_dealt(rows, side.withColumn("bytes", F.lit(T)), "open").groupBy(*squares).applyInArrow(_active, "rep long").distinct(), "active", in_buckets)
     if active.isEmpty():
         return found
     texts = _texts_of(docs, active.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
-    payload = side.join(texts.withColumnRenamed("rid", "rep"), "rep")
+    payload = side.join(texts.withColumnRenamed("rid", "rep"), "rep").withColumn("bytes", F.length("text"))
     more = _dealt(rows.join(active, "rep", "left_semi"), payload, "still-open").groupBy(*squares).applyInArrow(_joined(k, percent), "a long, b long")
     return found.unionByName(written(more.distinct(), "more-links", in_buckets))
 
@@ -276,7 +283,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """rid, doc_id, n_shingles, component_id, kept: links join documents whose sets of k-word shingles have
     100 * |intersection| >= percent * |union|; of each component the smallest doc_id stays."""
-    docs = docs if "rid" in docs.columns else numbered(only(docs, "doc_id", "text"))
+    docs = rows_of(docs, "doc_id", "text")
     rows = written(signed(docs, k), "signed")
     known = rows.where("doc_id is not null and set_id is not null")
     classes = known.groupBy("set_id").agg(F.min(F.struct("doc_id", "rid")).alias("first"), F.min(F.struct("sketch", "bands")).alias("x"))
