@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a local one only where it is unset."""
+    """The folder that spark.checkpoint.dir names; a temporary one where it is unset and all runs in this process, an error elsewhere."""
     conf = spark.sparkContext.getConf()
     at = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         at = "file://" + tempfile.mkdtemp(prefix="orofold-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -40,14 +43,59 @@ def written(df: DataFrame, tag: str, most: int | None = None) -> DataFrame:
             df = df.coalesce(parts)
     at = f"{shared_dir(spark)}/orofold-{uuid.uuid4().hex}/{tag}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    _folders[id(out)] = (weakref.ref(out, lambda _, key=id(out): _folders.pop(key, None)), at)
+    return out
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """df with a row number rid that every reading gives alike: anything but a plain read of files is written first."""
+#: Folders of the tables that `written` made, as long as these are held.
+_folders: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made and nothing reads any more."""
+    for t in tables:
+        ref, at = _folders.get(id(t), (None, None))
+        if ref is not None and ref() is t:
+            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(at).getParent()
+            path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Columns that operators put beside a table's own begin so; no table may have one.
+OWN = "_orofold_"
+RID = OWN + "rid"
+#: Bits of a row number that say which row of its file it is; the rest say which file.
+ROW_BITS = 36
+#: So many files' names are broadcast at most.
+FILES = 500_000
+
+
+def _from_files(df: DataFrame) -> bool:
+    """Whether each row of df is a row of a file, as it stands there."""
+    if not hasattr(df, "_jdf"):
+        return False
     lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
-    plain = all(line.lstrip("+-: ").startswith(("Relation ", "Project ")) for line in lines)
-    return (df if plain else written(df, "rows")).withColumn("rid", F.monotonically_increasing_id())
+    return all(line.lstrip("+-: ").startswith(("Relation ", "Project ")) for line in lines)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with a row number RID that every reading gives alike, however it is split: the number of the row's file (in order of
+    paths, in a written table) and of the row in its file. Anything but rows of files is written first."""
+    if RID in df.columns:
+        return df
+    rows = df if _from_files(df) else written(df, "rows")
+    meta = rows.metadataColumn("_metadata")
+    rows = rows.select("*", meta["file_path"].alias(OWN + "file"), meta["row_index"].alias(OWN + "row"))
+    files = written(rows.select(OWN + "file").distinct().coalesce(1).sortWithinPartitions(OWN + "file").withColumn(OWN + "no", F.monotonically_increasing_id()), "files", 1)
+    files = F.broadcast(files) if files.count() <= FILES else files.hint("merge")
+    number = F.shiftleft(F.col(OWN + "no"), ROW_BITS) + F.col(OWN + "row")
+    return rows.join(files, OWN + "file").withColumn(RID, number).drop(OWN + "file", OWN + "row", OWN + "no")
+
+
+def rows_of(df: DataFrame, *names: str) -> DataFrame:
+    """rid, a row number as `numbered` gives it, and the named columns."""
+    own = numbered(only(df, *names) if RID not in df.columns else df)
+    return own.select(F.col(RID).alias("rid"), *names)
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Exact deduplication by deterministic block naming, with DataFrame functions alone.
 
-Each text is cut into blocks of a fixed number of bytes. Equal blocks get one integer name: contents are
-sorted within their hash, so that different blocks of one hash get different names. Then adjacent pairs of names are
-named again, level by level, until each text has one name. Two texts of the same level have the same
+Each text is cut into blocks of a fixed number of bytes. Distinct blocks are sorted by hash and then by content, and a block's
+name is its place in that order, so the same table gives the same names however it is split. Then adjacent pairs of names are
+sorted and named again, level by level, until each text has one name. Two texts of the same level have the same
 name exactly if all their bytes are equal.
 
 Defined results: null text counts as empty; a null doc_id is a document like any other, and stays only where its copies
@@ -11,14 +11,16 @@ all lack an id; rows that repeat a doc_id are rows of their own; an empty table
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, only, written
+from .common import rows_of, written
 
 BLOCK = 16_384
 #: Blocks are cut out of pieces of so many blocks, so that very long texts aren't copied once a block.
 SUPER = 64
+#: Leading bits of a hash by which sorting is dealt out.
+BITS = 12
 
 
 def _cut(data: Column, size: int) -> Column:
@@ -34,14 +36,21 @@ def blocks_of(text: Column, size: int) -> Column:
     return F.when(F.length(data) <= size * SUPER, few).otherwise(many)
 
 
-def _named(keys: DataFrame, tag: str) -> DataFrame:
-    """Integer names for rows that are distinct already."""
-    return written(keys.withColumn("name", F.monotonically_increasing_id()), tag)
+def _named(keys: DataFrame, order: list[str], tag: str) -> DataFrame:
+    """Rows that are distinct already, with name: their place in order, whose first column is a hash.
+
+    Hashes of the same leading bits are sorted together; what goes before them is counted in a table of a row each."""
+    over = Window.partitionBy("part").orderBy(*order)
+    ranked = written(keys.withColumn("part", F.shiftrightunsigned(order[0], 64 - BITS).cast("int")).withColumn("place", F.row_number().over(over)), tag)
+    sizes = ranked.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = written(sizes.select("part", before.alias("before")), tag + "-starts", 1 << BITS)
+    return ranked.join(F.broadcast(starts), "part").withColumn("name", F.col("before") + F.col("place") - 1).drop("part", "place", "before")
 
 
 def identities(docs: DataFrame, block: int = BLOCK, content_hash=F.xxhash64) -> DataFrame:
     """rid, doc_id, text_sha256, level, name: (level, name) is the collision-free identity of the text."""
-    docs = docs if "rid" in docs.columns else numbered(only(docs, "doc_id", "text"))
+    docs = rows_of(docs, "doc_id", "text")
     cut = docs.select(
         "rid", "doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), blocks_of(F.col("text"), block).alias("blocks")
     )
@@ -49,7 +58,7 @@ def identities(docs: DataFrame, block: int = BLOCK, content_hash=F.xxhash64) ->
     contents = docs.select(F.explode(blocks_of(F.col("text"), block)).alias("block")).select(content_hash("block").alias("h"), "block")
     sets = contents.groupBy("h").agg(F.array_sort(F.collect_set("block")).alias("contents"))
     told = sets.select("h", F.size("contents").alias("n"), F.posexplode("contents").alias("k", "block"))
-    names = _named(told.select("h", "n", F.when(F.col("n") > 1, F.col("block")).alias("block")), "names-0")
+    names = _named(told.select("h", "n", "k", F.when(F.col("n") > 1, F.col("block")).alias("block")), ["h", "k"], "names-0")
     rows = cut.select("rid", "doc_id", "text_sha256", F.size("blocks").alias("blocks_n"), F.posexplode("blocks").alias("pos", "block")).withColumn("h", content_hash("block"))
     found = rows.drop("block").join(names.where("n = 1").select("h", "name"), "h")
     if not names.where("n > 1").isEmpty():  # different blocks of one hash: told apart by their bytes
@@ -67,7 +76,7 @@ def identities(docs: DataFrame, block: int = BLOCK, content_hash=F.xxhash64) ->
     while not rest.isEmpty():
         level += 1
         pairs = rest.select("rid", F.expr("posexplode(transform(sequence(0, cast((size(names) - 1) div 2 as int)), i -> struct(names[i * 2] as l, try_element_at(names, i * 2 + 2) as r)))").alias("pos", "pair")).select("rid", "pos", "pair.l", F.coalesce("pair.r", F.lit(-1)).alias("r"))
-        names = _named(pairs.select("l", "r").distinct(), f"names-{level}")
+        names = _named(pairs.select(F.xxhash64("l", "r").alias("h"), "l", "r").distinct(), ["h", "l", "r"], f"names-{level}").drop("h")
         up = pairs.join(names, ["l", "r"]).groupBy("rid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("names"))
         rest = written(rest.drop("names").join(up, "rid"), f"texts-{level}")
         done = done.unionByName(rest.where("size(names) = 1").select("rid", "doc_id", "text_sha256", F.lit(level).alias("level"), F.col("names")[0].alias("name")))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, only, written
+from .common import rows_of, written
 
 #: A line of so many words is a run by itself.
 LONG = 25
@@ -104,7 +104,7 @@ def _thinned(with_text: bool):
 
 def line_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """rid, doc_id, n_lines, n_removed, text (without repeated runs), text_sha256 for each row of docs."""
-    docs = numbered(only(docs, "doc_id", "text")).select("rid", "doc_id", F.col("text").cast("binary").alias("text"))
+    docs = rows_of(docs, "doc_id", "text").select("rid", "doc_id", F.col("text").cast("binary").alias("text"))
     places = written(docs.mapInArrow(_places, "rid long, doc_id long, at int, h long"), "places")
     order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "rid", "at")
     repeated = written(places.groupBy("h").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1").select("h", "first"), "repeated")

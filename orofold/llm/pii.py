@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, only, written
+from .common import OWN, RID, numbered, rows_of, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The four patterns, written so that Java's engine scans each text once: equal matches, no recursion.
@@ -190,7 +190,7 @@ def spans(docs: DataFrame) -> DataFrame:
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """rid, doc_id, spans: array of (kind, start, end, base), by kind as listed, then start."""
-    rows = numbered(only(docs, "doc_id", "text")).select("rid", "doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    rows = rows_of(docs, "doc_id", "text").select("rid", "doc_id", F.coalesce("text", F.lit("")).alias("t"))
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     span = F.when(F.col("kind").isNotNull(), F.struct(order.alias("order"), "start", "end", "kind", "base"))
     return spans(rows).groupBy("rid", "doc_id").agg(F.array_sort(F.collect_list(span)).alias("spans"))
@@ -215,13 +215,14 @@ def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span's text replaced by its kind in square brackets; overlapping spans become one."""
     names = docs.columns
     rows = numbered(docs)
-    found = spans(rows.select("rid", F.coalesce("text", F.lit("")).alias("t"))).where("kind is not null").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", F.col("end").alias("stop"), "kind"))).alias("spans"))
-    out = rows.join(found, "rid", "left")
+    own = OWN + "spans"
+    found = spans(rows.select(F.col(RID).alias("rid"), F.coalesce("text", F.lit("")).alias("t"))).where("kind is not null").groupBy(F.col("rid").alias(RID)).agg(F.array_sort(F.collect_list(F.struct("start", F.col("end").alias("stop"), "kind"))).alias(own))
+    out = rows.join(found, RID, "left")
     # A fold keeps what is written so far and how far the text is used up.
-    fold = """aggregate(coalesce(spans, array()), named_struct('parts', cast(array() as array<string>), 'at', 0L),
+    fold = f"""aggregate(coalesce({own}, array()), named_struct('parts', cast(array() as array<string>), 'at', 0L),
       (s, x) -> if(x.stop <= s.at, s, named_struct('parts', concat(s.parts, array(substring(text, cast(s.at + 1 as int), cast(greatest(0L, x.start - s.at) as int)), if(x.start < s.at, '', concat('[', upper(x.kind), ']')))), 'at', x.stop)),
       s -> concat(array_join(s.parts, ''), substring(text, cast(s.at + 1 as int))))"""
-    out = out.withColumn("text", F.when(F.col("spans").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.expr(fold)))
+    out = out.withColumn("text", F.when(F.col(own).isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.expr(fold)))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col(own).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*names)

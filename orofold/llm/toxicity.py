@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, mix, numbered, only, pieces, span_hashes, table, word_bounds, written
+from .common import _LOWER, mix, only, pieces, rows_of, span_hashes, table, word_bounds, written
 from .langid import remainder
 
 #: Rows, about, that the logistic curve is fitted on at most.
@@ -330,7 +330,7 @@ def train(known: DataFrame, shards: int) -> tuple[DataFrame, np.ndarray]:
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs."""
-    docs = numbered(only(docs, "doc_id", "text"))
+    docs = rows_of(docs, "doc_id", "text")
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = remainder(5)
     told = only(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").where(part != 0).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
