@@ -81,18 +81,32 @@ def test_best_fit_takes_the_tightest_window():
 
 
 def test_url_filter(spark):
-    urls = [None, "", "x.org/a", "http://A.Example.ORG/es/x", "http://example.org/en/12?q", "http://www.free-bets.example.com/en", "http://notexample.org", "https://a.com/fr/x#y", "http://org/", "a://b.com/de/", "http://b.com/de", "http://x.org//://y.com/fr/"]
+    urls = [None, "", "x.org/a", "http://A.Example.ORG/es/x", "http://example.org/en/12?q", "http://www.free-bets.example.com/en", "http://notexample.org", "https://a.com/fr/x#y", "http://org/", "a://b.com/de/", "http://b.com/de", "http://x.org//://y.com/fr/", "http://Ad.doubleclick.NET?x", "http://xdoubleclick.net/", "http://" + "a." * 100_000 + "criteo.com/", "http://" + "b" * 200_000 + ".org/x"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(None, "http://q.org/", "h")], "page_id long, url string, HTML string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages).collect()}
     assert got[0] == got[2] == ("", "", None, "allow")
     assert got[3] == ("a.example.org", "/es/x", "example.org/es/", "block")
-    assert got[4][2:] == ("example.org/en/1", "block") and got[5][2:] == (None, "block")
+    assert got[4][2:] == ("example.org/en/1", "block") and got[5][2:] == (None, "allow")
+    assert got[12][2:] == (None, "block") and got[13][2:] == (None, "allow") and got[14][2:] == (None, "block")
     assert got[6] == ("notexample.org", "", None, "allow")
     assert got[7][2:] == ("com/fr/", "allow") and got[8][2:] == ("org/", "allow") and got[9][2:] == ("com/de/", "block") and got[10][2] is None and got[11][2] == "org/"
     assert url_filter.judge_urls(pages.where("false")).count() == 0
-    hosts = spark.createDataFrame([("a.b.com",), ("b.com",), ("xb.com",)], "host string")
-    listed = spark.createDataFrame([("b.com",)], "host string")
-    assert {r.host for r in url_filter.blocked_hosts(hosts, listed).collect()} == {"a.b.com", "b.com"}
+    # Lists over the bound are joined, with equal results; so are tables.
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages, most=10).collect()} == got
+    tables = spark.createDataFrame([*url_filter.RULES, ("org/", "allow")], "key string, verdict string"), spark.createDataFrame([(h,) for h in url_filter.BLOCKED], "host string")
+    for most in (10, 1 << 20):
+        assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages, *tables, most=most).collect()} == got
+    assert {r.verdict for r in url_filter.judge_urls(pages, [], []).collect()} == {"allow"}
+    tie = spark.createDataFrame([(1, "http://b.org/xy")], "page_id long, url string")
+    assert {url_filter.judge_urls(tie, [("org/xy", "block"), ("b.org/", "allow")], [], most=m).first().rule for m in (0, 1 << 20)} == {"b.org/"}
+    assert url_filter.parents("a.b.c.de", 4) == ["c.de", "de"] and url_filter.parents("a.b", 9) == ["a.b", "b"]
+
+
+def test_url_filter_keeps_few_lists_mapped():
+    packed = [url_filter.DigestArray(["a"]).packed()] * 2
+    for k in range(20):
+        url_filter._mapped(f"list {k}", packed)
+    assert len(url_filter._arrays) <= url_filter.MAPPED
 
 
 def test_digests_that_collide_are_told_apart():
