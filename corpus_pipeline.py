@@ -16,23 +16,22 @@ LEAST_SCORE = 0.3
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language; what has no letters, or no likely language, goes."""
     model = langid.train(docs.where(langid.remainder(4) != 2).select("text", "lang"))
-    told = langid.identify(docs.withColumn("body", F.col("text")), model)
-    kept = told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).withColumnRenamed("body", "text")
-    return kept.select(*docs.columns)
+    told = langid.identified(docs, model)
+    return told.where((F.col(langid.TOLD)["lang_pred"] != "und") & (F.col(langid.TOLD)["score"] >= LEAST_SCORE)).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     rows = common.numbered(docs)
-    stays = exact.exact_dedup(rows).where("kept").select("rid")
-    return rows.join(stays, "rid", "left_semi").select(*docs.columns)
+    stays = exact.exact_dedup(rows).where("kept").select(F.col("rid").alias(common.RID))
+    return rows.join(stays, common.RID, "left_semi").select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8."""
     rows = common.numbered(docs)
-    stays = minhash.near_dedup(rows, k=5, percent=80).where("kept").select("rid")
-    return rows.join(stays, "rid", "left_semi").select(*docs.columns)
+    stays = minhash.near_dedup(rows, k=5, percent=80).where("kept").select(F.col("rid").alias(common.RID))
+    return rows.join(stays, common.RID, "left_semi").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
