@@ -65,7 +65,7 @@ def test_svg():
     assert 'href="1.svg"' in out and svg.font_px(10, 11811) == 42
 
 
-def test_stream_merges_each_sheet_once(spark, tmp_path):
+def test_stream_merges_sheets_that_come_in_parts(spark, tmp_path):
     src, dst = str(tmp_path / "src"), str(tmp_path / "dst")
     first = spark.createDataFrame([(1, 1, 0, 0, 5.0), (1, 1, 0, 0, 5.0), (1, 2, 3, 0, 6.0)], ingest.VERTICES)
     first.write.mode("append").parquet(src)
@@ -73,7 +73,26 @@ def test_stream_merges_each_sheet_once(spark, tmp_path):
     assert ingest.vertices(spark, dst).count() == 2
     spark.createDataFrame([(1, 9, 0, 0, 9.0), (2, 7, 0, 0, 1.0)], ingest.VERTICES).write.mode("append").parquet(src)
     ingest.start(spark, src, dst, str(tmp_path / "cp")).awaitTermination(120)
-    assert sorted(r.id for r in ingest.vertices(spark, dst).collect()) == [1, 2, 7]
+    assert sorted((r.sheet, r.id) for r in ingest.vertices(spark, dst).collect()) == [(1, 1), (1, 2), (1, 9), (2, 7)]
+    assert {r.sheet: r[1:] for r in ingest.boxes(spark, dst).collect()} == {1: (3, 0, 0, 3, 0), 2: (1, 0, 0, 0, 0)}
+    assert ingest.merged_box(spark, dst).first()[:] == (0, 0, 3, 0)
+
+
+def test_stream_splits_a_sheet_over_triggers(spark, tmp_path):
+    """A file a trigger: five files of one sheet, rows repeated among them, and a batch that is delivered twice."""
+    src, dst = str(tmp_path / "src"), str(tmp_path / "dst")
+    for k in range(5):
+        spark.createDataFrame([(1, i, 3 * i, i, 1.0 * i) for i in range(k * 3, k * 3 + 5)], ingest.VERTICES).coalesce(1).write.mode("append").parquet(f"{src}/v")
+        spark.createDataFrame([(1, i, i + 1) for i in range(k * 3, k * 3 + 5)], ingest.EDGES).coalesce(1).write.mode("append").parquet(f"{src}/e")
+    ingest.start(spark, f"{src}/v", dst, str(tmp_path / "cp-v"), files=1).awaitTermination(120)
+    ingest.start(spark, f"{src}/e", dst, str(tmp_path / "cp-e"), "edges", files=1).awaitTermination(120)
+    assert sorted(r.id for r in ingest.vertices(spark, dst).collect()) == list(range(17))
+    assert sorted((r.a, r.b) for r in ingest.edges(spark, dst).collect()) == [(i, i + 1) for i in range(17)]
+    last = spark.createDataFrame([(1, 16, 48, 16, 16.0), (1, 20, 60, 20, 20.0)], ingest.VERTICES)
+    for _ in range(2):
+        ingest.merge_batch(last, 9, dst)
+    assert sorted(r.id for r in ingest.vertices(spark, dst).collect()) == [*range(17), 20]
+    assert ingest.boxes(spark, dst).first()[:] == (1, 18, 0, 0, 60, 20)
 
 
 def test_members_by_io():
