@@ -1,7 +1,7 @@
 """Stencils, separable filters and resampling over cell tables.
 
-Narrow stencils are windows along rows and along columns of a sheet. Wide kernels may instead run on tiles with a
-halo (`tiled`), a shuffle in all, with memory bounded by a tile. Beyond a sheet's edge the nearest cell counts.
+Derivatives and wide kernels run on tiles with a halo (`stencil`, `tiled`): a shuffle in all, with memory bounded by a tile. The other narrow
+stencils are windows along rows and along columns of a sheet. Beyond a sheet's edge the nearest cell counts. A sheet's cells fill a rectangle.
 """
 
 from __future__ import annotations
@@ -40,34 +40,82 @@ def neighbours(cells: DataFrame, z: str = "z") -> DataFrame:
     return flat.withColumns({k: F.col(p) for k, p in named.items()}).drop("_n", "_s")
 
 
-def gradient12(around: DataFrame) -> dict[str, Column]:
-    """Twelve times the gradient southwards (g1) and eastwards (g2), after Bickley: central differences smoothed by 1 4 1."""
-    c = F.col
-    return {"g1": (c("sw") - c("nw")) + 4 * (c("s") - c("n")) + (c("se") - c("ne")), "g2": (c("ne") - c("nw")) + 4 * (c("e") - c("w")) + (c("se") - c("sw"))}
+def gradient12(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Twelve times the gradient southwards and eastwards, after Bickley: central differences smoothed by 1 4 1."""
+    a = np.pad(z, 1, mode="edge")
+    down, right = a[2:] - a[:-2], a[:, 2:] - a[:, :-2]
+    return down[:, :-2] + 4 * down[:, 1:-1] + down[:, 2:], right[:-2] + 4 * right[1:-1] + right[2:]
+
+
+def _second(z: np.ndarray) -> dict[str, np.ndarray]:
+    g1, g2 = gradient12(z)
+    (h11, h12), (h21, h22) = gradient12(g1), gradient12(g2)
+    return {"h11": h11, "h12": h12, "h21": h21, "h22": h22}
+
+
+def _filled(data: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """data with absent cells as the nearest one above them, else below."""
+    if there.all():
+        return data
+    rows = np.arange(len(data))[:, None]
+    above = np.maximum.accumulate(np.where(there, rows, -1), 0)
+    below = np.minimum.accumulate(np.where(there, rows, len(data))[::-1], 0)[::-1]
+    at = np.where(above >= 0, above, below)
+    return np.take_along_axis(data, np.minimum(at, len(data) - 1), 0)
+
+
+def stencil(cells: DataFrame, kernel, radius: int, names: tuple[str, ...], z: str = "z", tile: int = 512) -> DataFrame:
+    """sheet, i, j, z and the named columns: kernel(array) -> dict of arrays of its shape, on tiles with a halo.
+
+    kernel repeats its array's edges itself, a cell a step for radius steps; its results count up to radius from an edge that isn't the
+    sheet's. Whole numbers stay whole."""
+    whole = dict(cells.dtypes)[z] in ("tinyint", "smallint", "int", "bigint")
+    kind, arrow = ("long", pa.int64()) if whole else ("double", pa.float64())
+    tiles = lambda x: F.explode(F.sequence(F.floor((F.col(x) - 1 - radius) / tile), F.floor((F.col(x) - 1 + radius) / tile)))
+    dealt = cells.select("sheet", "i", "j", F.col(z).cast(kind).alias("z"), tiles("i").alias("ti")).withColumn("tj", tiles("j"))
+    schema = pa.schema([("sheet", pa.int32()), ("i", pa.int64()), ("j", pa.int64()), ("z", arrow), *[(k, arrow) for k in names]])
+
+    def run(key, rows):
+        sheet, ti, tj = (k.as_py() for k in key)
+        i, j = rows.column("i").to_numpy(), rows.column("j").to_numpy()
+        own = (i > ti * tile) & (i <= (ti + 1) * tile) & (j > tj * tile) & (j <= (tj + 1) * tile)
+        if not own.any():  # a tile beyond the sheet's edge
+            return schema.empty_table()
+        i0, j0 = i.min(), j.min()
+        data = np.zeros((i.max() - i0 + 1, j.max() - j0 + 1), np.int64 if whole else np.float64)
+        there = np.zeros(data.shape, bool)
+        data[i - i0, j - j0], there[i - i0, j - j0] = rows.column("z").to_numpy(), True
+        done = kernel(_filled(data, there))
+        i, j = i[own], j[own]
+        return pa.table([pa.array(np.full(len(i), sheet), pa.int32()), pa.array(i), pa.array(j), pa.array(data[i - i0, j - j0]), *[pa.array(done[k][i - i0, j - j0]) for k in names]], schema=schema)
+
+    return dealt.groupBy("sheet", "ti", "tj").applyInArrow(run, ", ".join(["sheet int, i long, j long", *[f"{k} {kind}" for k in ("z", *names)]]))
 
 
 def gradient(cells: DataFrame, z: str = "z") -> DataFrame:
     """sheet, i, j, z and twelve times the gradient: g1, g2. Whole numbers stay whole."""
-    around = neighbours(cells, z)
-    return around.select("sheet", "i", "j", F.col(z).alias("z"), *[v.alias(k) for k, v in gradient12(around).items()])
+    return stencil(cells, lambda a: dict(zip(("g1", "g2"), gradient12(a), strict=True)), 1, ("g1", "g2"), z)
 
 
 def hessian(cells: DataFrame, z: str = "z") -> DataFrame:
     """sheet, i, j, z and 144 times the second derivatives: h11, h12, h21, h22."""
-    first = gradient(cells, z).withColumnRenamed("z", "height")
-    second = neighbours(first.withColumn("g", F.struct("g1", "g2")), "g")
-    part = lambda name: {k: F.col(f"{k}.{name}") for k in AROUND if k != "z"}
-
-    def along(v: dict[str, Column]) -> tuple[Column, Column]:
-        return (v["sw"] - v["nw"]) + 4 * (v["s"] - v["n"]) + (v["se"] - v["ne"]), (v["ne"] - v["nw"]) + 4 * (v["e"] - v["w"]) + (v["se"] - v["sw"])
-
-    (h11, h12), (h21, h22) = along(part("g1")), along(part("g2"))
-    return second.select("sheet", "i", "j", F.col("height").alias("z"), h11.alias("h11"), h12.alias("h12"), h21.alias("h21"), h22.alias("h22"))
+    return stencil(cells, _second, 2, ("h11", "h12", "h21", "h22"), z)
 
 
 def laplacian(cells: DataFrame, z: str = "z") -> DataFrame:
     """sheet, i, j, z, and 144 times the divergence of the gradient."""
-    return hessian(cells, z).select("sheet", "i", "j", "z", (F.col("h11") + F.col("h22")).alias("laplacian"))
+
+    def kernel(a):
+        h = _second(a)
+        return {"laplacian": h["h11"] + h["h22"]}
+
+    return stencil(cells, kernel, 2, ("laplacian",), z)
+
+
+def smooth_laplacian(cells: DataFrame, taps: np.ndarray, shape: tuple[int, int], n: int) -> DataFrame:
+    """sheet, i, j, laplacian (144 times) of the smoothed elevations, at every n-th row and column."""
+    smooth = smooth_tiles(cells, taps, shape).withColumnRenamed("v", "z")
+    return sampled(laplacian(smooth).select("sheet", "i", "j", "laplacian"), n)
 
 
 def mean_stress(cells: DataFrame, z: str = "z") -> DataFrame:
@@ -133,11 +181,18 @@ def tiled(cells: DataFrame, kernel: Kernel, radius: int, shape: tuple[int, int],
 
     dealt = cells.select("sheet", "i", "j", F.col(z).cast("double").alias("z"), tiles("i", ny).alias("ti")).withColumn("tj", tiles("j", nx))
 
+    kind = {"double": pa.float64(), "int": pa.int32(), "long": pa.int64()}[out]
+
     def run(key, rows):
         sheet, ti, tj = (k.as_py() for k in key)
         i0, j0 = ti * tile + 1, tj * tile + 1
         i1, j1 = min(ny, i0 + tile - 1), min(nx, j0 + tile - 1)
-        lo_i, hi_i, lo_j, hi_j = max(1, i0 - radius), min(ny, i1 + radius), max(1, j0 - radius), min(nx, j1 + radius)
+        # Where a sheet has fewer rows or columns than its shape, its last ones are the edge.
+        last_i, last_j = int(rows.column("i").to_numpy().max()), int(rows.column("j").to_numpy().max())
+        i1, j1 = min(i1, last_i), min(j1, last_j)
+        if i1 < i0 or j1 < j0:
+            return pa.table({"sheet": pa.array([], pa.int32()), "i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "v": pa.array([], kind)})
+        lo_i, hi_i, lo_j, hi_j = max(1, i0 - radius), min(last_i, i1 + radius), max(1, j0 - radius), min(last_j, j1 + radius)
         data = np.full((hi_i - lo_i + 1, hi_j - lo_j + 1), np.nan)
         data[rows.column("i").to_numpy() - lo_i, rows.column("j").to_numpy() - lo_j] = rows.column("z").to_numpy()
         top, left = radius - (i0 - lo_i), radius - (j0 - lo_j)
@@ -145,7 +200,7 @@ def tiled(cells: DataFrame, kernel: Kernel, radius: int, shape: tuple[int, int],
         done = np.asarray(kernel(padded))[radius : radius + i1 - i0 + 1, radius : radius + j1 - j0 + 1]
         there = ~np.isnan(data[i0 - lo_i : i1 - lo_i + 1, j0 - lo_j : j1 - lo_j + 1])
         i, j = np.nonzero(there)
-        return pa.table({"sheet": pa.array(np.full(len(i), sheet), pa.int32()), "i": pa.array(i + i0, pa.int64()), "j": pa.array(j + j0, pa.int64()), "v": pa.array(done[i, j].astype(np.float64)).cast({"double": pa.float64(), "int": pa.int32(), "long": pa.int64()}[out], safe=False)})
+        return pa.table({"sheet": pa.array(np.full(len(i), sheet), pa.int32()), "i": pa.array(i + i0, pa.int64()), "j": pa.array(j + j0, pa.int64()), "v": pa.array(done[i, j].astype(np.float64)).cast(kind, safe=False)})
 
     return dealt.groupBy("sheet", "ti", "tj").applyInArrow(run, f"sheet int, i long, j long, v {out}")
 
