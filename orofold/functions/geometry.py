@@ -119,6 +119,17 @@ def overlap_join(left: DataFrame, right: DataFrame, step: int) -> DataFrame:
     return pairs.where((F.col("sx") == corner("x")) & (F.col("sy") == corner("y"))).select("a", "b")
 
 
+def grown_box(sides: Column) -> list[Column]:
+    """The box (min_x to max_y) a metre wider on all sides that aren't among sides (an array of letters)."""
+    step = lambda side: F.when(F.array_contains(sides, side), 0).otherwise(1)
+    return [(F.col("min_x") - step("w")).alias("min_x"), (F.col("min_y") - step("s")).alias("min_y"), (F.col("max_x") + step("e")).alias("max_x"), (F.col("max_y") + step("n")).alias("max_y")]
+
+
+def on_border(e: Column, n: Column) -> Column:
+    """Whether a place lies on a side of the box (min_x to max_y), or in line with one."""
+    return (e == F.col("min_x")) | (e == F.col("max_x")) | (n == F.col("min_y")) | (n == F.col("max_y"))
+
+
 def border_sides(row: Column, col: Column, spec: MapSpec) -> Column:
     """The sides on which a sheet has a neighbour, in the order w, n, s, e."""
     there = {"w": col > 1, "n": row < spec.nrows, "s": row > 1, "e": col < spec.ncols}

@@ -10,11 +10,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rounds after which what they found is written as one table, so that plans stay short.
+FOLD = 8
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder."""
     spark: SparkSession = df.sparkSession
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if top is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         top = "file://" + tempfile.mkdtemp(prefix="orofold-")
         spark.conf.set("spark.checkpoint.dir", top)
     at = f"{top.rstrip('/')}/graph-{uuid.uuid4().hex}"
@@ -48,9 +54,13 @@ def cell_edges(marked: DataFrame) -> DataFrame:
 def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct id reachable from seeds (id) over edges (a to b), seeds included: a frontier without what was seen."""
     seen = frontier = kept(seeds.select("id").distinct())
+    rounds = 0
     while not frontier.isEmpty():
         frontier = kept(frontier.join(edges, frontier.id == edges.a).select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti"))
         seen = seen.union(frontier)
+        rounds += 1
+        if rounds % FOLD == 0:
+            seen = kept(seen)
     return seen
 
 
@@ -137,8 +147,11 @@ def prominence(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     walk = kept(leaves(vertices, edges).select(F.col("id").alias("leaf"), F.col("z").alias("leaf_z"), F.col("id").alias("at")))
     down = edges.select(F.col("b").alias("at"), F.col("a").alias("below"))
     found = None
-    frontier = walk
+    frontier, rounds = walk, 0
     while not frontier.isEmpty():
+        rounds += 1
+        if found is not None and rounds % FOLD == 0:
+            found = kept(found.groupBy("leaf").agg(F.max("hit").alias("hit")))
         stepped = frontier.join(down, "at").select("leaf", "leaf_z", F.col("below").alias("at")).distinct()
         told = kept(stepped.join(tops.toDF("at", "z", "top"), "at"))
         hits = told.where("top > leaf_z").groupBy("leaf").agg(F.max_by(F.struct("z", "at"), "z").alias("hit"))
@@ -209,14 +222,27 @@ def proxies(oriented_pairs: DataFrame, vertices: DataFrame, edges: DataFrame) ->
     return oriented_pairs.join(same, "dst", "left").select(F.col("src").alias("a"), F.coalesce("parent", "dst").alias("b")).where("a <> b").distinct()
 
 
-def merge_sheets(vertices: DataFrame, edges: DataFrame, c: int) -> DataFrame:
-    """All edges of several sheets' graphs and those between them; an error if a loop arises."""
+def merge_sheets(vertices: DataFrame, edges: DataFrame, c: int) -> tuple[DataFrame, DataFrame]:
+    """Several sheets' graphs as one, with edges between them, without branches that end at a sheet's border and without vertices of no
+    edge; an error if a loop arises."""
     pairs = kept(border_pairs(vertices, c))
     high, low = reach_extreme(vertices, edges, "max"), reach_extreme(vertices, edges, "min")
-    out = kept(edges.select("a", "b").union(proxies(oriented(pairs, high, low), vertices, edges)).distinct())
+    all_edges = kept(edges.select("a", "b").union(proxies(oriented(pairs, high, low), vertices, edges)).distinct())
+    joined = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    left = kept(without_ends(vertices.select("id"), all_edges, joined))
+    out = kept(all_edges.join(left.toDF("a"), "a", "left_semi").join(left.toDF("b"), "b", "left_semi").select("a", "b"))
     if not is_acyclic(out):
         raise ValueError("merging made a loop")
-    return out
+    return kept(without_isolated(vertices, out)), out
+
+
+def without_ends(vertices: DataFrame, edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """id of what is left when branches go that end at a vertex among ends (id) which one edge leads to, down to a fork or a root: all
+    roots and other leaves, and what leads to these."""
+    tops = leaves(vertices, edges).select("id")
+    gone = tops.join(ends, "id", "left_semi").join(degrees(edges).where("n_in = 1").select("id"), "id", "left_semi")
+    stays = tops.join(gone, "id", "left_anti").union(roots(vertices, edges).select("id"))
+    return closure(stays, edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
 def ranked(df: DataFrame, key: str, by: list) -> DataFrame:

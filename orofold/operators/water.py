@@ -43,8 +43,8 @@ def flux_keeps(flux: Column, cell2utm: int, limit: float = -0.328) -> Column:
 
 
 def water_segments(cells: DataFrame, shape: tuple[int, int], settings: Settings | None = None) -> DataFrame:
-    """sheet, i, j, label, water of a sheet's full-resolution cells (one metre each): candidates, merged by least area, without
-    regions whose flux is a heap's."""
+    """sheet, i, j, z, label, water of a sheet's full-resolution cells (one metre each): candidates, merged by least area, heaps joined to
+    their neighbours."""
     s = settings or Settings()
     get = lambda k: s.get("water", k)
     c = s.get("map", "cell2utm")
@@ -61,9 +61,21 @@ def water_segments(cells: DataFrame, shape: tuple[int, int], settings: Settings
     candidate = flat.join(level.select("sheet", "label", "level"), ["sheet", "label"]).withColumn("water", F.col("level") | F.col("artifact") | low_water(F.col("z"), get("sea_level"))).drop("label")
     parts = segments.merged_regions(candidate.withColumn("w", F.col("water").cast("int")), (ny, nx), 6.0, round(get("least_area_m2") / c**2), "w")
     named = candidate.join(parts, ["sheet", "i", "j"]).withColumn("v", F.col("laplacian"))
-    stats = segments.segment_stats(named, (ny, nx)).join(named.groupBy("sheet", "label").agg(F.avg(F.col("water").cast("int")).alias("share")), ["sheet", "label"])
-    told = stats.select("sheet", "label", ((F.col("share") > 0.5) & flux_keeps(F.col("flux"), c, get("flux"))).alias("is_water"))
-    return named.join(told, ["sheet", "label"]).select("sheet", "i", "j", "z", "label", F.col("is_water").alias("water"))
+    return without_heaps(named, (ny, nx), c, get("flux"))
+
+
+def without_heaps(cells: DataFrame, shape: tuple[int, int], cell2utm: int, limit: float) -> DataFrame:
+    """sheet, i, j, z, label, water of candidate regions (cells: label, z, v: the Laplacian, water): regions mostly of water whose flux is
+    a heap's join their neighbour with the least share of water; what is then mostly water is water."""
+    share = F.avg(F.col("water").cast("int"))
+    stats = segments.segment_stats(cells, shape).join(cells.groupBy("sheet", "label").agg(share.alias("share")), ["sheet", "label"])
+    heaps = stats.where((F.col("share") > 0.5) & ~flux_keeps(F.col("flux"), cell2utm, limit)).select("sheet", "label")
+    merged = segments.prune(cells.withColumn("v", F.col("water").cast("int")), heaps, F.col("total") / F.col("n"))
+    told = merged.groupBy("sheet", "label").agg((share > 0.5).alias("is_water"))
+    # A heap without a neighbour is a whole sheet: it stays a region, but isn't water.
+    alone = merged.select("sheet", "label").distinct().join(heaps, ["sheet", "label"], "left_semi").withColumn("heap", F.lit(True))
+    told = told.join(alone, ["sheet", "label"], "left").select("sheet", "label", (F.col("is_water") & F.col("heap").isNull()).alias("is_water"))
+    return merged.drop("water").join(told, ["sheet", "label"]).select("sheet", "i", "j", "z", "label", F.col("is_water").alias("water"))
 
 
 def water_table(cells: DataFrame, shape: tuple[int, int], cell2utm: int, sw: tuple[int, int]) -> DataFrame:

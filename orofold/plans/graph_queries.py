@@ -62,13 +62,6 @@ def water_table(spark, sf_dir):
     return water.water_table(cells, (N, N), 3, (44000, 6909047)).drop("sheet")
 
 
-@query("prune_small_segments")
-def prune_small_segments(spark, sf_dir):
-    cells = sheets(spark, sf_dir).withColumn("v", (F.col("z") % 200 < 80).cast("int"))
-    cells = segments.labelled(cells, "v", SHEET[0])
-    return segments.prune_small(cells, 6).groupBy("sheet", "label").agg(F.count("*").alias("n"))
-
-
 @query("felzenszwalb")
 def felzenszwalb(spark, sf_dir):
     return segments.merged_regions(sheets(spark, sf_dir), SHEET, 300.0, 5).groupBy("sheet", "label").agg(F.count("*").alias("n"))
@@ -82,12 +75,6 @@ def forest_mask(spark, sf_dir):
     return mask(cells, SHEET, 2, 60, 15).select("sheet", "i", "j", "forest")
 
 
-@query("artifact_mask")
-def artifact_mask(spark, sf_dir):
-    lap = sheets(spark, sf_dir).withColumn("laplacian", F.col("z") / 1e6)
-    return water.artifacts(lap, SHEET, 1.0).select("sheet", "i", "j", "artifact")
-
-
 @query("water_segments")
 def water_segments(spark, sf_dir):
     from ..config import Settings
@@ -226,12 +213,6 @@ def prominence(spark, sf_dir):
     return graphs.prominence(v, e).select("id", "z", "prominence")
 
 
-@query("prune_low_prominence")
-def prune_low_prominence(spark, sf_dir):
-    v, e = vertices_edges(spark, sf_dir)
-    return graphs.prune_low(v.withColumn("border", F.col("id") % 97 == 0), e, 2000.0)[0].select("id")
-
-
 _SHEETED = f"{sql.ORD}, v AS (SELECT i * 1000 + j AS id, (j - 1) // 25 + 1 AS sheet, j * 3 AS e, (200 - i) * 3 AS n, z FROM ord WHERE j % 25 IN (0, 1))"
 
 

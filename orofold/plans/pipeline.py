@@ -95,9 +95,8 @@ def ridges(job: Job) -> DataFrame:
 
     from ..functions import taps
 
-    smooth = raster.smooth_tiles(job.table("cells"), np.array(taps.fir_lowpass(159, 16)), job.full).withColumnRenamed("v", "z")
-    lap = raster.sampled(raster.laplacian(smooth).select("sheet", "i", "j", (F.col("laplacian") / 144).alias("v")), job.spec.cell2utm).join(job.table("forests"), ["sheet", "i", "j"])
-    classed = lap.select("sheet", "i", "j", terrain.ridge_class(F.col("v"), F.col("forest")).alias("k"))
+    lap = raster.smooth_laplacian(job.table("cells"), np.array(taps.fir_lowpass(159, 16)), job.full, job.spec.cell2utm).join(job.table("forests"), ["sheet", "i", "j"])
+    classed = lap.select("sheet", "i", "j", terrain.ridge_class(F.col("laplacian") / 144, F.col("forest")).alias("k"))
     out = None
     for k, thick, colour in ((1, terrain.CORNER_WIDTH, _rgba(190, 190, 190)), (2, terrain.DIEDER_WIDTH, _rgba(150, 150, 150))):
         part = stroked(classed.select("sheet", "i", "j", (F.col("k") == k).alias("marked")), job.size, thick, 5)
@@ -132,8 +131,9 @@ def prominent(job: Job) -> DataFrame:
     small = graphs.kept(segments.reduced_tree(c, job.size, get("summit", "obscure"), sides))
     few = graphs.kept(v.join(small.select((F.col("id") + wide).alias("id")), "id", "left_semi"))
     edges = graphs.kept(small.where("parent > 0").select((F.col("parent") + wide).alias("a"), (F.col("id") + wide).alias("b")))
-    all_edges = graphs.merge_sheets(few, edges, job.spec.cell2utm) if len(job.spec) > 1 else edges
-    told = graphs.prominence(few.select("id", "z"), all_edges)
+    if len(job.spec) > 1:
+        few, edges = graphs.merge_sheets(few, edges, job.spec.cell2utm)
+    told = graphs.prominence(few.select("id", "z"), edges)
     found = summits.distinct_summits(tree, v.select("sheet", (F.col("id") - wide).alias("id"), "z")).select((F.col("id") + wide).alias("id"))
     stress = raster.mean_stress(c).where((F.col("sigma") < 0) & (F.col("sigma") > job.settings.get("summit", "least_stress")))
     candidates = v.where("z > 200").join(found, "id", "left_semi").join(stress.select("sheet", "i", "j", "sigma"), ["sheet", "i", "j"])

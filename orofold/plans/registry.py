@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import geometry_queries, graph_queries, terrain_queries  # noqa: F401  they register themselves
+    from . import geometry_queries, graph_queries, step_queries, terrain_queries  # noqa: F401  they register themselves
 
 
 def queries() -> dict:

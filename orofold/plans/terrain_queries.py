@@ -189,12 +189,6 @@ def dilate(spark, sf_dir):
     return terrain.dilate(cells.where("z % 211 = 0"), 2, raster.extent(cells, SHAPE)).select("i", "j")
 
 
-@query("thinning")
-def thinning(spark, sf_dir):
-    cells = rasters.orders_sheets(spark, sf_dir, 60).withColumn("marked", F.col("z") % 200 < 80)
-    return segments.thinned(cells, (60, 125)).select("sheet", "i", "j")
-
-
 @query("ridge_class", f"WITH {sql.EMB}, {sql.hessian('emb')} SELECT i, j, CASE WHEN i > 5 AND i < 500 - 5 AND j > 5 AND j < 64 - 5 THEN CASE WHEN j % 7 = 0 THEN 0 WHEN (h11 + h22) / 144000 > 0.2 THEN 2 WHEN (h11 + h22) / 144000 < -0.05 THEN 1 ELSE 0 END ELSE 0 END AS ridge FROM hs")
 def ridge_class(spark, sf_dir):
     cells = emb_cells(spark, sf_dir)
@@ -265,13 +259,6 @@ def luminance(spark, sf_dir):
     return y.select("i", "j", F.round("y", 6).alias("y"), F.round(terrain.lightness(F.col("y")), 5).alias("lightness"))
 
 
-@query("utm_grid_mask")
-def utm_grid_mask(spark, sf_dir):
-    k = F.col("c_custkey")
-    cells = rasters.table(spark, sf_dir, "customer").select(k.alias("id"), (F.lit(35_000) + (k * 37) % 9000).alias("e"), (F.lit(6_900_000) + (k * 91) % 9000).alias("n"))
-    return terrain.utm_grid(cells, 33).select("id", "line")
-
-
 @query("grid_lines", f"WITH {sql.POINTS} SELECT id, (e % 100 <= 1 OR e % 100 >= 98 OR n % 100 <= 1 OR n % 100 >= 98) AS line FROM points")
 def grid_lines(spark, sf_dir):
     from .geometry_queries import points
@@ -299,14 +286,6 @@ def composite_multiply(spark, sf_dir):
     return _rgba_cells(spark, sf_dir).select("i", "j", terrain.multiply(F.col("top"), F.col("below")).alias("c")).select("i", "j", "c.r", "c.g", "c.b")
 
 
-@query("composite_layers")
-def composite_layers(spark, sf_dir):
-    cells = _rgba_cells(spark, sf_dir).select(F.lit(1).alias("sheet"), "i", "j", "top", "below")
-    layer = lambda k: cells.where((F.col("i") + F.col("j")) % 5 == k).select("sheet", "i", "j", F.col("top").alias("rgba"))
-    out = terrain.composite(cells.select("sheet", "i", "j", F.col("below").alias("rgba")), {name: layer(k) for k, (name, _) in enumerate(terrain.LAYERS)})
-    return out.select("i", "j", "rgba.r", "rgba.g", "rgba.b")
-
-
 @query("thumbnail", f"WITH {sql.ORD}, c AS (SELECT i, j, z // 13 % 256 AS z FROM ord), {_window_sql('c', [1] * 5, _MAX_I.format('c'), 125, 'f')} SELECT (i - 1) // 5 + 1 AS i, (j - 1) // 5 + 1 AS j, CAST((2 * z + 25) // 50 AS BIGINT) AS r FROM f WHERE (i - 1) % 5 = 0 AND (j - 1) % 5 = 0")
 def thumbnail(spark, sf_dir):
     cells = _rgba_cells(spark, sf_dir).select(F.lit(1).alias("sheet"), "i", "j", F.col("below.r").alias("z"))

@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Tags of the format.
@@ -89,6 +89,21 @@ def dump(r: Raster) -> bytes:
     return head + b"".join(struct.pack("<HHI", t, k, n) + v for t, k, n, v in rows) + b"\0\0\0\0" + extra + data
 
 
+def encoded(cells: DataFrame, west: Column, north: Column, cell: float = 1.0) -> DataFrame:
+    """path, content: a file a sheet ("3.tif") of cells (sheet, i, j, z), a task a sheet, as a sheet is of bounded size; west and north are the
+    corner of each cell's sheet. Absent cells are missing values."""
+
+    def run(key, rows):
+        i, j = rows.column("i").to_numpy() - 1, rows.column("j").to_numpy() - 1
+        data = np.full((i.max() + 1, j.max() + 1), np.nan, np.float32)
+        data[i, j] = rows.column("z").to_numpy()
+        raster = Raster(data, rows.column("west")[0].as_py(), rows.column("north")[0].as_py(), cell)
+        return pa.table({"path": [f"{key[0].as_py()}.tif"], "content": pa.array([dump(raster)], pa.binary())})
+
+    at = cells.select("sheet", "i", "j", F.col("z").cast("double").alias("z"), west.cast("double").alias("west"), north.cast("double").alias("north"))
+    return at.groupBy("sheet").applyInArrow(run, "path string, content binary")
+
+
 def files(spark: SparkSession, folder: str) -> DataFrame:
     """path, modificationTime, length, content of all .tif and .tiff files below a folder, but for those in folders named *metadata."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)

@@ -82,3 +82,18 @@ def sheet_images(cells: DataFrame, shape: tuple[int, int], per_metre: int = 1181
 
     flat = cells.select("sheet", "i", "j", *[F.col(f"rgba.{k}").alias(k) for k in "rgba"])
     return flat.groupBy("sheet").applyInArrow(run, "sheet int, png binary")
+
+
+def pixels(images: DataFrame) -> DataFrame:
+    """sheet, i, j, rgba, density (pixels a metre; null where an image doesn't say) of images (sheet, png) with red, green, blue and opacity."""
+
+    def run(batches):
+        for batch in batches:
+            for sheet, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data, told = decode(raw), density(raw)
+                i, j = np.indices(data.shape[:2])
+                rgba = pa.StructArray.from_arrays([pa.array(data[:, :, k].ravel().astype(np.int32)) for k in range(4)], list("rgba"))
+                n = i.size
+                yield pa.record_batch([pa.array(np.full(n, sheet), pa.int32()), pa.array(i.ravel() + 1), pa.array(j.ravel() + 1), rgba, pa.array([told[0] if told and told[2] == 1 else None] * n, pa.int32())], names=["sheet", "i", "j", "rgba", "density"])
+
+    return images.select("sheet", "png").mapInArrow(run, "sheet int, i long, j long, rgba struct<r:int,g:int,b:int,a:int>, density int")
