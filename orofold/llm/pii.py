@@ -4,7 +4,7 @@ Base spans are those of four fixed patterns whose values hold (address parts, Lu
 The method adds spans: wider patterns propose candidates, three labelers vote on each (a regular expression
 for strict form, a gazetteer of known prefixes and endings, and words standing before it), expectation-maximisation over
 the counts of vote patterns estimates each labeler's reliability, and its posteriors train a naive Bayes classifier
-over votes and form, which decides.
+over votes and form. A candidate becomes a span if its votes, weighed by those reliabilities, and the classifier both find it likelier than not.
 
 Defined results: null text counts as empty; repeated rows and repeated or null doc_id give a row each; an
 empty table gives an empty result; very long texts are scanned whole, in linear time (the patterns neither recurse nor
@@ -39,7 +39,7 @@ CONTEXT = {
     "phone": r"(?i)(phone|tel|call|mobile|fax|cell)[^a-z]{0,3}(?:me |us |at |number |is |: ?)*$",
 }
 GAZETTEER = {
-    "email": r"(?i)(com|org|net|edu|gov|io|de|fr|es|uk)$",
+    "email": r"(?i)\.(com|org|net|edu|gov|mil|int|info|biz|name|pro|io|co|ai|app|dev|me|tv|eu|[a-z]{2})$",
     "ip": r"^(10|127|172|192|8|1)\.",
     "card": r"^(4|5[1-5]|2[2-7]|34|37|6011|65|35)",
     "phone": r"^\+?1?[ (.-]*[2-9][0-9]{2}[) .-]+(?!0)",
@@ -154,7 +154,7 @@ FEATURES = ("v1", "v2", "v3", "holds", "size", "digits")
 
 
 def classified(votes: DataFrame) -> DataFrame:
-    """votes with odds: the log-odds of the span classifier trained on EM's posteriors. Its tables hold a
+    """votes with likely, what EM makes of a candidate's votes, and odds: the log-odds of the span classifier trained on such posteriors. Its tables hold a
     row per kind, feature and value: below 400 rows, whatever the input."""
     em = F.broadcast(reliabilities(votes))
     q = votes.groupBy("kind", *FEATURES).count().join(em, "kind").withColumn("v", F.array(*[F.col(c).cast("double") for c in ("v1", "v2", "v3")]))
@@ -164,7 +164,8 @@ def classified(votes: DataFrame) -> DataFrame:
     total = q.groupBy("kind").agg(F.sum(F.col("n") * F.col("q")).alias("tt"), F.sum(F.col("n") * (1 - F.col("q"))).alias("ff"))
     weights = odds.join(F.broadcast(total), "kind").select("kind", F.concat_ws("=", "feature", "value").alias("key"), F.log((F.col("t") + 0.5) / (F.col("tt") + 1) / ((F.col("f") + 0.5) / (F.col("ff") + 1))).alias("w"), F.log((F.col("tt") + 0.5) / (F.col("ff") + 0.5)).alias("bias"))
     model = weights.groupBy("kind").agg(F.map_from_entries(F.collect_list(F.struct("key", "w"))).alias("model"), F.first("bias").alias("bias"))
-    keyed = votes.join(F.broadcast(model), "kind", "left")
+    keyed = votes.join(F.broadcast(model), "kind", "left").join(em, "kind", "left").withColumn("v", F.array(*[F.col(c).cast("double") for c in ("v1", "v2", "v3")]))
+    keyed = keyed.withColumn("likely", F.expr(_posterior("v", "named_struct('p', p, 'a', a, 'b', b)"))).drop("v", "p", "a", "b")
     parts = [F.coalesce(F.element_at("model", F.concat(F.lit(f + "="), F.col(f).cast("string"))), F.lit(0.0)) for f in FEATURES]
     return keyed.withColumn("odds", sum(parts, F.coalesce("bias", F.lit(0.0)))).drop("model", "bias")
 
@@ -173,11 +174,11 @@ def spans(docs: DataFrame) -> DataFrame:
     """kind, start, end, base for each span found, beside docs' columns but t (rid, t and others): code points,
     end exclusive. A text without any has a row without kind.
 
-    An added span needs the classifier's consent and two labelers, and overlaps no base span of its kind."""
+    An added span is likely by its votes and by the classifier, and overlaps no base span of its kind."""
     keep = [c for c in docs.columns if c != "t"]
     all_votes = written(voted(matches(docs)), "pii-votes")
     votes = all_votes.where("kind is not null")
-    told = classified(votes).where(F.col("holds") | ((F.col("odds") > 0) & (F.col("v1").cast("int") + F.col("v2").cast("int") + F.col("v3").cast("int") >= 2)))
+    told = classified(votes).where(F.col("holds") | ((F.col("odds") > 0) & (F.col("likely") > 0.5)))
     from pyspark.sql import Window
 
     before = Window.partitionBy("rid", "kind").orderBy(F.col("start"), F.col("end").desc())
