@@ -5,7 +5,10 @@ last one that does; a line of LONG words or more is a run by itself. Runs overla
 alone, so a passage has the same runs in whatever it is set. Runs whose bytes occur at several places, in one document or many,
 stay at their first place (least doc_id, then row, then position) and go from all others, and with them lines without words
 between two lines that go. The first place of each line's bytes always stays. Places are found by hash; then each run's bytes
-are compared with those of the first place, and what differs stays.
+are compared with those of the first place; where different runs share a hash, each has a first place by its bytes. Texts of any length are read whole.
+
+Runs are told by a rolling hash over their lines' hashes. The lines' words, not the rolling hash, choose where runs end: ends that a rolling hash
+chooses alone are far apart, and lose what lies between a passage's own ends and the nearest of them (of three lines of 18 words, nearly all).
 
 Defined results: null and empty texts have no lines and stay as they are; repeated rows and rows that share a doc_id are
 documents of their own; a null doc_id comes last in order, so that others' copies stay; of lines
@@ -31,12 +34,20 @@ LONG = 25
 FEWEST = 8
 
 
-def cut(text: bytes) -> list[tuple[int, int, int]]:
+_MASK = (1 << 64) - 1
+_BASE = 0x9E3779B97F4A7C15
+
+
+def line_hash(line: bytes) -> int:
+    return xxhash.xxh64_intdigest(line)
+
+
+def cut(text: bytes, digest=line_hash) -> list[tuple[int, int, int]]:
     """(first line, end, hash) of each run of a text, in order."""
     lines = text.split(b"\n")
     words = [len(x.split()) for x in lines]
     full = [i for i, n in enumerate(words) if n]
-    sums, at = [0, *accumulate(words[i] for i in full)], [0, *accumulate(len(x) + 1 for x in lines)]
+    sums = [0, *accumulate(words[i] for i in full)]
     spans, end, start = set(), 0, 0
     for k, i in enumerate(full):
         if words[i] >= LONG:
@@ -51,26 +62,33 @@ def cut(text: bytes) -> list[tuple[int, int, int]]:
             start += 1
         if start < k and sums[k + 1] - sums[start] >= FEWEST:
             spans.add((full[start], i + 1))
-    return [(lo, hi, xxhash.xxh64_intdigest(text[at[lo] : at[hi] - 1]) - (1 << 63)) for lo, hi in sorted(spans)]
+    # A run's hash comes from those of all lines before its start and before its end.
+    rolled = [0]
+    for x in lines if spans else ():
+        rolled.append((rolled[-1] * _BASE + digest(x)) & _MASK)
+    return [(lo, hi, ((rolled[hi] - rolled[lo] * pow(_BASE, hi - lo, 1 << 64)) & _MASK) - (1 << 63)) for lo, hi in sorted(spans)]
 
 
-def _places(batches):
-    for batch in batches:
-        rids, docs, at, hashes = [], [], [], []
-        for rid, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            for k, (_, _, h) in enumerate(cut(text.as_py())) if text.as_py() else ():
-                rids.append(rid)
-                docs.append(doc)
-                at.append(k)
-                hashes.append(h)
-        yield pa.record_batch([pa.array(rids, pa.int64()), pa.array(docs, pa.int64()), pa.array(at, pa.int32()), pa.array(hashes, pa.int64())], names=["rid", "doc_id", "at", "h"])
+def _places(digest):
+    def run(batches):
+        for batch in batches:
+            rids, docs, at, hashes = [], [], [], []
+            for rid, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                for k, (_, _, h) in enumerate(cut(text.as_py(), digest)) if text.as_py() else ():
+                    rids.append(rid)
+                    docs.append(doc)
+                    at.append(k)
+                    hashes.append(h)
+            yield pa.record_batch([pa.array(rids, pa.int64()), pa.array(docs, pa.int64()), pa.array(at, pa.int32()), pa.array(hashes, pa.int64())], names=["rid", "doc_id", "at", "h"])
+
+    return run
 
 
 _MARK = pa.struct([("at", pa.int32()), ("h", pa.int64()), ("first", pa.bool_())])
 _OUT = "rid long, doc_id long, n_lines long, n_removed long, text string, text_sha256 string, chunks array<struct<at:int,h:bigint,first:boolean,bytes:binary>>"
 
 
-def _thinned(with_text: bool):
+def _thinned(with_text: bool, digest):
     """Texts without their marked runs, and the marked runs' bytes. Columns: rid, doc_id, text, marks."""
     kind = pa.list_(pa.struct([("at", pa.int32()), ("h", pa.int64()), ("first", pa.bool_()), ("bytes", pa.binary())]))
 
@@ -83,7 +101,7 @@ def _thinned(with_text: bool):
                 stays, told = np.ones(len(lines), bool), []
                 if marks:
                     by_place = {m["at"]: m for m in marks}
-                    for k, (lo, hi, _) in enumerate(cut(data)):
+                    for k, (lo, hi, _) in enumerate(cut(data, digest)):
                         if m := by_place.get(k):
                             told.append(m | {"bytes": b"\n".join(lines[lo:hi])})
                             stays[lo:hi] &= m["first"]
@@ -102,26 +120,32 @@ def _thinned(with_text: bool):
     return run
 
 
-def line_dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """rid, doc_id, n_lines, n_removed, text (without repeated runs), text_sha256 for each row of docs."""
+def line_dedup(docs: DataFrame, with_text: bool = True, digest=line_hash) -> DataFrame:
+    """rid, doc_id, n_lines, n_removed, text (without repeated runs), text_sha256 for each row of docs; digest: what hashes a line."""
     docs = rows_of(docs, "doc_id", "text").select("rid", "doc_id", F.col("text").cast("binary").alias("text"))
-    places = written(docs.mapInArrow(_places, "rid long, doc_id long, at int, h long"), "places")
+    places = written(docs.mapInArrow(_places(digest), "rid long, doc_id long, at int, h long"), "places")
     order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "rid", "at")
+    # Places that are said again are few against all of them, so these are read twice rather than carried along.
     repeated = written(places.groupBy("h").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1").select("h", "first"), "repeated")
     marks = places.join(repeated, "h").select("rid", F.struct("at", "h", ((F.col("rid") == F.col("first.rid")) & (F.col("at") == F.col("first.at"))).alias("first")).alias("mark"))
     marks = marks.groupBy("rid").agg(F.collect_list("mark").alias("marks"))
-    done = written(docs.join(marks, "rid", "left").select("rid", "doc_id", "text", "marks").mapInArrow(_thinned(with_text), _OUT), "thinned")
+    done = written(docs.join(marks, "rid", "left").select("rid", "doc_id", "text", "marks").mapInArrow(_thinned(with_text, digest), _OUT), "thinned")
     # Byte comparison: of every run with the one at its first place.
-    chunks = done.select("rid", F.explode("chunks").alias("c")).select("rid", "c.*")
+    chunks = done.select("rid", "doc_id", F.explode("chunks").alias("c")).select("rid", "doc_id", "c.*")
     firsts = chunks.where("first").select("h", F.col("bytes").alias("other"))
-    differ = written(chunks.where("not first").join(firsts, "h").where("bytes <> other").select("rid", "at"), "differ")
+    differ = written(chunks.where("not first").join(firsts, "h").where("bytes <> other").select("h").distinct(), "differ")
     out = ["rid", "doc_id", "n_lines", "n_removed", "text", "text_sha256"]
     if differ.isEmpty():
         return done.select(*out)
-    wrong = differ.groupBy("rid").agg(F.collect_list("at").alias("wrong"))
-    again = docs.join(wrong, "rid").join(done.select("rid", "chunks"), "rid")
-    again = again.select("rid", "doc_id", "text", F.expr("transform(filter(chunks, c -> not array_contains(wrong, c.at)), c -> struct(c.at as at, c.h as h, c.first as first))").alias("marks"))
-    return done.join(wrong, "rid", "left_anti").select(*out).unionByName(again.mapInArrow(_thinned(with_text), _OUT).select(*out))
+    # Different runs of one hash: each has a first place of its own, found by its bytes.
+    mixed = chunks.join(differ, "h", "left_semi")
+    groups = mixed.groupBy("h", "bytes").agg(F.count("*").alias("n"), F.min(order).alias("least"))
+    told = mixed.join(groups, ["h", "bytes"]).select("rid", F.struct("at", "h", ((F.col("rid") == F.col("least.rid")) & (F.col("at") == F.col("least.at"))).alias("first"), "n").alias("mark"))
+    anew = written(told.groupBy("rid").agg(F.collect_list("mark").alias("anew")), "anew")
+    marks = "transform(filter(chunks, c -> not exists(anew, m -> m.at = c.at)), c -> struct(c.at as at, c.h as h, c.first as first))"
+    marks = F.expr(f"concat({marks}, transform(filter(anew, m -> m.n > 1), m -> struct(m.at as at, m.h as h, m.first as first)))")
+    again = docs.join(anew, "rid").join(done.select("rid", "chunks"), "rid").select("rid", "doc_id", "text", marks.alias("marks"))
+    return done.join(anew, "rid", "left_anti").select(*out).unionByName(again.mapInArrow(_thinned(with_text, digest), _OUT).select(*out))
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -183,12 +183,57 @@ def test_line_dedup(spark, none):
     assert line_dedup.line_dedup(none).count() == 0
 
 
-def test_line_dedup_compares_bytes(spark, monkeypatch):
-    import xxhash
-
-    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda b: len(b))
-    a, b = "\n".join(["one two three four five"] * 4), "\n".join(["six two three four five "[:23]] * 4)
-    assert [c[2] for c in line_dedup.cut(a.encode())] == [c[2] for c in line_dedup.cut(b.encode())]
+def plain_line_dedup(rows):
+    """doc_id -> text without repeated runs, by comparing all runs' bytes."""
+
+    def runs(lines):
+        full = [i for i, x in enumerate(lines) if x.split()]
+        n = lambda a, b: sum(len(lines[i].split()) for i in full[a : b + 1])
+        out = {(i, i + 1) for i in full if len(lines[i].split()) >= 25}
+        for a in range(len(full)):
+            long = len(lines[full[a]].split()) >= 25
+            ends = [b for b in range(a + 1, len(full)) if n(a, b) >= 8]
+            if ends and not long:
+                out.add((full[a], full[ends[0]] + 1))
+            starts = [s for s in range(a) if n(s, a) >= 8]
+            if starts and not long:
+                out.add((full[starts[-1]], full[a] + 1))
+        return sorted(out)
+
+    first, gone, texts = {}, {}, {}
+    for doc, text in sorted(rows):
+        lines = text.split("\n")
+        texts[doc], gone[doc], kept = lines, set(), set()
+        for lo, hi in runs(lines):
+            own = first.setdefault("\n".join(lines[lo:hi]), (doc, lo)) == (doc, lo)
+            if not own:
+                gone[doc] |= set(range(lo, hi))
+    out = {}
+    for doc, lines in texts.items():
+        full = [i for i, x in enumerate(lines) if x.split()]
+        for a, b in zip(full, full[1:]):
+            if a in gone[doc] and b in gone[doc]:
+                gone[doc] |= set(range(a, b))
+        out[doc] = "\n".join(x for i, x in enumerate(lines) if i not in gone[doc])
+    return out
+
+
+@pytest.mark.parametrize("digest", [line_dedup.line_hash, len])
+def test_line_dedup_matches_plain_comparison(spark, digest):
+    """Also where different lines have one hash (their length): bytes decide."""
+    rng = np.random.default_rng(12)
+    lines = [" ".join(rng.choice(["ab", "cd", "ef"], n)) for n in (1, 2, 3, 4, 5, 6, 9, 26, 30) for _ in range(3)] + ["", "  "]
+    rows = [(i, "\n".join(rng.choice(lines, rng.integers(1, 9)))) for i in range(80)]
+    rows += [(100, "one two three four five\n" * 4), (101, "six two tiger four five\n" * 4), (102, "z " * 30_000), (103, "z " * 30_000)]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), digest=digest).collect()}
+    assert got == plain_line_dedup(rows)
+
+
+def test_line_dedup_of_repeated_rows_and_null_ids(spark):
+    text = "one two three four\nfive six seven eight nine"
+    docs = spark.createDataFrame([(None, text), (5, text), (5, text), (7, text + "\nend")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text) for r in line_dedup.line_dedup(docs).collect())
+    assert got == [(0, ""), (5, ""), (5, text), (7, "end")]
 
 
 def test_line_dedup_removes_short_passages_wholly(spark):
