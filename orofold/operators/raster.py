@@ -231,14 +231,19 @@ def extent(cells: DataFrame, least: tuple[int, int]) -> tuple[int, int]:
     return max(int(far[0] or 0), least[0]), max(int(far[1] or 0), least[1])
 
 
-def consolidate(sources: DataFrame, shape: tuple[int, int]) -> DataFrame:
-    """sheet, i, j, z of one sheet of shape (rows, columns) from source cells (i, j, z, file_order): a later source overwrites, missing
-    values don't, and what no source has is 0."""
+def consolidate(sources: DataFrame, shape: tuple[int, int], sheets: DataFrame | None = None) -> DataFrame:
+    """sheet, i, j, z of sheets of shape (rows, columns) from source cells (sheet, i, j, z, file_order): a later source overwrites, missing
+    values don't, and what no source has is 0. Without sheets (sheet), all sources are of one, sheet 1."""
     spark = sources.sparkSession
     ny, nx = shape
-    last = sources.where("z is not null").where(F.col("i").between(1, ny) & F.col("j").between(1, nx)).groupBy("i", "j").agg(F.max_by("z", F.struct("file_order", "z")).alias("z"))
-    grid = spark.range(ny * nx).select((F.floor(F.col("id") / nx) + 1).cast("long").alias("i"), (F.col("id") % nx + 1).alias("j"))
-    return grid.join(last, ["i", "j"], "left").select(F.lit(1).alias("sheet"), "i", "j", F.coalesce("z", F.lit(0)).alias("z"))
+    if sheets is None:
+        sources, sheets = sources.withColumn("sheet", F.lit(1)), spark.range(1).select(F.lit(1).alias("sheet"))
+    there = sources.where("z is not null").where(F.col("i").between(1, ny) & F.col("j").between(1, nx))
+    last = there.groupBy("sheet", "i", "j").agg(F.max_by("z", F.struct("file_order", "z")).alias("z"))
+    # A row of cells is made at a time, where its sheet's number is.
+    rows = sheets.select(F.col("sheet").cast("int").alias("sheet"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(ny).cast("long"))).alias("i"))
+    grid = rows.select("sheet", "i", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(nx).cast("long"))).alias("j"))
+    return grid.join(last, ["sheet", "i", "j"], "left").select("sheet", "i", "j", F.coalesce("z", F.lit(0)).alias("z"))
 
 
 def require_data(cells: DataFrame, fill_empty: bool = False) -> DataFrame:

@@ -129,19 +129,6 @@ def nonzero_bbox(spark, sf_dir):
     return raster.nonzero_box(cells, ["path"])
 
 
-@query("file_dedupe_sha", "SELECT source AS name, sha256(coalesce(text, '')) AS sha, min(doc_id) AS kept, count(*) AS n FROM documents GROUP BY 1, 2")
-def file_dedupe_sha(spark, sf_dir):
-    docs = rasters.table(spark, sf_dir, "documents")
-    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    return docs.groupBy(F.col("source").alias("name"), sha.alias("sha")).agg(F.min("doc_id").alias("kept"), F.count("*").alias("n"))
-
-
-@query("candidate_anti_join", "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey IS NOT NULL) AND c_name <> 'Consolidated'")
-def candidate_anti_join(spark, sf_dir):
-    there = rasters.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
-    return rasters.table(spark, sf_dir, "customer").join(there, "c_custkey", "left_anti").where("c_name <> 'Consolidated'").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-
-
 @query(
     "consolidate_last_wins",
     """WITH s AS (SELECT l_partkey + 1 AS i, l_suppkey + 1 AS j, CAST(round_even(l_extendedprice * 100 / 50, 0) AS BIGINT) AS z, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_extendedprice DESC, l_shipdate DESC, l_quantity DESC) AS r FROM lineitem),

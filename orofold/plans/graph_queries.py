@@ -9,12 +9,7 @@ from ..sources import rasters, svg
 from . import sql
 from .registry import query
 
-N = 24
-TER = sql.terrain(N)
-_MASKED = f"{TER}, mt AS (SELECT *, z % 200 < 80 AS m FROM ter)"
-
-
-#: Rows and columns of the sheets that queries without SQL cut a table's raster into.
+#: Rows and columns of the sheets that queries cut a table's raster into.
 SHEET = (60, 125)
 
 
@@ -22,46 +17,6 @@ def sheets(spark, sf_dir):
     return rasters.orders_sheets(spark, sf_dir, SHEET[0])
 
 
-def labelled_terrain(spark):
-    return segments.labelled(rasters.terrain(spark, N).withColumn("m", F.col("z") % 200 < 80), "m", N)
-
-
-def _labels(select):
-    return f"WITH RECURSIVE {_MASKED}, {sql.labels('mt', 'm').removeprefix('RECURSIVE ')} {select}"
-
-
-@query("cc_labels", _labels("SELECT i, j, label FROM mt JOIN lab USING (id)"))
-def cc_labels(spark, sf_dir):
-    return labelled_terrain(spark).select("i", "j", "label")
-
-
-_STATS = f"""SELECT label, count(*) AS n, CAST(sum(z) AS BIGINT) AS total, CAST(sum(i) AS BIGINT) // count(*) AS mean_i, CAST(sum(j) AS BIGINT) // count(*) AS mean_j, min(i) AS i_min, max(i) AS i_max, min(j) AS j_min, max(j) AS j_max, min(z) AS z_min, max(z) AS z_max,
-CAST(CASE WHEN min(i) = 1 OR min(j) = 1 OR max(i) = {N} OR max(j) = {N} THEN 0 ELSE sum(z) END AS BIGINT) AS flux, (max(i) - min(i)) ** 2 + (max(j) - min(j)) ** 2 AS diagonal2 FROM mt JOIN lab USING (id) GROUP BY label"""
-
-
-@query("segment_stats", _labels(_STATS))
-def segment_stats(spark, sf_dir):
-    return segments.segment_stats(labelled_terrain(spark).withColumn("v", F.col("z")), (N, N)).drop("sheet")
-
-
-@query("lake_slope_test", _labels(f"SELECT label, z_max - z_min <= least(sqrt(diagonal2) * 10, 100.0) / 100.0 * 900 AS level FROM ({_STATS})"))
-def lake_slope_test(spark, sf_dir):
-    stats = segments.segment_stats(labelled_terrain(spark).withColumn("v", F.col("z")), (N, N))
-    return water.slope_segments(stats, 10, 100.0, 900.0).select("label", "level")
-
-
-@query("small_stroke_filter", _labels("SELECT i, j FROM mt JOIN lab USING (id) JOIN (SELECT label FROM mt JOIN lab USING (id) GROUP BY label HAVING count(*) > 6) USING (label) WHERE m"))
-def small_stroke_filter(spark, sf_dir):
-    cells = rasters.terrain(spark, N).withColumn("marked", F.col("z") % 200 < 80)
-    return segments.long_strokes(cells, N, 6).select("i", "j")
-
-
-@query("water_table", _labels(f"""SELECT s.label, CAST(round_even(t.z, 0) AS BIGINT) AS elevation_m, n * 9 AS area_m2, (s.j - 1) * 3 + 44000 AS e, ({N} - s.i + 1) * 3 + 6909047 AS n_, s.i, s.j FROM (SELECT label, count(*) AS n, CAST(sum(i) AS BIGINT) // count(*) AS i, CAST(sum(j) AS BIGINT) // count(*) AS j FROM mt JOIN lab USING (id) WHERE m GROUP BY label) s JOIN ter t ON t.i = s.i AND t.j = s.j"""))
-def water_table(spark, sf_dir):
-    cells = labelled_terrain(spark).withColumnRenamed("m", "water")
-    return water.water_table(cells, (N, N), 3, (44000, 6909047)).drop("sheet")
-
-
 @query("felzenszwalb")
 def felzenszwalb(spark, sf_dir):
     return segments.merged_regions(sheets(spark, sf_dir), SHEET, 300.0, 5).groupBy("sheet", "label").agg(F.count("*").alias("n"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import geometry, palette
 from ..operators import forest, graphs, marks, raster, segments, summits, terrain, water
-from ..sources import png, svg, text
+from ..sources import geotiff, png, svg, text
 from ..spec import MapSpec
 
 
@@ -142,6 +142,23 @@ def prominent(job: Job) -> DataFrame:
     return summits.regional(rows, get("summit", "obscure"), get("summit", "prominent")).select("sheet", "rank", "z", "prominence", "e", "n", "i", "j", "stress", "name")
 
 
+def consolidated(spark: SparkSession, spec: MapSpec, found: DataFrame) -> DataFrame:
+    """A job's cells, one metre each, from raster files (path, content) that overlap its sheets; later paths overwrite."""
+    c = geotiff.cells(found)
+    row, col = geometry.sheet_index(F.col("e"), F.col("n"), spec)
+    at = c.withColumns({"row": row, "col": col}).where("row is not null and col is not null")
+    i = F.lit(spec.sw_n) + F.col("row") * spec.sheet_height - F.col("n") + 1
+    j = F.col("e") - spec.sw_e - (F.col("col") - 1) * spec.sheet_width + 1
+    sheet = (F.col("row") + (F.col("col") - 1) * spec.nrows).cast("int")
+    sources = at.select(sheet.alias("sheet"), i.cast("long").alias("i"), j.cast("long").alias("j"), "z", F.struct("path").alias("file_order"))
+    return raster.consolidate(sources, (spec.sheet_height, spec.sheet_width), spec.sheets(spark).select("sheet"))
+
+
+def from_archives(spark: SparkSession, spec: MapSpec, archives: DataFrame) -> DataFrame:
+    """A job's cells from zip files (path, content) of rasters."""
+    return consolidated(spark, spec, geotiff.unzipped(archives).select(F.col("name").alias("path"), "content"))
+
+
 def markers(job: Job) -> DataFrame:
     get = job.settings.get
     at = marks.summit_marks(job.table("summits"), job.size, (get("summit", "prominent"), get("summit", "obscure")), (get("summit", "symbol_prominent"), get("summit", "symbol_obscure")), (get("summit", "size_prominent"), get("summit", "size_obscure")))
@@ -149,11 +166,36 @@ def markers(job: Job) -> DataFrame:
 
 
 def images(job: Job) -> DataFrame:
-    blue = job.table("lakes").select("sheet", "i", "j", water.colour(F.col("water"), F.col("z")).alias("rgba")).where("rgba.a > 0")
-    layers = {"contour": job.table("contours"), "ridge": job.table("ridges"), "water": blue, "grid": job.table("grid"), "markers": job.table("markers")}
+    layers = {"contour": job.table("contours"), "ridge": job.table("ridges"), "water": blue(job), "grid": job.table("grid"), "markers": job.table("markers")}
     return png.sheet_images(terrain.composite(job.table("relief"), layers), job.size, job.spec.density)
 
 
+def blue(job: Job) -> DataFrame:
+    return job.table("lakes").select("sheet", "i", "j", water.colour(F.col("water"), F.col("z")).alias("rgba")).where("rgba.a > 0")
+
+
+def thumbnails(job: Job) -> DataFrame:
+    """Ridges, water and markers over the relief, smaller by as many times as the matrix has sheets along its longer side."""
+    n = max(job.spec.nrows, job.spec.ncols)
+    drawn = terrain.composite(job.table("relief"), {"ridge": job.table("ridges"), "water": blue(job), "markers": job.table("markers")}, terrain.THUMBNAIL_LAYERS)
+    drawn = graphs.kept(drawn.select("sheet", "i", "j", "rgba.r", "rgba.g", "rgba.b"))
+    mean = F.floor((2 * F.col("total") + F.col("n_cells")) / (2 * F.col("n_cells"))).cast("int")
+    small = None
+    for k in "rgb":
+        part = raster.box_sums(drawn, n, k).select("sheet", "i", "j", mean.alias(k))
+        small = part if small is None else small.join(part, ["sheet", "i", "j"])
+    rgba = small.select("sheet", "i", "j", F.struct("r", "g", "b", F.lit(255).alias("a")).alias("rgba"))
+    return png.sheet_images(rgba, (-(-job.size[0] // n), -(-job.size[1] // n)), job.spec.density)
+
+
+def pages(job: Job) -> DataFrame:
+    """sheet, svg: each sheet's image with the labels of its summits and lakes."""
+    top = svg.summit_labels(job.table("summits"), job.spec.nx, job.settings.get("text", "flip")).withColumn("sheet", F.col("sheet").cast("int"))
+    still = water.water_table(job.table("lakes").where("label is not null"), job.size, job.spec.cell2utm, (job.spec.sw_e, job.spec.sw_n))
+    lakes_ = svg.lake_labels(still).select("sheet", F.lit("").alias("name"), F.col("text").alias("second"), "i", "j", F.lit("start").alias("anchor"))
+    return svg.pages(job.spec, job.spec.sheets(job.spark), top.unionByName(lakes_), job.settings.get("text", "font_pt"))
+
+
 #: step, what makes it, the steps it needs.
 STEPS: list[tuple[str, Callable[[Job], DataFrame], tuple[str, ...]]] = [
     ("cells", cells, ()),
@@ -166,6 +208,8 @@ STEPS: list[tuple[str, Callable[[Job], DataFrame], tuple[str, ...]]] = [
     ("summits", prominent, ("cells",)),
     ("markers", markers, ("summits",)),
     ("images", images, ("relief", "contours", "ridges", "lakes", "grid", "markers")),
+    ("thumbnails", thumbnails, ("relief", "ridges", "lakes", "markers")),
+    ("pages", pages, ("lakes", "summits")),
 ]
 
 

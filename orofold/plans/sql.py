@@ -26,14 +26,6 @@ def hessian(source: str, z: str = "z") -> str:
 hs AS (SELECT gr.i, gr.j, gr.z, ga.g1 AS h11, ga.g2 AS h12, gb.g1 AS h21, gb.g2 AS h22 FROM gr JOIN ga USING (i, j) JOIN gb USING (i, j))"""
 
 
-def labels(source: str, value: str) -> str:
-    """lab(i, j, label): least column-major number of 4-connected cells of equal value, by recursion. source has id."""
-    return f"""RECURSIVE edges AS (
-  SELECT a.id AS a, b.id AS b FROM {source} a JOIN {source} b ON ((a.i = b.i AND abs(a.j - b.j) = 1) OR (a.j = b.j AND abs(a.i - b.i) = 1)) AND a.{value} = b.{value}
-), walk AS (SELECT id, id AS seen FROM {source} UNION SELECT walk.id, edges.b FROM walk JOIN edges ON walk.seen = edges.a),
-lab AS (SELECT id, min(seen) AS label FROM walk GROUP BY id)"""
-
-
 def sheets(s) -> str:
     """sh(sheet, row, col, ...) of a MapSpec."""
     return f"""sh AS (SELECT CAST(k AS INTEGER) AS sheet, CAST((k - 1) % {s.nrows} + 1 AS INTEGER) AS row, CAST((k - 1) // {s.nrows} + 1 AS INTEGER) AS col,
@@ -43,12 +35,5 @@ def sheets(s) -> str:
   FROM range(1, {len(s) + 1}) AS r(k))"""
 
 
-def terrain(n: int) -> str:
-    """ter(i, j, z, id): integer hills, ids column-major."""
-    wave = lambda x, p: f"abs(({x}) % {p} - {p // 2})"
-    return f"""ter AS (SELECT i, j, CAST(40 * {wave('i * 3 + j', 23)} + 30 * {wave('j * 2 + i * 5', 31)} + 7 * {wave('i + j * 3', 11)} + 2 * i AS BIGINT) AS z, i + (j - 1) * {n} AS id
-  FROM (SELECT k // {n} + 1 AS i, k % {n} + 1 AS j FROM range(0, {n * n}) AS r(k)))"""
-
-
 #: A tree over orders: each key's parent is a third of it, heights grow with keys.
 TREE = "tree AS (SELECT o_orderkey + 1 AS id, o_orderkey // 3 + 1 AS parent, CAST(10 * o_orderkey + o_custkey % 10 AS BIGINT) AS z FROM orders)"

@@ -88,8 +88,52 @@ def prune_small_segments(spark, sf_dir):
 
 @query("segment_flux", f"WITH RECURSIVE {sql.ORD}, {CELLS}, {_regions('cells', 'z % 200 // 50')} SELECT sheet, label, CAST(CASE WHEN min(i) = 1 OR min(j) = 1 OR max(i) = {NY} OR max(j) = {NX} THEN 0 ELSE sum(z) END AS BIGINT) AS flux FROM lab JOIN cells USING (sheet, i, j) GROUP BY ALL")
 def segment_flux(spark, sf_dir):
-    cells = segments.labelled(sheets(spark, sf_dir).withColumn("k", F.floor(F.col("z") % 200 / 50)), "k", NY).withColumn("v", F.col("z"))
-    return segments.segment_stats(cells, SHEET).select("sheet", "label", "flux")
+    return segments.segment_stats(classed(spark, sf_dir).withColumn("v", F.col("z")), SHEET).select("sheet", "label", "flux")
+
+
+_CLASSED = f"WITH RECURSIVE {sql.ORD}, {CELLS}, {_regions('cells', 'z % 200 // 50')}"
+
+
+def classed(spark, sf_dir):
+    """Cells in four classes, and the regions of each."""
+    return segments.labelled(sheets(spark, sf_dir).withColumn("k", F.floor(F.col("z") % 200 / 50)), "k", NY)
+
+
+@query("cc_labels", f"{_CLASSED} SELECT sheet, i, j, label FROM lab")
+def cc_labels(spark, sf_dir):
+    return classed(spark, sf_dir).select("sheet", "i", "j", "label")
+
+
+_STATS = f"""SELECT sheet, label, count(*) AS n, CAST(sum(z) AS BIGINT) AS total, CAST(sum(i) AS BIGINT) // count(*) AS mean_i, CAST(sum(j) AS BIGINT) // count(*) AS mean_j, min(i) AS i_min, max(i) AS i_max, min(j) AS j_min, max(j) AS j_max, min(z) AS z_min, max(z) AS z_max,
+CAST(CASE WHEN min(i) = 1 OR min(j) = 1 OR max(i) = {NY} OR max(j) = {NX} THEN 0 ELSE sum(z) END AS BIGINT) AS flux, (max(i) - min(i)) ** 2 + (max(j) - min(j)) ** 2 AS diagonal2 FROM lab JOIN cells USING (sheet, i, j) GROUP BY sheet, label"""
+
+
+@query("segment_stats", f"{_CLASSED} {_STATS}")
+def segment_stats(spark, sf_dir):
+    return segments.segment_stats(classed(spark, sf_dir).withColumn("v", F.col("z")), SHEET)
+
+
+@query("lake_slope_test", f"{_CLASSED} SELECT sheet, label, z_max - z_min <= least(sqrt(diagonal2) * 10, 100.0) / 100.0 * 300000 AS level FROM ({_STATS})")
+def lake_slope_test(spark, sf_dir):
+    stats = segments.segment_stats(classed(spark, sf_dir).withColumn("v", F.col("z")), SHEET)
+    return water.slope_segments(stats, 10, 100.0, 300_000.0).select("sheet", "label", "level")
+
+
+_WET = f"WITH RECURSIVE {sql.ORD}, {CELLS}, wet AS (SELECT *, true AS m FROM cells WHERE z % 200 < 60), {_regions('wet', 'm')}"
+
+
+@query("small_stroke_filter", f"{_WET} SELECT sheet, i, j FROM lab JOIN (SELECT sheet, label FROM lab GROUP BY ALL HAVING count(*) > 3) USING (sheet, label)")
+def small_stroke_filter(spark, sf_dir):
+    return segments.long_strokes(sheets(spark, sf_dir).withColumn("marked", F.col("z") % 200 < 60), NY, 3).select("sheet", "i", "j")
+
+
+@query("water_table", f"""{_WET}, s AS (SELECT sheet, label, count(*) AS n, CAST(sum(i) AS BIGINT) // count(*) AS i, CAST(sum(j) AS BIGINT) // count(*) AS j FROM lab GROUP BY ALL)
+SELECT s.sheet, s.label, CAST(round_even(t.z / 100.0, 0) AS BIGINT) AS elevation_m, n * 9 AS area_m2, (s.j - 1) * 3 + 44000 AS e, ({NY} - s.i + 1) * 3 + 6909047 AS n_, s.i, s.j FROM s JOIN cells t ON t.sheet = s.sheet AND t.i = s.i AND t.j = s.j""")
+def water_table(spark, sf_dir):
+    cells = sheets(spark, sf_dir).withColumn("wet", F.col("z") % 200 < 60)
+    lakes = segments.labelled(cells.where("wet"), "wet", NY).select("sheet", "i", "j", "label")
+    cells = cells.join(lakes, ["sheet", "i", "j"], "left").withColumns({"z": F.col("z") / 100.0, "water": F.col("wet")})
+    return water.water_table(cells, SHEET, 3, (44000, 6909047))
 
 
 _HEAP = "(CASE WHEN water THEN 1 ELSE 0 END)"
@@ -107,8 +151,7 @@ m AS MATERIALIZED (SELECT c.sheet, c.i, c.j, c.water, coalesce(r.root, c.label)
 w AS (SELECT sheet, label, share > 0.5 AS water FROM (SELECT sheet, label, avg({_HEAP}) AS share FROM m GROUP BY sheet, label))
 SELECT m.sheet, m.i, m.j, m.label, w.water FROM m JOIN w USING (sheet, label)""")
 def water_heaps(spark, sf_dir):
-    cells = segments.labelled(sheets(spark, sf_dir).withColumn("k", F.floor(F.col("z") % 200 / 50)), "k", NY)
-    cells = cells.withColumns({"water": F.col("z") % 3 > 0, "v": F.col("z") % 100 - 60})
+    cells = classed(spark, sf_dir).withColumns({"water": F.col("z") % 3 > 0, "v": F.col("z") % 100 - 60})
     return water.without_heaps(cells, SHEET, 1, -8.0).select("sheet", "i", "j", "label", "water")
 
 
@@ -317,3 +360,36 @@ def png_pixels(spark, sf_dir):
     part = [(F.floor(F.col("z") / k) % 256).cast("int").alias(n) for k, n in ((1, "r"), (3, "g"), (7, "b"), (11, "a"))]
     cells = sheets(spark, sf_dir).select("sheet", "i", "j", F.struct(*part).alias("rgba"))
     return png.pixels(png.sheet_images(cells, SHEET)).select("sheet", "i", "j", "rgba.*", "density")
+
+
+# -- archives, lists of files, consolidated sheets
+
+
+@query("unzip_names", """WITH m AS (SELECT DISTINCT 'r' || s_suppkey % 7 AS stem, sha256('content ' || s_suppkey % 3) AS sha FROM supplier), k AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY sha) AS k FROM m)
+SELECT CASE WHEN k = 1 THEN stem || '.tif' ELSE stem || ' (' || (k - 1) || ').tif' END AS name, sha FROM k""")
+def unzip_names(spark, sf_dir):
+    """Suppliers as rasters in ten archives, many of one name, some of equal content."""
+    k = F.col("s_suppkey")
+    one = F.concat(F.lit("content "), (k % 3).cast("string")).cast("binary")
+    members = rasters.table(spark, sf_dir, "supplier").select(F.concat((k % 10).cast("string"), F.lit(".zip")).alias("path"), F.concat(k.cast("string"), F.lit("/r"), (k % 7).cast("string"), F.lit(".tif")).alias("name"), one.alias("content"))
+    return geotiff.unzipped(geotiff.zipped(members)).select("name", "sha")
+
+
+@query("raster_candidates", "SELECT 'in/' || c_custkey % 9 || '/' || c_name || '.tif' AS path, c_name || '.tif' AS name FROM customer WHERE c_custkey % 11 > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey IS NOT NULL)")
+def raster_candidates(spark, sf_dir):
+    """Customers as files, those with urgent orders there already; every eleventh is a sheet's own."""
+    k = F.col("c_custkey")
+    c = rasters.table(spark, sf_dir, "customer")
+    file = F.concat("c_name", F.lit(".tif"))
+    found = c.select(F.concat(F.lit("in/"), (k % 9).cast("string"), F.lit("/"), F.when(k % 11 == 0, geotiff.RESERVED).otherwise(file)).alias("path"))
+    urgent = rasters.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return geotiff.candidates(found, c.join(urgent, "c_custkey", "left_semi").select(file.alias("name")))
+
+
+@query("consolidate_sheets", """WITH s AS (SELECT l_partkey // 250 + 1 AS sheet, l_partkey % 250 + 1 AS i, l_suppkey + 1 AS j, CAST(round_even(l_extendedprice * 100 / 50, 0) AS BIGINT) AS z, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_extendedprice DESC, l_shipdate DESC, l_quantity DESC) AS r FROM lineitem WHERE l_suppkey < 20),
+g AS (SELECT CAST(sheet AS INTEGER) AS sheet, i, j FROM (SELECT DISTINCT l_partkey // 250 + 1 AS sheet FROM lineitem), range(1, 251) x(i), range(1, 21) y(j))
+SELECT g.sheet, g.i, g.j, coalesce(z, 0) AS z FROM g LEFT JOIN (SELECT * FROM s WHERE r = 1) s ON g.sheet = s.sheet AND g.i = s.i AND g.j = s.j""")
+def consolidate_sheets(spark, sf_dir):
+    part = F.col("i") - 1
+    cells = rasters.sparse_cells(spark, sf_dir).withColumns({"sheet": (F.floor(part / 250) + 1).cast("int"), "i": part % 250 + 1})
+    return raster.consolidate(cells, (250, 20), cells.select("sheet").distinct())

@@ -93,7 +93,9 @@ _GAUSS = [round(t * 1_000) for t in taps.gaussian(1)]
 
 @query("fir_smooth", f"WITH {sql.EMB}, {_window_sql('emb', _SMOOTH, _MAX_I.format('emb'), 64, 'f')} SELECT i, j, z FROM f")
 def fir_smooth(spark, sf_dir):
-    return raster.separable(emb_cells(spark, sf_dir), _SMOOTH).select("i", "j", "z")
+    """On tiles, as the map job smooths."""
+    cells = emb_cells(spark, sf_dir)
+    return raster.smooth_tiles(cells, np.array(_SMOOTH), raster.extent(cells, (1, 64)), tile=100).select("i", "j", F.col("v").cast("long").alias("z"))
 
 
 @query("roughness", f"WITH {sql.EMB}, {_window_sql('emb', _ROUGH, _MAX_I.format('emb'), 64, 'f')} SELECT i, j, z FROM f")

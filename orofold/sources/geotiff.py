@@ -182,6 +182,31 @@ def unzipped(archives: DataFrame) -> DataFrame:
     return members.withColumn("k", k).select(F.when(F.col("k") == 1, F.col("name")).otherwise(F.concat(stem, F.lit(" ("), (F.col("k") - 1).cast("string"), F.lit(")"), end)).alias("name"), "sha", "content")
 
 
+def zipped(members: DataFrame) -> DataFrame:
+    """path, content: a zip file for each path of members (path, name, content); an archive is as bounded as its sheet."""
+    import io
+    import zipfile
+
+    def run(key, rows):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, content in sorted(zip(rows.column("name").to_pylist(), rows.column("content").to_pylist(), strict=True)):
+                z.writestr(name, content)
+        return pa.table({"path": [key[0].as_py()], "content": pa.array([out.getvalue()], pa.binary())})
+
+    return members.select("path", "name", "content").groupBy("path").applyInArrow(run, "path string, content binary")
+
+
+#: The name that a sheet's own raster has.
+RESERVED = "Consolidated.tif"
+
+
+def candidates(found: DataFrame, there: DataFrame) -> DataFrame:
+    """path, name of files (path) whose name the destination (name) lacks and that aren't a sheet's own raster."""
+    named = found.select("path", F.regexp_extract("path", r"[^/]*$", 0).alias("name")).where(F.col("name") != RESERVED)
+    return named.join(there.select("name"), "name", "left_anti").select("path", "name")
+
+
 def onto_grid(sources: DataFrame, sw: tuple[int, int], shape: tuple[int, int], cell: int) -> DataFrame:
     """i, j, z, file_order for operators.raster.consolidate: source cells (path, e, n, z) on the nearest cell of a sheet's grid."""
     i, j = F.rint((F.lit(sw[1] + shape[0] * cell) - F.col("n")) / cell) + 1, F.rint((F.col("e") - sw[0]) / cell) + 1

@@ -1,5 +1,4 @@
-"""Rasters as cell tables (sheet, i, j, z): i grows south, j east, both from 1. Here: rasters derived from business tables, and
-synthetic terrain."""
+"""Rasters as cell tables (sheet, i, j, z): i grows south, j east, both from 1. Here: rasters derived from business tables."""
 
 from __future__ import annotations
 
@@ -33,11 +32,3 @@ def sparse_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source cells (i, j, z in centimetres) with several candidates for some places; the rest of the columns order them."""
     li = table(spark, sf_dir, "lineitem")
     return li.select((F.col("l_partkey") + 1).alias("i"), (F.col("l_suppkey") + 1).alias("j"), F.rint(F.col("l_extendedprice") * 100 / 50).cast("long").alias("z"), F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate", "l_quantity").alias("file_order"))
-
-
-def terrain(spark: SparkSession, n: int) -> DataFrame:
-    """n by n cells of integer hills: triangular waves over a slope, the same in any engine."""
-    i, j = (F.floor(F.col("id") / n) + 1), (F.col("id") % n + 1)
-    wave = lambda x, p: F.abs(F.pmod(x, F.lit(p)) - p // 2)
-    z = 40 * wave(i * 3 + j, 23) + 30 * wave(j * 2 + i * 5, 31) + 7 * wave(i + j * 3, 11) + 2 * i
-    return spark.range(n * n).select(F.lit(1).alias("sheet"), i.cast("long").alias("i"), j.cast("long").alias("j"), z.cast("long").alias("z"))

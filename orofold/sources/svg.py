@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from xml.sax.saxutils import escape, quoteattr
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,14 +24,14 @@ def css(points: float, density: int) -> str:
 
 
 def summit_labels(summits: DataFrame, nx: int, flip: float = 0.85) -> DataFrame:
-    """name, second line "z m (p m)", place and side of each summit (name, z, prominence, i, j): left of it near the eastern edge."""
+    """sheet if there is one, name, second line "z m (p m)", place and side of each summit (name, z, prominence, i, j): left of it near the eastern edge."""
     text = F.format_string("%d m (%d m)", F.rint("z").cast("long"), F.rint("prominence").cast("long"))
-    return summits.select("name", text.alias("second"), "i", "j", F.when(F.col("j") > flip * nx, "end").otherwise("start").alias("anchor"))
+    return summits.select(*[c for c in summits.columns if c == "sheet"], "name", text.alias("second"), "i", "j", F.when(F.col("j") > flip * nx, "end").otherwise("start").alias("anchor"))
 
 
 def lake_labels(lakes: DataFrame) -> DataFrame:
     """The elevation of each lake (elevation_m, i, j) above the sea."""
-    return lakes.where("elevation_m > 1").select(F.format_string("%d m", "elevation_m").alias("text"), "i", "j")
+    return lakes.where("elevation_m > 1").select(*[c for c in lakes.columns if c == "sheet"], F.format_string("%d m", "elevation_m").alias("text"), "i", "j")
 
 
 def parts(text: Column) -> Column:
@@ -61,6 +62,18 @@ def sheet(spec: MapSpec, image: str, labels: list, points: float = 10.0) -> str:
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{w:g}mm" height="{h:g}mm" viewBox="0 0 {spec.nx} {spec.ny}">\n<style>\n{css(points, spec.density)}</style>\n<image href={quoteattr(image)} width="{spec.nx}" height="{spec.ny}"/>\n{body}\n</svg>\n'
 
 
+def pages(spec: MapSpec, sheets: DataFrame, labels: DataFrame, points: float = 10.0) -> DataFrame:
+    """sheet, svg: a page a sheet of sheets (sheet) with its labels (sheet, name, second, i, j, anchor), which are few."""
+
+    def run(key, rows):
+        own = [r for r in rows.sort_by([("i", "ascending"), ("j", "ascending")]).to_pylist() if r["second"] is not None]
+        number = key[0].as_py()
+        return pa.table({"sheet": pa.array([number], pa.int32()), "svg": [sheet(spec, f"{number}.png", own, points)]})
+
+    every = sheets.select("sheet").join(labels, "sheet", "left").select("sheet", "name", "second", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "anchor")
+    return every.groupBy("sheet").applyInArrow(run, "sheet int, svg string")
+
+
 def mosaic(rows: list, n: int, link) -> str:
     """The overview: tiles (sheet, tile, x, y) that link to their sheets; link(sheet) -> (page, image)."""
     shade = '<defs><filter id="hover"><feColorMatrix type="saturate" values="0.6"/></filter></defs>'
