@@ -47,6 +47,12 @@ def test_bpe_query(docs, none):
     out = bpe.encode_documents(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
     assert len(out) == len(TEXTS) + 2
     assert sorted(r.decoded_sha256 for r in out if r.doc_id == 6) == [hashlib.sha256(LONG.encode()).hexdigest()]
+    library = encoder().core
+    for r in out:
+        text = "no id" if r.doc_id is None else TEXTS[r.doc_id] or ""
+        ids = library.encode_ordinary(text)
+        if (r.doc_id, r.n_tokens) != (3, len(library.encode_ordinary("again id three"))):
+            assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
     assert next(r for r in out if r.doc_id == 0).n_tokens == 0
     assert bpe.encode_documents(none, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
@@ -55,13 +61,13 @@ def test_packing(docs, none):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    pieces = packing.pack(docs.where("doc_id is not null and text is not null or doc_id < 2"), P.path("byte_bpe_50k.json"), P.PATTERN).collect()
+    pieces = packing.pack(docs, P.path("byte_bpe_50k.json"), P.PATTERN).collect()
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for p in pieces:
         by_doc[p.doc_id, p.doc_tokens].append(p)
         by_seq[p.sequence_id].append(p)
     for (doc, n), own in by_doc.items():
-        text = "again id three" if doc == 3 and n != len(tok.encode("one", add_special_tokens=False).ids) + 1 else TEXTS[doc] or ""
+        text = "no id" if doc is None else "again id three" if doc == 3 and n != len(tok.encode("one", add_special_tokens=False).ids) + 1 else TEXTS[doc] or ""
         ids = [*tok.encode(text, add_special_tokens=False).ids, 0]
         own.sort(key=lambda p: p.start)
         assert len(ids) == n and own[0].start == 0 and sum(p.length for p in own) == n
@@ -138,7 +144,11 @@ def reached(ids, sets, percent):
     return {i: root(i) for i in ids}
 
 
-def test_minhash_matches_brute_force(spark):
+@pytest.mark.parametrize(("cap", "size"), [(2048, 32 << 20), (3, 32 << 20), (2048, 1200)])
+def test_minhash_matches_brute_force(spark, monkeypatch, cap, size):
+    """Also where buckets are dealt out in many squares, by rows or by bytes."""
+    monkeypatch.setattr(minhash, "CAP", cap)
+    monkeypatch.setattr(minhash, "TEXTS", size)
     rng = np.random.default_rng(11)
     vocabulary = [f"w{i}" for i in range(300)]
     base = [list(rng.choice(vocabulary, 60)) for _ in range(6)]
@@ -359,8 +369,9 @@ def test_toxicity_counts_the_calibration_fold(spark):
     assert held_out_accuracy(spark, rows, labels, probes) > 0.9
 
 
-@pytest.mark.parametrize("cap", [4096, 7])
-def test_embeddings_match_brute_force(spark, cap):
+@pytest.mark.parametrize(("cap", "small"), [(4096, 1 << 18), (7, 1 << 18), (4096, 20), (7, 4)])
+def test_embeddings_match_brute_force(spark, cap, small):
+    """In one square, in many, and on grids of two and of three dimensions."""
     rng = np.random.default_rng(8)
     centres = rng.standard_normal((5, 16))
     rows = [(i, (centres[i % 5] + rng.standard_normal(16) * 0.22).astype(np.float32).tolist(), i % 2) for i in range(120)]
@@ -378,7 +389,7 @@ def test_embeddings_match_brute_force(spark, cap):
             break
         sets = new
     df = spark.createDataFrame([*rows, (None, rows[0][1], 0)], "vec_id long, embedding array<float>, label int")
-    got = vectors.embedding_dedup(df, cap=cap).collect()
+    got = vectors.embedding_dedup(df, cap=cap, small=small).collect()
     assert len(got) == len(rows) + 1 and sum(map(len, link.values())) > 50
     for r in got:
         if r.vec_id is not None:
