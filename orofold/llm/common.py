@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import weakref
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -44,21 +44,35 @@ def written(df: DataFrame, tag: str, most: int | None = None) -> DataFrame:
     at = f"{shared_dir(spark)}/orofold-{uuid.uuid4().hex}/{tag}"
     df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
-    _folders[id(out)] = (weakref.ref(out, lambda _, key=id(out): _folders.pop(key, None)), at)
+    for made in _open[-1:]:
+        made.append((out, at))
     return out
 
 
-#: Folders of the tables that `written` made, as long as these are held.
-_folders: dict[int, tuple[weakref.ref, str]] = {}
+#: What `written` made within each block of `tidied` that is open, the innermost last.
+_open: list[list[tuple[DataFrame, str]]] = []
 
 
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that `written` made and nothing reads any more."""
-    for t in tables:
-        ref, at = _folders.get(id(t), (None, None))
-        if ref is not None and ref() is t:
-            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(at).getParent()
-            path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def tidied():
+    """A block at whose end the tables written in it are deleted, but for those given to the function that it gives."""
+    kept: list[DataFrame] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    _open.append([])
+    try:
+        yield keep
+    finally:
+        for table, at in _open.pop():
+            if any(table is k for k in kept):
+                for outer in _open[-1:]:
+                    outer.append((table, at))
+            else:
+                path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(at).getParent()
+                path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Columns that operators put beside a table's own begin so; no table may have one.

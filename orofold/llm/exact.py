@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rows_of, written
+from .common import rows_of, tidied, written
 
 BLOCK = 16_384
 #: Blocks are cut out of pieces of so many blocks, so that very long texts aren't copied once a block.
@@ -54,17 +54,18 @@ def identities(docs: DataFrame, block: int = BLOCK, content_hash=F.xxhash64) ->
     cut = docs.select(
         "rid", "doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), blocks_of(F.col("text"), block).alias("blocks")
     )
-    # Level 0: each content gets a name. Contents travel once; copies are merged before they travel.
-    contents = docs.select(F.explode(blocks_of(F.col("text"), block)).alias("block")).select(content_hash("block").alias("h"), "block")
-    sets = contents.groupBy("h").agg(F.array_sort(F.collect_set("block")).alias("contents"))
-    told = sets.select("h", F.size("contents").alias("n"), F.posexplode("contents").alias("k", "block"))
-    names = _named(told.select("h", "n", "k", F.when(F.col("n") > 1, F.col("block")).alias("block")), ["h", "k"], "names-0")
-    rows = cut.select("rid", "doc_id", "text_sha256", F.size("blocks").alias("blocks_n"), F.posexplode("blocks").alias("pos", "block")).withColumn("h", content_hash("block"))
-    found = rows.drop("block").join(names.where("n = 1").select("h", "name"), "h")
-    if not names.where("n > 1").isEmpty():  # different blocks of one hash: told apart by their bytes
-        clash = names.where("n > 1").select("h", F.col("block").alias("other"), "name")
-        found = found.unionByName(rows.join(clash, (rows.h == clash.h) & (rows.block == clash.other)).select(*[rows[c] for c in ("h", "rid", "doc_id", "text_sha256", "blocks_n", "pos")], "name"))
-    found = written(found.select("rid", "doc_id", "text_sha256", "blocks_n", "pos", "name"), "blocks-0")
+    with tidied() as keep:
+        # Level 0: each content gets a name. Contents travel once; copies are merged before they travel.
+        contents = docs.select(F.explode(blocks_of(F.col("text"), block)).alias("block")).select(content_hash("block").alias("h"), "block")
+        sets = contents.groupBy("h").agg(F.array_sort(F.collect_set("block")).alias("contents"))
+        told = sets.select("h", F.size("contents").alias("n"), F.posexplode("contents").alias("k", "block"))
+        names = _named(told.select("h", "n", "k", F.when(F.col("n") > 1, F.col("block")).alias("block")), ["h", "k"], "names-0")
+        rows = cut.select("rid", "doc_id", "text_sha256", F.size("blocks").alias("blocks_n"), F.posexplode("blocks").alias("pos", "block")).withColumn("h", content_hash("block"))
+        found = rows.drop("block").join(names.where("n = 1").select("h", "name"), "h")
+        if not names.where("n > 1").isEmpty():  # different blocks of one hash: told apart by their bytes
+            clash = names.where("n > 1").select("h", F.col("block").alias("other"), "name")
+            found = found.unionByName(rows.join(clash, (rows.h == clash.h) & (rows.block == clash.other)).select(*[rows[c] for c in ("h", "rid", "doc_id", "text_sha256", "blocks_n", "pos")], "name"))
+        found = keep(written(found.select("rid", "doc_id", "text_sha256", "blocks_n", "pos", "name"), "blocks-0"))
     done = found.where("blocks_n = 1").select("rid", "doc_id", "text_sha256", F.lit(0).alias("level"), "name")
     rest = (
         found.where("blocks_n > 1")
@@ -76,9 +77,10 @@ def identities(docs: DataFrame, block: int = BLOCK, content_hash=F.xxhash64) ->
     while not rest.isEmpty():
         level += 1
         pairs = rest.select("rid", F.expr("posexplode(transform(sequence(0, cast((size(names) - 1) div 2 as int)), i -> struct(names[i * 2] as l, try_element_at(names, i * 2 + 2) as r)))").alias("pos", "pair")).select("rid", "pos", "pair.l", F.coalesce("pair.r", F.lit(-1)).alias("r"))
-        names = _named(pairs.select(F.xxhash64("l", "r").alias("h"), "l", "r").distinct(), ["h", "l", "r"], f"names-{level}").drop("h")
-        up = pairs.join(names, ["l", "r"]).groupBy("rid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("names"))
-        rest = written(rest.drop("names").join(up, "rid"), f"texts-{level}")
+        with tidied() as keep:
+            names = _named(pairs.select(F.xxhash64("l", "r").alias("h"), "l", "r").distinct(), ["h", "l", "r"], f"names-{level}").drop("h")
+            up = pairs.join(names, ["l", "r"]).groupBy("rid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("names"))
+            rest = keep(written(rest.drop("names").join(up, "rid"), f"texts-{level}"))
         done = done.unionByName(rest.where("size(names) = 1").select("rid", "doc_id", "text_sha256", F.lit(level).alias("level"), F.col("names")[0].alias("name")))
         rest = rest.where("size(names) > 1")
     return done

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, rows_of, shingle_set, word_hashes, written
+from .common import mix, rows_of, shingle_set, tidied, word_hashes, written
 from .components import components
 
 T = 256
@@ -285,6 +285,15 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     100 * |intersection| >= percent * |union|; of each component the smallest doc_id stays."""
     docs = rows_of(docs, "doc_id", "text")
     rows = written(signed(docs, k), "signed")
+    with tidied() as keep:
+        named = keep(_named(docs, rows, k, percent))
+    out = rows.select("rid", "doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("rid", "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def _named(docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """set_id, component_id of signed rows."""
     known = rows.where("doc_id is not null and set_id is not null")
     classes = known.groupBy("set_id").agg(F.min(F.struct("doc_id", "rid")).alias("first"), F.min(F.struct("sketch", "bands")).alias("x"))
     classes = written(classes.select("set_id", F.col("first.rid").alias("rep"), F.col("first.doc_id").alias("least"), "x.sketch", "x.bands"), "classes")
@@ -293,10 +302,7 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     n = classes.count()
     rooted = written(classes.join(comps, classes.rep == comps.id, "left").select("set_id", "least", F.coalesce("component", "rep").alias("root")), "rooted", n)
     roots = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "roots", n)
-    named = written(rooted.join(roots, "root").select("set_id", "component_id"), "named", n)
-    out = rows.select("rid", "doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("rid", "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return written(rooted.join(roots, "root").select("set_id", "component_id"), "named", n)
 
 
 def op5_minhash(spark, sf_dir: str) -> DataFrame:

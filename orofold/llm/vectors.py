@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, rows_of, written
+from .common import rows_of, tidied, written
 from .components import components
 
 BLOCK = 8
@@ -178,9 +178,7 @@ def links_of(classes: DataFrame, least: float, cap: int = CAP, small: int = SMAL
     mine = F.pmod(F.xxhash64("id"), F.when(F.col("asks"), F.col("across")).otherwise(F.col("down"))).cast("int")
     at = F.when(F.col("asks"), F.expr("transform(sequence(0, down - 1), i -> struct(i as s, mine as q, 1 as role))")).otherwise(F.expr("transform(sequence(0, across - 1), i -> struct(mine as s, i as q, 0 as role))"))
     dealt = dealt.withColumn("mine", mine).withColumn("at", F.explode(at)).select(*KEY, "at.s", "at.q", "at.role", "id", "n", "vector")
-    out = written(flat.unionByName(dealt).groupBy(*KEY, "s", "q").applyInArrow(_square(least), "id long, links long, root long"), "links")
-    discard(rows, full)
-    return out
+    return written(flat.unionByName(dealt).groupBy(*KEY, "s", "q").applyInArrow(_square(least), "id long, links long, root long"), "links")
 
 
 def embedding_dedup(vectors: DataFrame, least: float = 0.93, cap: int = CAP, small: int = SMALL) -> DataFrame:
@@ -192,6 +190,15 @@ def embedding_dedup(vectors: DataFrame, least: float = 0.93, cap: int = CAP, sma
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     zero = F.lit(0).cast(kind[6:-1])
     rows = rows.withColumn("set", F.when(F.coalesce(sound, F.lit(False)), F.struct(F.col("label").cast("long").alias("label"), F.transform(v, lambda x: x + zero).alias("vector"))))
+    with tidied() as keep:
+        known = keep(_known(rows, least, cap, small))
+    out = rows.select("vec_id", "set").join(known, "set", "left")
+    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+
+
+def _known(rows: DataFrame, least: float, cap: int, small: int) -> DataFrame:
+    """set, n_links, component_id of each class of rows (rid, vec_id, set)."""
     classes = rows.where("set is not null").groupBy("set").agg(F.min(F.struct("vec_id", "rid")).alias("first"), F.count("*").alias("n"))
     classes = written(classes.select(F.col("first.rid").alias("id"), F.col("set.label").alias("label"), F.col("set.vector").alias("vector"), "n", F.col("first.vec_id").alias("least")), "classes")
     found = links_of(classes.select("id", "label", "vector", "n"), least, cap, small)
@@ -201,11 +208,7 @@ def embedding_dedup(vectors: DataFrame, least: float = 0.93, cap: int = CAP, sma
     rooted = written(rooted.select("id", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "id").alias("root")), "rooted")
     roots = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     told = written(rooted.join(roots, "root").select("id", (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id"), "told")
-    known = written(told.join(classes.select("id", F.struct("label", "vector").alias("set")), "id").select("set", "n_links", "component_id"), "known")
-    discard(found, rooted, roots, told)
-    out = rows.select("vec_id", "set").join(known, "set", "left")
-    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return written(told.join(classes.select("id", F.struct("label", "vector").alias("set")), "id").select("set", "n_links", "component_id"), "known")
 
 
 def op10_embedding_dedup(spark, sf_dir: str) -> DataFrame:
