@@ -1,4 +1,4 @@
-"""Elevation rasters in GeoTIFF files: a small reader and writer for single-band strips or tiles, uncompressed or deflated."""
+"""Elevation rasters in GeoTIFF files: a small reader for single-band strips or tiles (plain, deflated or LZW, with either predictor), and a writer."""
 
 from __future__ import annotations
 
@@ -46,13 +46,53 @@ def _tags(raw: bytes) -> tuple[str, dict[int, tuple]]:
     return order, tags
 
 
+def lzw(data: bytes) -> bytes:
+    """What a strip of variable-width codes stands for: 9 to 12 bits, high ones first, a bit more one code early; 256 clears, 257 ends."""
+    out, table, width, last = bytearray(), [], 9, b""
+    held = bits = 0
+    for byte in data:
+        held, bits = (held << 8 | byte) & 0xFFFFFF, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits & (1 << width) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = [bytes([k]) for k in range(256)] + [b"", b""], 9, b""
+            continue
+        if code < len(table):
+            entry = table[code]
+        elif last and code == len(table):
+            entry = last + last[:1]
+        else:
+            raise ValueError("a code before its entry")
+        out += entry
+        if last:
+            table.append(last + entry[:1])
+        last = entry
+        width = min(12, max(9, (len(table) + 1).bit_length()))
+    return bytes(out)
+
+
+def unpredicted(data: bytes, kind: np.dtype, shape: tuple[int, int], predictor: int) -> np.ndarray:
+    """Samples of rows of differences: 1 none, 2 of whole samples, 3 of the bytes of floats, highest first and apart."""
+    h, w = shape
+    if predictor == 3:
+        rows = np.cumsum(np.frombuffer(data, np.uint8, h * w * kind.itemsize).reshape(h, -1), 1, dtype=np.uint8)
+        return np.ascontiguousarray(rows.reshape(h, kind.itemsize, w).transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(h, w)
+    rows = np.frombuffer(data, kind, h * w).reshape(h, w)
+    return rows if predictor == 1 else np.cumsum(rows, 1, dtype=kind.newbyteorder("="))
+
+
 def parse(raw: bytes) -> Raster:
     order, t = _tags(raw)
     w, h = t[WIDTH][0], t[HEIGHT][0]
-    if t.get(SAMPLES, (1,))[0] != 1 or t.get(PREDICTOR, (1,))[0] != 1 or t.get(COMPRESSION, (1,))[0] not in (1, 8, 32946):
-        raise ValueError("a single band, uncompressed or deflated without predictor, is expected")
+    packed, predictor = t.get(COMPRESSION, (1,))[0], t.get(PREDICTOR, (1,))[0]
+    if t.get(SAMPLES, (1,))[0] != 1 or packed not in (1, 5, 8, 32946) or predictor not in (1, 2, 3):
+        raise ValueError("a single band is expected, plain, deflated or in LZW")
     kind = np.dtype({1: "u", 2: "i", 3: "f"}[t.get(FORMAT, (1,))[0]] + str(t[BITS][0] // 8)).newbyteorder(order)
-    unpack = zlib.decompress if t.get(COMPRESSION, (1,))[0] != 1 else bytes
+    unpack = {1: bytes, 5: lzw}.get(packed, zlib.decompress)
     out = np.zeros((h, w), np.float32)
     if TILES in t:
         tw, th = t[TILE_WIDTH][0], t[TILE_HEIGHT][0]
@@ -62,7 +102,7 @@ def parse(raw: bytes) -> Raster:
         rows = t.get(ROWS, (h,))[0]
         blocks = [(k * rows, 0, min(rows, h - k * rows), w, o, c) for k, (o, c) in enumerate(zip(t[STRIPS], t[COUNTS], strict=True))]
     for i, j, bh, bw, offset, count in blocks:
-        part = np.frombuffer(unpack(raw[offset : offset + count]), kind, bh * bw).reshape(bh, bw)
+        part = unpredicted(unpack(raw[offset : offset + count]), kind, (bh, bw), predictor)
         out[i : i + bh, j : j + bw] = part[: h - i, : w - j]
     tie, cell = t.get(TIEPOINT, (0, 0, 0, 0, 0, 0)), t.get(SCALE, (1, 1, 0))[0]
     nodata = t.get(NODATA)

@@ -53,14 +53,14 @@ def decode(raw: bytes) -> np.ndarray:
     out, above = np.zeros((h, w * n), np.int64), np.zeros(w * n, np.int64)
     for y, line in enumerate(lines):
         row, mode = line[1:].astype(np.int64), line[0]
-        if mode == 2:
+        if mode == 1:
+            row = np.cumsum(row.reshape(w, n), 0).ravel() & 255
+        elif mode == 2:
             row = row + above & 255
         elif mode:
             for x in range(w * n):
                 left, up, corner = (row[x - n] if x >= n else 0), above[x], (above[x - n] if x >= n else 0)
-                if mode == 1:
-                    add = left
-                elif mode == 3:
+                if mode == 3:
                     add = (left + up) // 2
                 else:
                     guess = left + up - corner

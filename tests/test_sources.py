@@ -1,5 +1,6 @@
 import io
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
@@ -40,10 +41,61 @@ def test_geotiff_cells_catalog_and_zip(spark, tmp_path):
     assert sorted(r.name for r in got) == ["a (1).tif", "a.tif", "c.tif"]
 
 
+def packed_like(raw, compression, predictor, data, bits=32, form=3):
+    """A file written by dump with its strip, and the tags that tell of it, replaced."""
+    import struct
+
+    n = struct.unpack_from("<H", raw, 8)[0]
+    head, strip = bytearray(raw), None
+    for k in range(n):
+        tag, _, _ = struct.unpack_from("<HHI", raw, 10 + 12 * k)
+        new = {geotiff.COMPRESSION: compression, geotiff.COUNTS: len(data), geotiff.BITS: bits, geotiff.FORMAT: form}.get(tag)
+        if tag == geotiff.STRIPS:
+            strip = struct.unpack_from("<I", raw, 10 + 12 * k + 8)[0]
+        if tag == geotiff.SAMPLES:  # of one band anyway: the entry says the predictor instead
+            struct.pack_into("<HHII", head, 10 + 12 * k, geotiff.PREDICTOR, 3, 1, predictor)
+        elif new is not None:
+            struct.pack_into("<I", head, 10 + 12 * k + 8, new)
+    return bytes(head[:strip]) + data
+
+
+def literal_codes(data):
+    """data in LZW codes of 9 bits, the table cleared before it grows."""
+    bits = ""
+    for k, byte in enumerate(data):
+        bits += (f"{256:09b}" if k % 200 == 0 else "") + f"{byte:09b}"
+    bits += f"{257:09b}"
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+def test_geotiff_compressions_and_predictors():
+    rng = np.random.default_rng(3)
+    z = rng.integers(0, 900, (7, 11)).astype(np.float32) + np.float32(0.25)
+    raw = geotiff.dump(geotiff.Raster(z, 0, 7, 1))
+    plain = z.tobytes()
+    whole = z.astype("<i4")
+    steps = np.diff(whole, axis=1, prepend=np.int32(0)).astype("<i4").tobytes()
+    apart = np.ascontiguousarray(z.astype(">f4").view(np.uint8).reshape(7, 11, 4).transpose(0, 2, 1)).reshape(7, -1)
+    floats = np.diff(apart, axis=1, prepend=np.uint8(0)).astype(np.uint8).tobytes()
+    assert (geotiff.parse(packed_like(raw, 5, 1, literal_codes(plain))).data == z).all()
+    assert (geotiff.parse(packed_like(raw, 8, 2, zlib.compress(steps), form=2)).data == whole).all()
+    assert (geotiff.parse(packed_like(raw, 5, 3, literal_codes(floats))).data == z).all()
+    # Codes of the format's own making: 1 2, then "1 2 1" by entries made on the way.
+    codes = [256, 7, 8, 258, 260, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    assert geotiff.lzw(int(bits.ljust(56, "0"), 2).to_bytes(7, "big")) == bytes([7, 8, 7, 8, 7, 8, 7])
+    with pytest.raises(ValueError):
+        geotiff.parse(packed_like(raw, 7, 1, plain))
+
+
 def test_png_round_trip(spark):
     pixels = np.random.default_rng(1).integers(0, 256, (5, 7, 4)).astype(np.uint8)
     raw = png.encode(pixels)
     assert png.density(raw) == (11811, 11811, 1) and (png.decode(raw) == pixels).all()
+    left = np.zeros((5, 1 + 28), np.uint8)
+    left[:, 0], left[:, 1:] = 1, np.diff(pixels.astype(np.int64), axis=1, prepend=0).astype(np.uint8).reshape(5, 28)
+    head, tail = raw.split(b"IDAT")[0][:-4], png._chunk(b"IEND", b"")
+    assert (png.decode(head + png._chunk(b"IDAT", zlib.compress(left.tobytes())) + tail) == pixels).all()
     cells = spark.createDataFrame([(2, 1, 1, (9, 8, 7, 255))], "sheet int, i long, j long, rgba struct<r:int,g:int,b:int,a:int>")
     row = png.sheet_images(cells, (2, 3)).first()
     assert row.sheet == 2 and png.decode(bytes(row.png))[0, 0].tolist() == [9, 8, 7, 255]
