@@ -293,9 +293,22 @@ keep AS (SELECT id FROM tree WHERE id % 97 = 0 OR id NOT IN (SELECT b FROM ed) O
 
 @query("prune_low_prominence", f"WITH RECURSIVE {sql.TREE}, ed AS (SELECT parent AS a, id AS b FROM tree WHERE id <> parent), {_LOW} SELECT id FROM keep")
 def prune_low_prominence(spark, sf_dir):
+    return graphs.prune_low(*bordered(spark, sf_dir), 60_000.0)[0].select("id")
+
+
+def bordered(spark, sf_dir):
+    """The tree of orders with every 97th vertex on a border."""
     t = tree(spark, sf_dir)
     v = t.select("id", F.col("z").cast("double").alias("z"), (F.col("id") % 97 == 0).alias("border"))
-    return graphs.prune_low(v, t.where("id <> parent").select(F.col("parent").alias("a"), F.col("id").alias("b")), 60_000.0)[0].select("id")
+    return v, t.where("id <> parent").select(F.col("parent").alias("a"), F.col("id").alias("b"))
+
+
+@query("reduce_and_prune", f"""WITH RECURSIVE {sql.TREE}, ed AS (SELECT parent AS a, id AS b FROM tree WHERE id <> parent), {_LOW},
+ke AS (SELECT a, b FROM ed WHERE a IN (SELECT id FROM keep) AND b IN (SELECT id FROM keep)),
+inn AS (SELECT b AS id FROM ke WHERE b IN (SELECT a FROM ke GROUP BY a HAVING count(*) = 1) AND b % 97 > 0 AND a % 97 > 0 AND b NOT IN (SELECT a FROM ke WHERE b % 97 = 0))
+SELECT id FROM keep WHERE id NOT IN (SELECT id FROM inn)""")
+def reduce_and_prune(spark, sf_dir):
+    return graphs.reduce_and_prune(*bordered(spark, sf_dir), 60_000.0)[0].select("id")
 
 
 # -- boxes
