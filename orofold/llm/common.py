@@ -85,11 +85,11 @@ FILES = 500_000
 
 
 def _from_files(df: DataFrame) -> bool:
-    """Whether each row of df is a row of a file, as it stands there."""
+    """Whether each row of df is a row of a Parquet file, as it stands there; False wherever that can't be told."""
     if not hasattr(df, "_jdf"):
         return False
-    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
-    return all(line.lstrip("+-: ").startswith(("Relation ", "Project ")) for line in lines)
+    lines = [line.lstrip("+-: ") for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    return all(line.startswith("Project ") or line.startswith("Relation ") and line.rstrip().endswith(" parquet") for line in lines)
 
 
 def numbered(df: DataFrame) -> DataFrame:

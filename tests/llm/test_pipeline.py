@@ -110,6 +110,15 @@ def test_row_numbers_do_not_depend_on_splits(spark, tmp_path):
     assert got[0][0] == got[1][0] and len(set(got[0][0].values())) == 3000 and got[0][1] != got[1][1]
 
 
+def test_row_numbers_of_other_sources(spark, tmp_path):
+    spark.range(50).selectExpr("id AS doc_id", "CAST(id AS STRING) AS text").repartition(3).write.csv(f"{tmp_path}/c")
+    docs = spark.read.schema("doc_id long, text string").csv(f"{tmp_path}/c")
+    for df in (docs, docs.union(docs), docs.where("doc_id < 40")):
+        rows = common.rows_of(df, "doc_id", "text")
+        first, second = ({r.rid: r.doc_id for r in rows.collect()} for _ in range(2))
+        assert first == second and len(first) == df.count()
+
+
 def test_operators_take_tables_with_clashing_columns(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     n = docs.count()
