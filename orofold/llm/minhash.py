@@ -307,3 +307,20 @@ def _named(docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
 
 def op5_minhash(spark, sf_dir: str) -> DataFrame:
     return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=2).drop("rid")
+
+
+#: All pairs by their common shingles, and components by walking.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, sh FROM (
+    SELECT doc_id, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS sh FROM w WHERE len(w) > 1 UNION ALL SELECT doc_id, w[1] FROM w WHERE len(w) = 1)
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+walk AS (SELECT doc_id AS id, doc_id AS seen FROM documents UNION SELECT walk.id, e.b FROM walk JOIN e ON e.a = walk.seen),
+c AS (SELECT id, min(seen) AS component_id FROM walk GROUP BY id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM documents LEFT JOIN n USING (doc_id) JOIN c ON c.id = doc_id
+"""
