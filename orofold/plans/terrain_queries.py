@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import palette as colours
 from ..functions import taps
-from ..operators import marks, raster, segments, terrain, water
+from ..operators import marks, raster, terrain, water
 from ..sources import rasters
 from . import sql
 from .registry import query
