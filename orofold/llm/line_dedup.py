@@ -133,7 +133,7 @@ def line_dedup(docs: DataFrame, with_text: bool = True, digest=line_hash) -> Dat
     # Byte comparison: of every run with the one at its first place.
     chunks = done.select("rid", "doc_id", F.explode("chunks").alias("c")).select("rid", "doc_id", "c.*")
     firsts = chunks.where("first").select("h", F.col("bytes").alias("other"))
-    differ = written(chunks.where("not first").join(firsts, "h").where("bytes <> other").select("h").distinct(), "differ")
+    differ = written(chunks.where("not first").join(firsts, "h").where("bytes <> other").select("h"), "differ")
     out = ["rid", "doc_id", "n_lines", "n_removed", "text", "text_sha256"]
     if differ.isEmpty():
         return done.select(*out)
