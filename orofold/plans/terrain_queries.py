@@ -56,7 +56,9 @@ def summit_candidates_by_sheet(spark, sf_dir):
     r, c = F.floor((F.col("i") - 1) / 30), F.floor((F.col("j") - 1) / 25)
     cell = (F.col("i") - 1) % 30 + 1 + (F.col("j") - 1) % 25 * 30
     best = F.max(F.struct("z", (-cell).alias("minus")))
-    return s.groupBy((4 - r + c * 4).cast("long").alias("sheet")).agg(F.count("*").alias("n"), best.alias("b")).select("sheet", "n", F.col("b.z").alias("z"), (-F.col("b.minus")).alias("cell"))
+    # By place, not by number: on tables of more than four sheets' rows, several sheets have one number.
+    tops = s.groupBy(r.alias("r"), c.alias("c")).agg(F.count("*").alias("n"), best.alias("b"))
+    return tops.select((4 - F.col("r") + F.col("c") * 4).cast("long").alias("sheet"), "n", F.col("b.z").alias("z"), (-F.col("b.minus")).alias("cell"))
 
 
 def _sinc(n, v, w, high=False):

@@ -87,3 +87,15 @@ def test_sheet_queries_run_over_the_whole_table(spark, tmp_path, name):
         own.write.parquet(f"{tmp_path}/{sheet}/orders.parquet")
         alone = registry.queries()[name](spark, f"{tmp_path}/{sheet}").collect()
         assert sorted(str(r[1:]) for r in got if r.sheet == sheet) == sorted(str(r[1:]) for r in alone)
+
+
+def test_summit_candidates_of_sheets_that_share_a_number(spark, tmp_path):
+    """150 rows of orders make five rows of sheets: the fifth's numbers are those of the first's, a column further west."""
+    orders = spark.range(150 * 125).selectExpr("id AS o_orderkey", "CAST(50000 + id * id % 99991 * 5 AS DOUBLE) AS o_totalprice")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    df = registry.queries()["summit_candidates_by_sheet"](spark, str(tmp_path))
+    out = con.sql(registry.oracle_sql()["summit_candidates_by_sheet"])
+    got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    assert len(got) == 25 and got == rows_of(out.columns, out.fetchall())
