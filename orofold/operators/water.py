@@ -69,12 +69,13 @@ def without_heaps(cells: DataFrame, shape: tuple[int, int], cell2utm: int, limit
     a heap's join their neighbour with the least share of water; what is then mostly water is water."""
     share = F.avg(F.col("water").cast("int"))
     stats = segments.segment_stats(cells, shape).join(cells.groupBy("sheet", "label").agg(share.alias("share")), ["sheet", "label"])
-    heaps = stats.where((F.col("share") > 0.5) & ~flux_keeps(F.col("flux"), cell2utm, limit)).select("sheet", "label")
-    merged = segments.prune(cells.withColumn("v", F.col("water").cast("int")), heaps, F.col("total") / F.col("n"))
-    told = merged.groupBy("sheet", "label").agg((share > 0.5).alias("is_water"))
-    # A heap without a neighbour is a whole sheet: it stays a region, but isn't water.
-    alone = merged.select("sheet", "label").distinct().join(heaps, ["sheet", "label"], "left_semi").withColumn("heap", F.lit(True))
-    told = told.join(alone, ["sheet", "label"], "left").select("sheet", "label", (F.col("is_water") & F.col("heap").isNull()).alias("is_water"))
+    heaps = stats.where((F.col("share") > 0.5) & ~flux_keeps(F.col("flux"), cell2utm, limit)).select("sheet", "label", F.col("n").alias("size"))
+    merged = segments.prune(cells.withColumn("v", F.col("water").cast("int")), heaps.drop("size"), F.col("total") / F.col("n"))
+    told = merged.groupBy("sheet", "label").agg((share > 0.5).alias("is_water"), F.count("*").alias("merged"))
+    # A heap without a neighbour is a whole sheet: it stays a region, but isn't water. Heaps that chose each other make a larger region under
+    # the label of one, which counts as any other.
+    alone = F.col("size").isNotNull() & (F.col("size") == F.col("merged"))
+    told = told.join(heaps, ["sheet", "label"], "left").select("sheet", "label", (F.col("is_water") & ~alone).alias("is_water"))
     return merged.drop("water").join(told, ["sheet", "label"]).select("sheet", "i", "j", "z", "label", F.col("is_water").alias("water"))
 
 

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from orofold.operators import water
 from orofold.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -99,3 +100,12 @@ def test_summit_candidates_of_sheets_that_share_a_number(spark, tmp_path):
     out = con.sql(registry.oracle_sql()["summit_candidates_by_sheet"])
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     assert len(got) == 25 and got == rows_of(out.columns, out.fetchall())
+
+
+def test_heaps_that_choose_each_other_may_be_water(spark):
+    """Two heaps two thirds of water within water: each has the other as the neighbour with least water, and together they are mostly water."""
+    inner = {(i, j): 6 if j < 5 else 7 for i in (2, 3, 4) for j in (3, 4, 5, 6)}
+    rows = [(1, i, j, 1.0, inner.get((i, j), 1), -9 if (i, j) in inner else 0, (i, j) not in inner or i > 2) for i in range(1, 6) for j in range(1, 9)]
+    cells = spark.createDataFrame(rows, "sheet int, i long, j long, z double, label long, v long, water boolean")
+    got = {(r.i, r.j): (r.label, r.water) for r in water.without_heaps(cells, (5, 8), 1, -8.0).collect()}
+    assert got == {(i, j): (6 if (i, j) in inner else 1, True) for i in range(1, 6) for j in range(1, 9)}
