@@ -8,8 +8,8 @@ logistic curve makes them a score.
 
 Counts come from all labelled training rows and are keyed by 64-bit hashes in written tables that grow with the
 vocabulary, packed by shards (as many as the session's shuffles have). Texts are scored in blocks: a block asks each shard for its distinct pairs
-and words, and the answers meet the block again. Nothing of the model is broadcast or reaches the driver but totals. The curve is fitted on about
-CALIBRATION rows at most of a fold of its own, taken by hash; these are scored by the model less their counts, all others by the model of all counts.
+and words, and the answers meet the block again. Blocks come in WAVES one after another, so that only a wave's questions and answers are on disk.
+Nothing of the model is broadcast or reaches the driver but totals. The curve is fitted on about CALIBRATION rows at most of a fold of its own, taken by hash; these are scored by the model less their counts, all others by the model of all counts.
 
 Defined results: null, empty and wordless texts have features 0 and so the score of a text without evidence; rows without a label
 teach nothing; repeated rows give a row each; a null doc_id is never trained on nor held out; without training rows of
@@ -18,12 +18,14 @@ both classes all scores are the share of toxic rows (0 without any); an empty ta
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, mix, only, pieces, rows_of, span_hashes, table, word_bounds, written
+from .common import _LOWER, ROW_BITS, mix, only, pieces, rows_of, span_hashes, swept, table, tidied, word_bounds, written
 from .langid import remainder
 
 #: Rows, about, that the logistic curve is fitted on at most.
@@ -39,6 +41,11 @@ STRENGTH = 1000.0
 FILL = 100.0
 #: Words that a block of texts, or a task's counts in memory, closes at.
 BLOCK = 1 << 21
+#: Waves that a large table's texts are scored in; a small one's have about WAVE rows.
+WAVES = 8
+WAVE = 10_000
+#: Neighbouring rows of a file are of one wave, 1 << RUN_BITS of them, so that blocks are large.
+RUN_BITS = 11
 #: The word before a text's first.
 START = np.zeros(1, np.uint64)
 #: Pairs of one first word are dealt over so many shards.
@@ -328,6 +335,19 @@ def train(known: DataFrame, shards: int) -> tuple[DataFrame, np.ndarray]:
     return pairs.where(F.col("shard") < shards).unionByName(words.withColumn("parts", F.slice("parts", 1, 2))), totals
 
 
+def _wave(waves: int) -> Column:
+    """A row's wave, by its number: runs of rows take turns, each file's from another one on."""
+    return F.pmod(F.shiftright("rid", RUN_BITS) + F.shiftright("rid", ROW_BITS), F.lit(waves))
+
+
+def features(docs: DataFrame, model: DataFrame, totals: np.ndarray, shards: int) -> DataFrame:
+    """doc_id, held_out, kind and the features by either model of each row of docs (rid, doc_id, text, held_out, kind), written."""
+    asked = docs.mapInArrow(_asked(shards, True), _PACKED)
+    answers = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(_answered(shards), _PACKED)
+    texts = docs.mapInArrow(_asked(shards, False), _PACKED)
+    return written(texts.unionByName(answers).groupBy("block").applyInArrow(_features(shards, totals), "doc_id long, held_out boolean, kind int, x0 double, x1 double, x2 double, x3 double"), "features")
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs."""
     docs = rows_of(docs, "doc_id", "text")
@@ -344,16 +364,15 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if sizes["all"] > LABELS:
         docs = written(docs, "labelled")
     known = docs.where("kind is not null")
-    rows = {r["kind"]: r["n"] for r in known.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    rows = {r["kind"]: r["n"] for r in docs.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     ordinary, toxic = rows.get(0, 0) + rows.get(2, 0), rows.get(1, 0) + rows.get(3, 0)
     base = toxic / max(ordinary + toxic, 1)
     if not ordinary or not toxic:
         return docs.select("doc_id", "held_out", F.lit(base).alias("score"), F.lit(int(base >= 0.5)).alias("predicted"))
-    model, totals = train(known, shards)
-    asked = docs.mapInArrow(_asked(shards, True), _PACKED)
-    answers = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(_answered(shards), _PACKED)
-    texts = docs.mapInArrow(_asked(shards, False), _PACKED)
-    got = written(texts.unionByName(answers).groupBy("block").applyInArrow(_features(shards, totals), "doc_id long, held_out boolean, kind int, x0 double, x1 double, x2 double, x3 double"), "features")
+    waves = min(WAVES, -(-sum(rows.values()) // WAVE))
+    with tidied() as keep, swept(docs.sparkSession):
+        model, totals = train(known, shards)
+        got = reduce(DataFrame.unionByName, [keep(features(docs.where(_wave(waves) == k), model, totals, shards)) for k in range(waves)])
     curve = np.array([np.log(base / (1 - base)), 1.0, 1.0])
     if rows.get(0) and rows.get(1) and (rows.get(2) or rows.get(3)):
         told = got.where("kind >= 2").select("x2", "x3", (F.col("kind") - 2).alias("y")).toArrow()

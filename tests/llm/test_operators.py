@@ -395,3 +395,24 @@ def test_embeddings_match_brute_force(spark, cap, small):
         if r.vec_id is not None:
             assert (r.n_links, r.component_id, r.kept) == (len(link[r.vec_id]), sets[r.vec_id], sets[r.vec_id] == r.vec_id)
     assert vectors.embedding_dedup(df.where("false")).count() == 0
+
+
+def test_toxicity_in_waves_leaves_no_shuffle_files(spark, tmp_path, monkeypatch):
+    rows = [(d, " ".join(f"w{d * 7919 * (k + 3) % 211 % (30 + d % 5)}" for k in range(d % 40))) for d in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(d, int(d % 5 == 4 or d % 11 == 0)) for d in range(0, 600, 2)], "doc_id long, toxic int").localCheckpoint()
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    made = []
+    monkeypatch.setattr(toxicity, "written", lambda df, tag: (made.append((tag, files.getAllFiles().size())), common.written(df, tag))[1])
+    one = sorted(map(tuple, toxicity.toxicity(docs, labels).collect()))
+    assert [tag for tag, _ in made] == ["pairs", "words", "features"]
+    monkeypatch.setattr(toxicity, "WAVE", 100)
+    monkeypatch.setattr(toxicity, "RUN_BITS", 4)
+    made.clear()
+    got = sorted(map(tuple, toxicity.toxicity(docs, labels).collect()))
+    assert [tag for tag, _ in made] == ["pairs", "words"] + 6 * ["features"]
+    assert [r[0] for r in got] == list(range(600)) and [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in one]
+    assert np.allclose([r[2] for r in got], [r[2] for r in one], rtol=0, atol=1e-12)
+    # Each wave finds no more files than the first table did.
+    assert max(n for _, n in made) <= made[0][1]
