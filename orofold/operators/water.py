@@ -42,12 +42,12 @@ def flux_keeps(flux: Column, cell2utm: int, limit: float = -0.328) -> Column:
     return flux > limit / cell2utm**2
 
 
-def water_segments(cells: DataFrame, shape: tuple[int, int], settings: Settings | None = None) -> DataFrame:
+def water_segments(cells: DataFrame, shape: tuple[int, int], settings: Settings | None = None, cell2utm: int | None = None) -> DataFrame:
     """sheet, i, j, z, label, water of a sheet's full-resolution cells (one metre each): candidates, merged by least area, heaps joined to
-    their neighbours."""
+    their neighbours. cell2utm: metres a cell of the result, where it isn't the settings'."""
     s = settings or Settings()
     get = lambda k: s.get("water", k)
-    c = s.get("map", "cell2utm")
+    c = cell2utm or s.get("map", "cell2utm")
     ny, nx = -(-shape[0] // c), -(-shape[1] // c)
     g = raster.gradient(cells)
     blur = np.array(taps.gaussian(max(get("slope_radius"), 0.5)))

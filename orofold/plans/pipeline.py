@@ -52,7 +52,7 @@ def forests(job: Job) -> DataFrame:
 
 
 def lakes(job: Job) -> DataFrame:
-    return water.water_segments(job.table("cells"), job.full, job.settings)
+    return water.water_segments(job.table("cells"), job.full, job.settings, job.spec.cell2utm)
 
 
 def relief(job: Job) -> DataFrame:
