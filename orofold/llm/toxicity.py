@@ -18,6 +18,7 @@ both classes all scores are the share of toxic rows (0 without any); an empty ta
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, ROW_BITS, mix, only, pieces, rows_of, span_hashes, swept, table, tidied, word_bounds, written
+from .common import ROW_BITS, mix, only, pieces, rows_of, span_hashes, swept, table, tidied, written
 from .langid import remainder
 
 #: Rows, about, that the logistic curve is fitted on at most.
@@ -41,6 +42,8 @@ STRENGTH = 1000.0
 FILL = 100.0
 #: Words that a block of texts, or a task's counts in memory, closes at.
 BLOCK = 1 << 21
+#: Pairs whose chances are reckoned at once.
+PAIRS = 1 << 15
 #: Waves that a large table's texts are scored in; a small one's have about WAVE rows.
 WAVES = 8
 WAVE = 10_000
@@ -54,15 +57,85 @@ _PACKED = "block long, shard int, parts array<binary>"
 _SCHEMA = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("parts", pa.list_(pa.binary()))])
 
 
+#: What a byte of a word counts as: letters lower-cased, digits and bytes beyond ASCII as they are; all else is a blank.
+_SPELT = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
+#: Bytes of texts that are hashed at once.
+TOGETHER = 1 << 16
+
+
+def _bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    inside = np.zeros(len(raw) + 2, bool)
+    np.not_equal(raw, 0x20, out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
+def spelled_each(texts: Iterable[bytes | None]) -> Iterator[np.ndarray]:
+    """The hashes of each text's words, letters lower-cased; marks at a word's ends don't count. Short texts are hashed together."""
+
+    def told(held):
+        raw = np.frombuffer(b" ".join(held), np.uint8)
+        starts, ends = _bounds(raw)
+        hashes = span_hashes(raw, starts, ends)
+        cuts = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in held])).tolist()
+        return [hashes[lo:hi] for lo, hi in zip([0, *cuts], cuts, strict=False)]
+
+    held, size = [], 0
+    for text in texts:
+        text = (text or b"").translate(_SPELT)
+        if len(text) > TOGETHER:
+            if held:
+                yield from told(held)
+                held, size = [], 0
+            yield np.concatenate([told([part])[0] for part in pieces(text)])
+            continue
+        held.append(text)
+        size += len(text)
+        if size > TOGETHER:
+            yield from told(held)
+            held, size = [], 0
+    if held:
+        yield from told(held)
+
+
 def spelled(text: str | None) -> np.ndarray:
-    """The hashes of a text's words, letters lower-cased; marks at a word's ends don't count."""
-    out = []
-    for part in pieces((text or "").encode(errors="replace").translate(_LOWER)):
-        raw = np.frombuffer(part, np.uint8)
-        if len(raw):
-            word = ((raw >= 0x61) & (raw <= 0x7A)) | (raw >= 0x80) | ((raw >= 0x30) & (raw <= 0x39))
-            out.append(span_hashes(raw, *word_bounds(np.where(word, raw, 0x20).astype(np.uint8))))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return next(spelled_each([(text or "").encode(errors="replace")]))
+
+
+def _spelled_column(texts: pa.Array) -> Iterator[np.ndarray]:
+    return spelled_each(t.as_py() for t in texts.cast(pa.large_binary()))
+
+
+def _order(x: np.ndarray) -> np.ndarray:
+    """The stable order of 64-bit keys: their leading bits are sorted with places in the rest, which is far quicker than argsort;
+    where keys differ in the rest alone, argsort it is."""
+    low = np.uint64((1 << len(x).bit_length()) - 1)
+    order = x & ~low
+    order |= np.arange(len(x), dtype=np.uint64)
+    order.sort()
+    order &= low
+    order = order.astype(_numbers(len(x)))
+    s = x[order]
+    return order if (s[1:] >= s[:-1]).all() else np.argsort(x, kind="stable")
+
+
+def _numbers(n: int) -> type:
+    """What holds numbers below n: blocks have millions, so their memory is half."""
+    return np.int32 if n < 1 << 28 else np.int64
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct key first stands, keys rising, and of each of x the number of its key."""
+    order = _order(x)
+    s = x[order]
+    new = np.ones(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    del s
+    inverse = np.empty(len(order), _numbers(len(order)))
+    number = np.cumsum(new, dtype=inverse.dtype)
+    number -= 1
+    inverse[order] = number
+    return order[new], inverse
 
 
 def _before(words: np.ndarray) -> np.ndarray:
@@ -73,6 +146,13 @@ def _pair(first: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(mix(first) * np.uint64(0xD6E8FEB86659FD93) + word)
 
 
+def _pairs(single: np.ndarray, first: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """_pair of words that are numbers among single."""
+    key = (mix(single) * np.uint64(0xD6E8FEB86659FD93))[first]
+    key += single[word]
+    return mix(key)
+
+
 def _shard(first: np.ndarray, word: np.ndarray, shards: int) -> np.ndarray:
     return (mix(first + (word & np.uint64(SALTS - 1)) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(shards)).astype(np.int64)
 
@@ -107,7 +187,8 @@ def _rows(rows: list[tuple[int, int, list[np.ndarray]]]) -> pa.RecordBatch:
 
 def _cuts(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """An order by shard, and where each shard starts and ends in it."""
-    return np.argsort(shard, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
+    few = shard.astype(np.uint16) if shards <= 1 << 16 else shard  # those are sorted by digits
+    return np.argsort(few, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
 
 
 def _dealt(shard: np.ndarray, shards: int, base: int, columns: list[np.ndarray]) -> list[tuple[int, int, list[np.ndarray]]]:
@@ -132,15 +213,17 @@ def _counted(shards: int):
 
         def told():
             first, word, kind = (np.concatenate(x) for x in zip(*held, strict=True))
-            _, at, inverse = np.unique(_pair(first, word), return_index=True, return_inverse=True)
+            held.clear()
+            at, inverse = _distinct(_pair(first, word))
+            first, word = first[at], word[at]
             counts = np.bincount(inverse * 4 + kind, minlength=4 * len(at)).reshape(-1, 4).astype(np.uint32)
-            order = np.argsort(first[at], kind="stable")
-            at, counts = at[order], counts[order]
-            return _rows(_dealt(_shard(first[at], word[at], shards), shards, 0, [first[at], word[at], counts]))
+            del inverse, kind
+            order = _order(first)
+            first, word, counts = first[order], word[order], counts[order]
+            return _rows(_dealt(_shard(first, word, shards), shards, 0, [first, word, counts]))
 
         for batch in batches:
-            for text, kind in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                words = spelled(text.as_py())
+            for words, kind in zip(_spelled_column(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 if len(words):
                     first = _before(words)
                     at = np.unique(_pair(first, words), return_index=True)[1]
@@ -148,7 +231,7 @@ def _counted(shards: int):
                     size += len(at)
                 if size > BLOCK:
                     yield told()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield told()
 
@@ -171,11 +254,15 @@ def _merged(shards: int):
     def run(group: pa.Table) -> pa.Table:
         rows, shard = group.column("parts").to_pylist(), group.column("shard")[0].as_py()
         first, word, counts = _unpacked(rows, 0, np.uint64), _unpacked(rows, 1, np.uint64), _unpacked(rows, 2, np.uint32, 4)
-        key, at, inverse = np.unique(_pair(first, word), return_index=True, return_inverse=True)
+        key = _pair(first, word)
+        at, inverse = _distinct(key)
+        key = key[at]
         n = _by_model(_sums(inverse, counts, len(key)))
         out = [(0, shard, [key, n])]
         first, word = first[at], word[at]
-        words, inverse = np.unique(np.concatenate([first, word]), return_inverse=True)
+        words = np.concatenate([first, word])
+        at, inverse = _distinct(words)
+        words = words[at]
         own = np.zeros((len(words), WIDTH), np.uint32)
         as_first, as_word = inverse[: len(first)], inverse[len(first) :]
         own[:, 0:4], own[:, 4:8], own[:, 8:12] = _sums(as_first, n, len(words)), _sums(as_first, n > 0, len(words)), _sums(as_word, n, len(words))
@@ -190,28 +277,38 @@ def _merged(shards: int):
 def _merged_words(group: pa.Table) -> pa.Table:
     """The table of a shard's words, and its totals."""
     rows = group.column("parts").to_pylist()
-    words, inverse = np.unique(_unpacked(rows, 0, np.uint64), return_inverse=True)
+    words = _unpacked(rows, 0, np.uint64)
+    at, inverse = _distinct(words)
+    words = words[at]
     own = _sums(inverse, _unpacked(rows, 1, np.uint32, WIDTH), len(words))
     totals = np.concatenate([own[:, 8:14].sum(0, dtype=np.float64), (own[:, 8:12] > 0).sum(0), (own[:, 12:14] > 0).sum(0)])
     return pa.Table.from_batches([_rows([(0, group.column("shard")[0].as_py(), [words, own, totals.astype(np.float64)])])])
 
 
 class Block:
-    """The distinct pairs and words of texts (by the words of all, and the one before each), both in order of their shards."""
-
-    def __init__(self, words: np.ndarray, first: np.ndarray, shards: int):
-        keys, at, inverse = np.unique(_pair(first, words), return_index=True, return_inverse=True)
-        first, words = first[at], words[at]
-        order, self.ends = _cuts(_shard(first, words, shards), shards)
-        self.keys = keys[order]
-        single = np.unique(np.concatenate([first, words]))
+    """The distinct pairs and words of texts, both in order of their shards. The texts' words as numbers among single, their
+    distinct words in order; lengths: words of each text."""
+
+    def __init__(self, single: np.ndarray, numbers: np.ndarray, lengths: np.ndarray, shards: int):
+        numbers = numbers.astype(_numbers(len(numbers)))
+        if len(numbers) and single[0] != START[0]:
+            single, numbers = np.concatenate([START, single]), numbers + 1
+        before = np.zeros_like(numbers)  # START is number 0
+        before[1:] = numbers[:-1]
+        before[(np.cumsum(lengths) - lengths)[lengths > 0]] = 0
+        key = _pairs(single, before, numbers)
+        at, inverse = _distinct(key)
+        first, word = before[at], numbers[at]
+        order, self.ends = _cuts(_shard(single[first], single[word], shards), shards)
+        self.keys = key[at[order]]
+        del key, before, numbers
         word_order, self.word_ends = _cuts(_word_shard(single, shards), shards)
         self.words = single[word_order]
-        rank, word_rank = np.empty(len(order), np.int64), np.empty(len(word_order), np.int64)
+        rank, word_rank = (np.empty(len(x), _numbers(len(x))) for x in (order, word_order))
         rank[order], word_rank[word_order] = np.arange(len(order)), np.arange(len(word_order))
         #: Of each text word its pair; of each pair its words.
         self.numbers = rank[inverse]
-        self.first, self.word = (word_rank[np.searchsorted(single, x[order])] for x in (first, words))
+        self.first, self.word = word_rank[first[order]], word_rank[word[order]]
 
 
 def _asked(shards: int, asks: bool):
@@ -219,25 +316,28 @@ def _asked(shards: int, asks: bool):
 
     def told(held):
         words, block = np.concatenate([h[4] for h in held]), held[0][0]
+        ids = np.array([[h[0], h[1] or 0, h[1] is None, h[2], h[3], len(h[4])] for h in held], np.int64)
+        held.clear()
+        at, numbers = _distinct(words)
+        single = words[at]
+        del words, at
         if asks:
-            b = Block(words, np.concatenate([_before(h[4]) for h in held]), shards)
+            b = Block(single, numbers, ids[:, 5], shards)
             rows = []
             for base, keys, ends in ((0, b.keys, b.ends), (shards, b.words, b.word_ends)):
                 rows += [(block, base + s, [keys[ends[s] : ends[s + 1]]]) for s in range(shards) if ends[s] < ends[s + 1]]
             return _rows(rows)
-        single, numbers = np.unique(words, return_inverse=True)
-        ids = np.array([[h[0], h[1] or 0, h[1] is None, h[2], h[3], len(h[4])] for h in held], np.int64)
         return _rows([(block, -1, [ids, single, numbers.astype(np.uint32)])])
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            for rid, doc, text, out, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                held.append((rid, doc, out, -1 if kind is None else kind, spelled(text.as_py())))
+            for rid, doc, words, out, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _spelled_column(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                held.append((rid, doc, out, -1 if kind is None else kind, words))
                 size += len(held[-1][4]) + 1
                 if size > BLOCK:
                     yield told(held)
-                    held, size = [], 0
+                    size = 0
         if held:
             yield told(held)
 
@@ -271,18 +371,24 @@ def ratios(n: np.ndarray, words: np.ndarray, first: np.ndarray, word: np.ndarray
     model 0: of all rows, 1: of all but the calibration's. totals: counts (4), different pairs (2), words by class (4), words (2)."""
     seen = words[:, 12 + model].astype(float)
     shared = (seen + FILL) / (totals[4 + model] + FILL * (totals[10 + model] + 1))
-    # How much likelier the pair makes its word in either class: common to both, so that a rare pair isn't evidence by itself.
-    after = words[first, 2 * model : 2 * model + 2].sum(1, dtype=float)
-    both = np.maximum(n[:, 2 * model : 2 * model + 2].sum(1, dtype=float) - DISCOUNT, 0)
-    lift = np.where(after > 0, (both + DISCOUNT * words[first, 14 + model] * shared[word]) / np.maximum(after, 1) / shared[word], 1)
-    chance = []
-    for c in (2 * model, 2 * model + 1):
+    single, of = [], (2 * model, 2 * model + 1)
+    for c in of:
         total = max(totals[c], 1.0)
-        single = (np.maximum(words[:, 8 + c] - DISCOUNT, 0) + max(DISCOUNT * totals[6 + c], DISCOUNT) * shared) / total
-        pairs, different = words[first, c].astype(float), words[first, 4 + c]
-        lower = single[word] * lift
-        chance.append((np.maximum(n[:, c] - DISCOUNT, 0) + (DISCOUNT * different + STRENGTH) * lower) / (pairs + STRENGTH))
-    return np.log(chance[1] / chance[0])
+        single.append((np.maximum(words[:, 8 + c] - DISCOUNT, 0) + max(DISCOUNT * totals[6 + c], DISCOUNT) * shared) / total)
+    out = np.empty(len(n))
+    for at in range(0, len(n), PAIRS):
+        part = slice(at, at + PAIRS)
+        a, b, own = words[first[part]], word[part], n[part]
+        # How much likelier the pair makes its word in either class: common to both, so that a rare pair isn't evidence by itself.
+        after = a[:, 2 * model : 2 * model + 2].sum(1, dtype=float)
+        both = np.maximum(own[:, 2 * model : 2 * model + 2].sum(1, dtype=float) - DISCOUNT, 0)
+        lift = np.where(after > 0, (both + DISCOUNT * a[:, 14 + model] * shared[b]) / np.maximum(after, 1) / shared[b], 1)
+        chance = []
+        for c, lower in zip(of, single, strict=True):
+            pairs, different = a[:, c].astype(float), a[:, 4 + c]
+            chance.append((np.maximum(own[:, c] - DISCOUNT, 0) + (DISCOUNT * different + STRENGTH) * (lower[b] * lift)) / (pairs + STRENGTH))
+        out[part] = np.log(chance[1] / chance[0])
+    return out
 
 
 def _features(shards: int, totals: np.ndarray):
@@ -291,11 +397,15 @@ def _features(shards: int, totals: np.ndarray):
     def run(group: pa.Table) -> pa.Table:
         rows = sorted(zip(group.column("shard").to_pylist(), group.column("parts").to_pylist(), strict=True), key=lambda r: r[0])
         ids, single, numbers = (_opened(x, *k) for x, k in zip(rows[0][1], ((np.int64, 6), (np.uint64,), (np.uint32,)), strict=True))
-        texts = np.split(single[numbers], np.cumsum(ids[:-1, 5]))
-        block = Block(np.concatenate(texts), np.concatenate([_before(t) for t in texts]), shards)
+        block = Block(single, numbers, ids[:, 5], shards)
         n = _unpacked([p for s, p in rows if 0 <= s < shards], 0, np.uint32, 4)
         words = _unpacked([p for s, p in rows if s >= shards], 0, np.uint32, WIDTH)
-        ratio = [ratios(n, words, block.first, block.word, totals, m) for m in (0, 1)]
+        del rows
+        ratio = [ratios(n, words, block.first, block.word, totals, 0), np.zeros(len(n))]
+        # The other model's are asked for by the pairs of calibration rows alone.
+        asked = np.zeros(len(n), bool)
+        asked[block.numbers[np.repeat(ids[:, 4] >= 2, ids[:, 5])]] = True
+        ratio[1][asked] = ratios(n[asked], words, block.first[asked], block.word[asked], totals, 1)
         ends = np.cumsum(ids[:, 5])
         out = np.zeros((len(ids), 4))
         for k, (hi, length, kind) in enumerate(zip(ends, ids[:, 5], ids[:, 4], strict=True)):

@@ -416,3 +416,37 @@ def test_toxicity_in_waves_leaves_no_shuffle_files(spark, tmp_path, monkeypatch)
     assert np.allclose([r[2] for r in got], [r[2] for r in one], rtol=0, atol=1e-12)
     # Each wave finds no more files than the first table did.
     assert max(n for _, n in made) <= made[0][1]
+
+
+def test_toxicity_hashes_texts_together(monkeypatch):
+    """Short texts share a call, and each has the words it has alone."""
+    texts = ["Ein Wort, zwei", None, "", "...", "É x9" * 3, "a\n\tb\x0bC", "long " * 30_000, "tail", "y" * 1_200_000 + " z"] + [f"text {k % 7}." for k in range(500)]
+    alone = [[int(common.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in re.findall(rb"[a-z0-9\x80-\xff]+", (t or "").encode().lower())] for t in texts]
+    calls = []
+    monkeypatch.setattr(toxicity, "span_hashes", lambda *a: (calls.append(1), common.span_hashes(*a))[1])
+    assert [h.tolist() for h in toxicity.spelled_each([None if t is None else t.encode() for t in texts])] == alone
+    assert len(calls) < 10
+
+
+def test_toxicity_orders_keys_that_share_leading_bits():
+    rng = np.random.default_rng(2)
+    for x in (rng.integers(0, 5, 300), rng.integers(0, 1 << 62, 300), np.repeat(rng.integers(0, 1 << 62, 40), 9) + rng.integers(0, 2, 360), np.zeros(0), np.array([7])):
+        x = x.astype(np.uint64)
+        keys, at, inverse = np.unique(x, return_index=True, return_inverse=True)
+        got = toxicity._distinct(x)
+        assert np.array_equal(got[0], at) and np.array_equal(got[1], inverse) and np.array_equal(x[got[0]], keys)
+
+
+def test_toxicity_scores_by_the_second_model_only_calibration_rows(monkeypatch):
+    rows = [(i, i, f"w{i % 3} w{i % 5} w{i}", False, kind) for i, kind in enumerate([None, 0, 1, 2, 3, None])]
+    batch = toxicity.pa.RecordBatch.from_pylist([dict(zip(("rid", "doc_id", "text", "held_out", "kind"), r, strict=True)) for r in rows])
+    texts = next(toxicity._asked(3, False)([batch]))
+    monkeypatch.setattr(toxicity, "FILL", 3.0)
+    asked = next(toxicity._asked(3, True)([batch]))
+    known = [(b, s, [np.ones((len(toxicity._opened(p[0], np.uint64)), 4 if s < 3 else toxicity.WIDTH), np.uint32)]) for b, s, p in zip(*[asked.column(k).to_pylist() for k in range(3)], strict=True)]
+    sizes = {}
+    plain = toxicity.ratios
+    monkeypatch.setattr(toxicity, "ratios", lambda n, *a: (sizes.update({a[-1]: len(n)}), plain(n, *a))[1])
+    got = toxicity._features(3, np.arange(9.0, 21.0))(toxicity.pa.Table.from_batches([texts, toxicity._rows(known)])).to_pylist()
+    assert sizes == {0: 12, 1: 6}  # distinct pairs
+    assert [bool(r["x2"]) for r in got] == [r["kind"] >= 2 for r in got] and all(r["x0"] for r in got)
