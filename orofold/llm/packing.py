@@ -33,8 +33,6 @@ BLOCK = 4_000_000
 KEPT = 400_000
 #: Between a character that isn't white space and a blank.
 BORDER = re.compile(r"(?<=\S)(?= )")
-#: White space before a blank.
-GAP = re.compile(r"\s ")
 LATIN = "\u0250"
 
 
@@ -49,7 +47,8 @@ class Tokens:
 
     A blank after a character that isn't white space always begins a match of the pre-tokeniser's pattern, so text
     between two such places has the same ids wherever it stands. The library's own model merges all words: those of Latin characters alone
-    (below U+0250, whose classes no version of Unicode changes) match by match of the pattern, others through the whole tokenizer."""
+    (below U+0250, whose classes no version of Unicode changes) match by match of the pattern, each match once while it is kept; others go through the whole tokenizer.
+    Words that are kept neither are empty nor end in white space, so a text with white space before a blank has a word that isn't kept."""
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -59,20 +58,63 @@ class Tokens:
         self.model, self.matches = self.tokenizer.model, regex.compile(pattern).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = byte_letters()
-        #: By what follows a blank: the ids of both.
+        #: By what follows a blank: the ids of both; those kept now, and those before, of which the ones that are used again are kept.
         self.kept: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        #: Of matches without a blank their ids.
+        self.parts: dict[str, bytes] = {}
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        out, merge, letters, matches = [], self.model.tokenize, self.letters, self.matches
+    def _merged(self, match: str) -> bytes:
+        if match.isascii() and match.isprintable():
+            own = match.replace(" ", self.letters[32])
+        else:
+            own = match.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(own)]).tobytes()
+
+    def _match(self, match: str) -> bytes:
+        blank = match[0] == " "
+        held, key = (self.kept, match[1:]) if blank else (self.parts, match)
+        ids = held.get(key)
+        if ids is None:
+            ids = blank and self.before.get(key) or self._merged(match)
+            if not blank or key and not key[-1].isspace():
+                held[key] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        if max(word, default="") < LATIN:
+            return b"".join(map(self._match, self.matches(word)))
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _keep(self, words: set[str]) -> None:
+        """words, which follow a blank, neither are empty nor have white space before a blank or at their end, are kept."""
+        kept, mixed = self.kept, []
+        if len(kept) + len(self.parts) + len(words) > KEPT // 2:
+            self.before, self.kept, self.parts = kept, {}, {}
+            kept = self.kept
+        latin, blank, merge, before = max("".join(words)) < LATIN, self.letters[32], self.model.tokenize, self.before.get
         for word in words:
-            if word.isascii() and word[1:].isalpha() and word[0] == " ":  # one match
-                ids = [t.id for t in merge(letters[32] + word[1:])]
-            elif max(word) < LATIN:
-                ids = [t.id for m in matches(word) for t in merge(m.encode().decode("latin-1").translate(letters))]
+            ids = before(word)
+            if ids is not None:
+                kept[word] = ids
+            elif not latin and max(word) >= LATIN:
+                kept[word] = self._word(" " + word)
+            elif not word.isalpha():
+                mixed.append(word)
+            elif word.isascii():  # one match
+                kept[word] = array("I", [t.id for t in merge(blank + word)]).tobytes()
             else:
-                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            out.append(array("I", ids).tobytes())
-        return out
+                kept[word] = self._merged(" " + word)
+        # Each blank here begins a word and a match.
+        at, ids = -1, []
+        for match in self.matches("".join([" " + word for word in mixed])):
+            if match[0] == " ":
+                if ids:
+                    kept[mixed[at]] = b"".join(ids)
+                at, ids = at + 1, []
+            ids.append(self._match(match))
+        if ids:
+            kept[mixed[at]] = b"".join(ids)
 
     def ids(self, text: str) -> np.ndarray:
         """Special tokens' strings count as the library's default has them."""
@@ -80,18 +122,17 @@ class Tokens:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         if not text:
             return np.zeros(0, np.uint32)
-        if GAP.search(text) or text[0] == " ":
-            first, *after = BORDER.split(text)
-            after = [p[1:] for p in after]
-        else:
-            first, *after = text.split(" ")
-        kept = self.kept
-        new = list(set(after).difference(kept))
-        if len(kept) + len(new) > KEPT:
-            kept.clear()
-            new = list(set(after))
-        kept.update(zip(new, self._words([" " + p for p in new]), strict=True))
-        return np.frombuffer(b"".join([*self._words([first]), *[kept[p] for p in after]]), np.uint32)
+        first, *after = text.split(" ")
+        got = list(map(self.kept.get, after))
+        if None in got or not first or first[-1].isspace():
+            new = {p for p, ids in zip(after, got, strict=True) if ids is None}
+            if not first or first[-1].isspace() or any(not p or p[-1].isspace() for p in new):
+                parts = BORDER.split(text)
+                return np.frombuffer(b"".join(map(self._word, parts)), np.uint32)
+            self._keep(new)
+            kept = self.kept
+            got = [ids or kept[p] for p, ids in zip(after, got, strict=True)]
+        return np.frombuffer(b"".join([self._word(first), *got]), np.uint32)
 
 
 class Capacities:

@@ -450,3 +450,20 @@ def test_toxicity_scores_by_the_second_model_only_calibration_rows(monkeypatch):
     got = toxicity._features(3, np.arange(9.0, 21.0))(toxicity.pa.Table.from_batches([texts, toxicity._rows(known)])).to_pylist()
     assert sizes == {0: 12, 1: 6}  # distinct pairs
     assert [bool(r["x2"]) for r in got] == [r["kind"] >= 2 for r in got] and all(r["x0"] for r in got)
+
+
+def test_packing_merges_each_match_once(monkeypatch):
+    """Words that share a match merge it once; ids are the library's, also while words are let go."""
+    from types import SimpleNamespace
+
+    tokens = packing.Tokens(P.path("byte_bpe_50k.json"), P.PATTERN)
+    own, merged = tokens.model, []
+    tokens.model = SimpleNamespace(tokenize=lambda m: (merged.append(m), own.tokenize(m))[1])
+    text = "so thndouer thndouer, thndouer. thndouer.\nThndouer &&& thndouer&&&"
+    assert tokens.ids(text).tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(merged) == len(set(merged)) and merged.count("Ġthndouer") == 1
+    monkeypatch.setattr(packing, "KEPT", 12)
+    rng = np.random.default_rng(6)
+    letters = list("    \n\t\x1c 　aabeé'sΩ中1²_-.,") + ["it's ", "word ", "word, ", "\n\n"]
+    for text in ["".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(1500)] + [" a", "a ", "a  b", "a\n b", "\n", "x y\n", "<|endoftext|> a"]:
+        assert tokens.ids(text).tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids
