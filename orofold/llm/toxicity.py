@@ -20,13 +20,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_BITS, mix, only, pieces, rows_of, span_hashes, swept, table, tidied, written
+from .common import ROW_BITS, let_go, mix, only, pieces, rows_of, slim, span_hashes, swept, table, tidied, written
 from .langid import remainder
 
 #: Rows, about, that the logistic curve is fitted on at most.
@@ -41,7 +42,10 @@ STRENGTH = 1000.0
 #: Different words before it that each word is given beyond those seen: the continuation's own lower order, alike for all words.
 FILL = 100.0
 #: Words that a block of texts, or a task's counts in memory, closes at.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
+#: Keys that a row of the model has at most, and bytes of arrays, about, that a task hands over at once: rows and batches stay small wherever they pass.
+KEYS = 1 << 15
+SENT = 1 << 22
 #: Pairs whose chances are reckoned at once.
 PAIRS = 1 << 15
 #: Waves that a large table's texts are scored in; a small one's have about WAVE rows.
@@ -185,20 +189,50 @@ def _rows(rows: list[tuple[int, int, list[np.ndarray]]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([[_closed(p) for p in r[2]] for r in rows], pa.list_(pa.binary()))], schema=_SCHEMA)
 
 
+def _batches(rows: Iterable[tuple[int, int, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+    """The batches of rows, each closed before more are made."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(p.nbytes for p in row[2])
+        if size > SENT:
+            yield _rows(held)
+            held, size = [], 0
+    if held:
+        yield _rows(held)
+
+
+def _whole(rows: Iterable[tuple[int, int, list[np.ndarray]]]) -> pa.Table:
+    out = pa.Table.from_batches(list(_batches(rows)), _SCHEMA)
+    let_go()
+    return out
+
+
 def _cuts(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """An order by shard, and where each shard starts and ends in it."""
     few = shard.astype(np.uint16) if shards <= 1 << 16 else shard  # those are sorted by digits
     return np.argsort(few, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
 
 
-def _dealt(shard: np.ndarray, shards: int, base: int, columns: list[np.ndarray]) -> list[tuple[int, int, list[np.ndarray]]]:
+def _dealt(shard: np.ndarray, shards: int, base: int, columns: list[np.ndarray]) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     order, ends = _cuts(shard, shards)
-    columns = [c[order] for c in columns]
-    return [(0, base + s, [c[ends[s] : ends[s + 1]] for c in columns]) for s in range(shards) if ends[s] < ends[s + 1]]
+    for s in range(shards):
+        if ends[s] < ends[s + 1]:
+            part = order[ends[s] : ends[s + 1]]
+            yield 0, base + s, [c[part] for c in columns]
+
+
+def _parted(shard: int, columns: list[np.ndarray]) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """A shard's table, in rows of KEYS keys at most; where keys rise, each row's are beyond those of the row before."""
+    for at in range(0, len(columns[0]), KEYS):
+        yield 0, shard, [c[at : at + KEYS] for c in columns]
 
 
 def _sums(inverse: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(inverse, counts[:, c], n) for c in range(counts.shape[1])], 1).astype(np.uint32) if n else counts[:0]
+    out = np.empty((n, counts.shape[1]), np.uint32)
+    for c in range(counts.shape[1]) if n else ():
+        out[:, c] = np.bincount(inverse, counts[:, c], n)
+    return out
 
 
 def _unpacked(rows, at: int, kind, width: int = 0) -> np.ndarray:
@@ -216,11 +250,15 @@ def _counted(shards: int):
             held.clear()
             at, inverse = _distinct(_pair(first, word))
             first, word = first[at], word[at]
-            counts = np.bincount(inverse * 4 + kind, minlength=4 * len(at)).reshape(-1, 4).astype(np.uint32)
-            del inverse, kind
+            counts = np.empty((len(at), 4), np.uint32)
+            for k in range(4):
+                counts[:, k] = np.bincount(inverse[kind == k], minlength=len(at))
+            del inverse, kind, at
             order = _order(first)
             first, word, counts = first[order], word[order], counts[order]
-            return _rows(_dealt(_shard(first, word, shards), shards, 0, [first, word, counts]))
+            del order
+            yield from _batches(_dealt(_shard(first, word, shards), shards, 0, [first, word, counts]))
+            let_go()
 
         for batch in batches:
             for words, kind in zip(_spelled_column(batch.column(0)), batch.column(1).to_pylist(), strict=True):
@@ -230,10 +268,10 @@ def _counted(shards: int):
                     held.append((first[at], words[at], np.full(len(at), kind, np.int8)))
                     size += len(at)
                 if size > BLOCK:
-                    yield told()
+                    yield from told()
                     size = 0
         if held:
-            yield told()
+            yield from told()
 
     return run
 
@@ -254,12 +292,13 @@ def _merged(shards: int):
     def run(group: pa.Table) -> pa.Table:
         rows, shard = group.column("parts").to_pylist(), group.column("shard")[0].as_py()
         first, word, counts = _unpacked(rows, 0, np.uint64), _unpacked(rows, 1, np.uint64), _unpacked(rows, 2, np.uint32, 4)
+        del rows
         key = _pair(first, word)
         at, inverse = _distinct(key)
         key = key[at]
         n = _by_model(_sums(inverse, counts, len(key)))
-        out = [(0, shard, [key, n])]
         first, word = first[at], word[at]
+        del counts, inverse
         words = np.concatenate([first, word])
         at, inverse = _distinct(words)
         words = words[at]
@@ -268,21 +307,25 @@ def _merged(shards: int):
         own[:, 0:4], own[:, 4:8], own[:, 8:12] = _sums(as_first, n, len(words)), _sums(as_first, n > 0, len(words)), _sums(as_word, n, len(words))
         either = np.stack([n[:, :2].any(1), n[:, 2:].any(1)], 1)
         own[:, 12:14], own[:, 14:] = _sums(as_word, either, len(words)), _sums(as_first, either, len(words))
-        out += _dealt(_word_shard(words, shards), shards, shards, [words, own])
-        return pa.Table.from_batches([_rows(out)])
+        return _whole(chain(_parted(shard, [key, n]), _dealt(_word_shard(words, shards), shards, shards, [words, own])))
 
     return run
 
 
 def _merged_words(group: pa.Table) -> pa.Table:
-    """The table of a shard's words, and its totals."""
+    """The table of a shard's words, and in each row the totals of its words."""
     rows = group.column("parts").to_pylist()
     words = _unpacked(rows, 0, np.uint64)
     at, inverse = _distinct(words)
     words = words[at]
     own = _sums(inverse, _unpacked(rows, 1, np.uint32, WIDTH), len(words))
-    totals = np.concatenate([own[:, 8:14].sum(0, dtype=np.float64), (own[:, 8:12] > 0).sum(0), (own[:, 12:14] > 0).sum(0)])
-    return pa.Table.from_batches([_rows([(0, group.column("shard")[0].as_py(), [words, own, totals.astype(np.float64)])])])
+
+    def totalled():
+        for _, shard, (part, n) in _parted(group.column("shard")[0].as_py(), [words, own]):
+            totals = np.concatenate([n[:, 8:14].sum(0, dtype=np.float64), (n[:, 8:12] > 0).sum(0), (n[:, 12:14] > 0).sum(0)])
+            yield 0, shard, [part, n, totals.astype(np.float64)]
+
+    return _whole(totalled())
 
 
 class Block:
@@ -326,8 +369,11 @@ def _asked(shards: int, asks: bool):
             rows = []
             for base, keys, ends in ((0, b.keys, b.ends), (shards, b.words, b.word_ends)):
                 rows += [(block, base + s, [keys[ends[s] : ends[s + 1]]]) for s in range(shards) if ends[s] < ends[s + 1]]
-            return _rows(rows)
-        return _rows([(block, -1, [ids, single, numbers.astype(np.uint32)])])
+            del b, numbers
+            yield from _batches(rows)
+        else:
+            yield _rows([(block, -1, [ids, single, numbers.astype(np.uint32)])])
+        let_go()
 
     def run(batches):
         held, size = [], 0
@@ -336,22 +382,22 @@ def _asked(shards: int, asks: bool):
                 held.append((rid, doc, out, -1 if kind is None else kind, words))
                 size += len(held[-1][4]) + 1
                 if size > BLOCK:
-                    yield told(held)
+                    yield from told(held)
                     size = 0
         if held:
-            yield told(held)
+            yield from told(held)
 
     return run
 
 
 def _answered(shards: int):
-    def run(asked: pa.Table, known: pa.Table) -> pa.Table:
-        out = []
+    def told(asked, known):
         if len(asked):
             shard = asked.column("shard")[0].as_py()
             width = 4 if shard < shards else WIDTH
-            rows = known.column("parts").to_pylist()
+            rows = sorted(known.column("parts").to_pylist(), key=lambda r: _opened(r[0], np.uint64)[0])
             keys, values = _unpacked(rows, 0, np.uint64), _unpacked(rows, 1, np.uint32, width)
+            del rows
             for block, parts in zip(asked.column("block").to_pylist(), asked.column("parts"), strict=True):
                 wanted = _opened(parts[0].as_py(), np.uint64)
                 got = np.zeros((len(wanted), width), np.uint32)
@@ -359,8 +405,10 @@ def _answered(shards: int):
                     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
                     hit = keys[at] == wanted
                     got[hit] = values[at[hit]]
-                out.append((block, shard, [got]))
-        return pa.Table.from_batches([_rows(out)])
+                yield block, shard, [got]
+
+    def run(asked: pa.Table, known: pa.Table) -> pa.Table:
+        return _whole(told(asked, known))
 
     return run
 
@@ -414,6 +462,8 @@ def _features(shards: int, totals: np.ndarray):
                     r = ratio[m][block.numbers[hi - length : hi]]
                     top = min(TOP, length)
                     out[k, 2 * m : 2 * m + 2] = r.mean(), np.partition(r, -top)[-top:].sum() / TOP
+        del block, n, words, numbers, single, ratio
+        let_go()
         return pa.table({"doc_id": pa.array(ids[:, 1], mask=ids[:, 2].astype(bool)), "held_out": ids[:, 3].astype(bool), "kind": ids[:, 4].astype(np.int32)} | {f"x{k}": out[:, k] for k in range(4)})
 
     return run
@@ -480,7 +530,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if not ordinary or not toxic:
         return docs.select("doc_id", "held_out", F.lit(base).alias("score"), F.lit(int(base >= 0.5)).alias("predicted"))
     waves = min(WAVES, -(-sum(rows.values()) // WAVE))
-    with tidied() as keep, swept(docs.sparkSession):
+    with tidied() as keep, swept(docs.sparkSession), slim(docs.sparkSession):
         model, totals = train(known, shards)
         got = reduce(DataFrame.unionByName, [keep(features(docs.where(_wave(waves) == k), model, totals, shards)) for k in range(waves)])
     curve = np.array([np.log(base / (1 - base)), 1.0, 1.0])

@@ -452,6 +452,45 @@ def test_toxicity_scores_by_the_second_model_only_calibration_rows(monkeypatch):
     assert [bool(r["x2"]) for r in got] == [r["kind"] >= 2 for r in got] and all(r["x0"] for r in got)
 
 
+def test_toxicity_hands_over_small_rows():
+    """A shard's table of 100,000 pairs comes in rows of bounded size, which answer as one table, in whatever order they come."""
+    words = common.mix(np.arange(1, 100_001, dtype=np.uint64))
+    first = common.mix(words)
+    counts = np.tile(np.array([1, 2, 0, 0], np.uint32), (len(words), 1))
+    made = toxicity._merged(1)(toxicity.pa.Table.from_batches([toxicity._rows([(0, 0, [first, words, counts])])]))
+    parts = [p for s, p in zip(made.column("shard").to_pylist(), made.column("parts").to_pylist(), strict=True) if s == 0]
+    keys = [toxicity._opened(p[0], np.uint64) for p in parts]
+    assert max(map(len, keys)) <= 1 << 15
+    want = np.sort(toxicity._pair(first, words))
+    assert np.array_equal(np.concatenate(keys), want)
+    known = toxicity._rows([(0, 0, [k, toxicity._opened(p[1], np.uint32, 4)]) for k, p in zip(keys[::-1], parts[::-1], strict=True)])
+    asked = toxicity._rows([(5, 0, [want[::3]]), (6, 0, [np.array([12345], np.uint64)])])
+    got = toxicity._answered(1)(*(toxicity.pa.Table.from_batches([x]) for x in (asked, known)))
+    hit, missed = (toxicity._opened(p[0], np.uint32, 4) for p in got.column("parts").to_pylist())
+    assert got.column("block").to_pylist() == [5, 6] and (hit == [1, 2, 1, 2]).all() and len(hit) == len(want[::3]) and not missed.any()
+
+
+def test_toxicity_holds_few_long_texts_at_a_time(spark, tmp_path, monkeypatch):
+    rows = [(d, f"w{d % 7} w{d % 11} " * 3, int(d % 3 == 0)) for d in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, k) for d, _, k in rows], "doc_id long, toxic int")
+    name, held = "spark.sql.execution.arrow.maxBytesPerBatch", {}
+    before = spark.conf.get(name)
+    monkeypatch.setattr(toxicity, "written", lambda df, tag: (held.update({tag: int(spark.conf.get(name).rstrip("b"))}), common.written(df, tag))[1])
+    assert toxicity.toxicity(docs, labels).count() == 60
+    assert set(held) == {"pairs", "words", "features"} and max(held.values()) <= 1 << 22 and spark.conf.get(name) == before
+    # What that setting does: 24 MB of texts in one file reach Python in batches of some MB, each row once.
+    spark.range(1200, numPartitions=1).selectExpr("id", "repeat(cast(id % 10 as string), 20000) text").write.parquet(f"{tmp_path}/long")
+
+    def sizes(batches):
+        for b in batches:
+            yield toxicity.pa.record_batch({"n": [b.num_rows], "size": [b.nbytes]})
+
+    with common.slim(spark):
+        got = spark.read.parquet(f"{tmp_path}/long").mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == 1200 and max(r.size for r in got) < 6 << 20
+
+
 def test_packing_merges_each_match_once(monkeypatch):
     """Words that share a match merge it once; ids are the library's, also while words are let go."""
     from types import SimpleNamespace
